@@ -130,6 +130,11 @@ def merge_shards(shards: list[DataFrame], idx: str = "row_idx") -> DataFrame:
     return out
 
 
+def merge_shards_from(spark, path: str, shard: str = "shard_id") -> DataFrame:
+    """C2 from files: every shard folder under ``path`` as one dataset."""
+    return spark.read.option("basePath", path).parquet(path).withColumn(shard, F.col(shard).cast("bigint"))
+
+
 def count_rows(df: DataFrame) -> int:
     """A10: rows already produced."""
     return int(df.count())

@@ -58,7 +58,10 @@ def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Built from the pair index with a fixed rule set so every branch of the
     response ladder (malformed, error, empty choices, unknown id, ok) occurs.
     """
-    p = pairs(spark, sf_dir)
+    return response_lines_from(pairs(spark, sf_dir))
+
+
+def response_lines_from(p: DataFrame) -> DataFrame:
     i = F.col("row_idx")
     rid = i.cast("string")
     line = (F.when(i % 13 == 6, F.concat(F.lit('{"custom_id": "request-'), rid))

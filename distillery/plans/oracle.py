@@ -67,3 +67,129 @@ ORACLE["prompt_student"] = f"""
   SELECT row_idx,
          'System: ' || {ASSISTANT} || chr(10) || 'User: ' || instruction || chr(10) || 'Assistant:' AS prompt
   FROM ({CORPUS}) c"""
+
+PAIRS = """
+  SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_idx,
+         conv_id, turn, text AS instruction, nxt AS output
+  FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt,
+               lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr
+        FROM conversations) t
+  WHERE role = 'user' AND nr = 'assistant'
+"""
+
+
+def teacher_prompt(c: str) -> str:
+    return f"'System: ' || {TEACHER} || chr(10) || 'User: ' || {c} || chr(10) || 'Assistant:'"
+
+
+def training_text(i: str, o: str) -> str:
+    return (f"'System: ' || {ASSISTANT} || chr(10) || 'User: ' || {i} || chr(10) || "
+            f"'Assistant: ' || {o}")
+
+
+ORACLE["sft_text"] = f"SELECT row_idx, {training_text('instruction', 'output')} AS text FROM ({PAIRS}) p"
+ORACLE["chat_messages"] = f"""
+  SELECT row_idx, CAST(2 AS BIGINT) AS n_messages, 'system,user' AS roles,
+         {TEACHER} AS system_content, instruction AS user_content FROM ({CORPUS}) c"""
+ORACLE["chat_render"] = """
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+         string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id"""
+ORACLE["rules_quarantine"] = """
+  SELECT doc_id, errs = '' AS is_valid, errs AS errors FROM (
+    SELECT d.doc_id, concat_ws(';',
+      CASE WHEN d.text IS NULL OR length(d.text) < 20 THEN 'text:min_length:20' END,
+      CASE WHEN d.text IS NULL OR length(d.text) > 1024 THEN 'text:max_length:1024' END,
+      CASE WHEN d.lang IS NULL OR d.lang NOT IN ('en', 'de', 'fr') THEN 'lang:enum' END,
+      CASE WHEN l.quality IS NULL THEN 'quality:required' END,
+      CASE WHEN l.toxic IS NOT NULL AND l.toxic <> 0 THEN 'toxic:enum' END) AS errs
+    FROM documents d LEFT JOIN labels l USING (doc_id)) t"""
+ORACLE["system_prompt_check"] = """
+  SELECT conv_id, turn, errs = '' AS is_valid, errs AS errors FROM (
+    SELECT conv_id, turn, concat_ws(';',
+      CASE WHEN text IS NULL OR length(text) < 20 THEN 'text:min_length:20' END,
+      CASE WHEN text IS NULL OR length(text) > 1024 THEN 'text:max_length:1024' END) AS errs
+    FROM conversations WHERE role = 'system') t"""
+
+WORLD = 4
+SHARDED = f"""
+  SELECT c.*, CAST(floor(row_idx / ch) AS BIGINT) AS shard_id,
+         CAST(row_idx - floor(row_idx / ch) * ch AS BIGINT) AS shard_pos
+  FROM ({CORPUS}) c, (SELECT greatest(CAST(ceil(count(*) / {WORLD}) AS BIGINT), 1) AS ch FROM ({CORPUS}) x) k
+"""
+BATCHED = f"SELECT *, CAST(floor(shard_pos / {O.SFT_BATCH_SIZE}) AS BIGINT) AS batch_id FROM ({SHARDED}) s"
+ORACLE["shard_assign"] = f"SELECT row_idx, shard_id, shard_pos FROM ({SHARDED}) s"
+ORACLE["batch_assign"] = f"SELECT row_idx, shard_id, batch_id FROM ({BATCHED}) b"
+ORACLE["shard_stats"] = f"""
+  SELECT shard_id, batch_id, CAST(count(*) AS BIGINT) AS n_rows FROM ({BATCHED}) b GROUP BY 1, 2"""
+ORACLE["resume_offset"] = f"""
+  SELECT row_idx, dataset, instruction FROM ({CORPUS}) c
+  WHERE row_idx >= (SELECT count(*) FROM ({CORPUS}) d WHERE dataset_ord < 2)"""
+ORACLE["resume_anti"] = f"""
+  SELECT row_idx, dataset, instruction FROM ({CORPUS}) c
+  WHERE NOT EXISTS (SELECT 1 FROM ({PAIRS}) p WHERE p.instruction = c.instruction)"""
+ORACLE["gen_md5"] = f"""
+  SELECT row_idx, instruction, md5({teacher_prompt('instruction')}) AS output, 'ok' AS status
+  FROM ({CORPUS}) c"""
+ORACLE["gen_error_rows"] = f"""
+  SELECT row_idx, instruction,
+         CASE WHEN contains(instruction, 'ü') THEN '{O.GENERATION_ERROR_MARK}rejected'
+              ELSE md5({teacher_prompt('instruction')}) END AS output,
+         CASE WHEN contains(instruction, 'ü') THEN 'error' ELSE 'ok' END AS status
+  FROM ({CORPUS}) c"""
+ORACLE["shard_merge"] = f"""
+  SELECT row_idx, shard_id, instruction, md5({teacher_prompt('instruction')}) AS output
+  FROM ({SHARDED}) s"""
+ORACLE["gen_replay"] = f"""
+  SELECT c.row_idx, c.instruction, a.output,
+         CASE WHEN a.output IS NULL THEN 'missing' ELSE 'ok' END AS status
+  FROM ({CORPUS}) c LEFT JOIN (
+    SELECT instruction, arg_min(output, row_idx) AS output FROM ({PAIRS}) p GROUP BY instruction
+  ) a ON a.instruction = c.instruction"""
+ORACLE["batch_requests"] = f"""
+  SELECT '{O.REQUEST_ID_PREFIX}' || CAST(row_idx AS VARCHAR) AS custom_id, '{O.BATCH_METHOD}' AS method,
+         '{O.BATCH_URL}' AS url, '{O.BATCH_MODEL}' AS model, CAST(2 AS BIGINT) AS n_messages,
+         'developer' AS system_role, {_q(O.BATCH_DEVELOPER_PROMPT)} AS system_content,
+         instruction AS user_content, CAST({O.BATCH_TEMPERATURE} AS DOUBLE) AS temperature,
+         CAST({O.BATCH_TOP_P} AS DOUBLE) AS top_p, true AS same_text
+  FROM ({CORPUS}) c"""
+
+RESPONSE_LINES = f"""
+  SELECT row_idx AS line_no, CASE
+    WHEN row_idx % 13 = 6 THEN '{{"custom_id": "request-' || row_idx
+    WHEN row_idx % 7 = 3 THEN '{{"custom_id":"request-' || row_idx
+      || '","response":null,"error":{{"code":"rate_limit"}}}}'
+    WHEN row_idx % 11 = 5 THEN '{{"custom_id":"request-' || row_idx
+      || '","response":{{"body":{{"choices":[]}}}},"error":{{}}}}'
+    WHEN row_idx % 17 = 8 THEN '{{"custom_id":"missing-' || row_idx
+      || '","response":{{"body":{{"choices":[{{"message":{{"content":"x"}}}}]}}}},"error":null}}'
+    ELSE '{{"custom_id":"request-' || row_idx
+      || '","response":{{"body":{{"choices":[{{"message":{{"content":"' || md5(output)
+      || '"}}}}]}}}},"error":null}}' END AS value
+  FROM ({PAIRS}) p
+"""
+BATCH_RESULTS = f"""
+  WITH parsed AS (
+    SELECT coalesce(json_extract_string(value, '$.custom_id'), '') AS custom_id,
+           CAST(json_extract(value, '$.error') AS VARCHAR) AS err,
+           coalesce(json_array_length(json_extract(value, '$.response.body.choices')), 0) AS n_choices,
+           json_extract_string(value, '$.response.body.choices[0].message.content') AS content
+    FROM ({RESPONSE_LINES}) l
+    WHERE json_valid(value) AND json_type(CAST(value AS JSON)) = 'OBJECT'
+  ), laddered AS (
+    SELECT custom_id,
+           CASE WHEN err IS NOT NULL AND err <> 'null' AND err NOT IN ('{{}}', '[]', '""', '0', '0.0', 'false')
+                THEN 'error' WHEN n_choices > 0 THEN 'ok' ELSE 'no_content' END AS status0,
+           err, content
+    FROM parsed
+  )
+  SELECT l.custom_id,
+         CASE WHEN r.row_idx IS NULL THEN '[Batch custom_id=' || l.custom_id || ']' ELSE r.instruction END
+           AS instruction,
+         CASE WHEN status0 = 'error' THEN '{O.ERROR_MARK}' || err
+              WHEN status0 = 'ok' THEN content ELSE '{O.NO_CONTENT_MARK}' END AS output,
+         CASE WHEN r.row_idx IS NULL THEN 'unknown_id' ELSE status0 END AS status
+  FROM laddered l LEFT JOIN ({PAIRS}) r ON '{O.REQUEST_ID_PREFIX}' || CAST(r.row_idx AS VARCHAR) = l.custom_id
+"""
+ORACLE["batch_responses"] = f"SELECT custom_id, instruction, output, status FROM ({BATCH_RESULTS}) b"
+ORACLE["batch_status"] = f"SELECT status, CAST(count(*) AS BIGINT) AS n FROM ({BATCH_RESULTS}) b GROUP BY status"

@@ -77,3 +77,195 @@ def q_prompt_assistant(spark, sf_dir):
 @query("prompt_student")
 def q_prompt_student(spark, sf_dir):
     return _corpus(spark, sf_dir).select("row_idx", TX.student_prompt("instruction").alias("prompt"))
+
+
+# ------------------------------------------------------- templates, rules
+
+def _pairs(spark, sf_dir):
+    return FX.pairs(spark, sf_dir)
+
+
+@query("sft_text")
+def q_sft_text(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("row_idx", TX.training_text("instruction", "output").alias("text"))
+
+
+@query("chat_messages")
+def q_chat_messages(spark, sf_dir):
+    m = TX.chat_messages("instruction")
+    return (_corpus(spark, sf_dir).select("row_idx", m.alias("m"))
+            .select("row_idx", F.size("m").cast("bigint").alias("n_messages"),
+                    F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"),
+                    F.element_at("m", 1)["content"].alias("system_content"),
+                    F.element_at("m", 2)["content"].alias("user_content")))
+
+
+@query("chat_render")
+def q_chat_render(spark, sf_dir):
+    from distillery.operators.chat import conversation_messages
+
+    msgs = conversation_messages(FX.conversation_turns(spark, sf_dir))
+    return msgs.select("conv_id", F.size("messages").cast("bigint").alias("n_turns"),
+                       TX.render_messages("messages").alias("text"))
+
+
+@query("rules_quarantine")
+def q_rules_quarantine(spark, sf_dir):
+    from distillery.operators import rules as R
+
+    rs = [R.min_length("text", 20), R.max_length("text", 1024), R.one_of("lang", ["en", "de", "fr"]),
+          R.required("quality"), R.one_of("toxic", [0], optional=True)]
+    v = R.validate(FX.rules_input(spark, sf_dir), rs)
+    return v.select("doc_id", "is_valid", F.array_join("errors", ";").alias("errors"))
+
+
+@query("system_prompt_check")
+def q_system_prompt_check(spark, sf_dir):
+    from distillery.operators import rules as R
+
+    turns = FX.conversation_turns(spark, sf_dir).filter(F.col("role") == "system")
+    v = R.validate(turns, R.system_prompt_rules("text"))
+    return v.select("conv_id", "turn", "is_valid", F.array_join("errors", ";").alias("errors"))
+
+
+# ------------------------------------------------- shards, batches, resume
+
+WORLD = 4
+
+
+def _sharded(spark, sf_dir):
+    from distillery.operators import order as D
+
+    c = _corpus(spark, sf_dir)
+    return D.assign_shards(c, c.count(), WORLD)
+
+
+@query("shard_assign")
+def q_shard_assign(spark, sf_dir):
+    return _sharded(spark, sf_dir).select("row_idx", "shard_id", "shard_pos")
+
+
+@query("batch_assign")
+def q_batch_assign(spark, sf_dir):
+    from distillery.operators import order as D
+
+    return (D.assign_batches(_sharded(spark, sf_dir), O.SFT_BATCH_SIZE)
+            .select("row_idx", "shard_id", "batch_id"))
+
+
+@query("shard_stats")
+def q_shard_stats(spark, sf_dir):
+    from distillery.operators import order as D
+
+    return D.batch_stats(D.assign_batches(_sharded(spark, sf_dir), O.SFT_BATCH_SIZE))
+
+
+@query("resume_offset")
+def q_resume_offset(spark, sf_dir):
+    """A registry that grew: the earlier run covered the first two datasets;
+    count its rows (A10) and resume after them (D4, count mode)."""
+    from distillery.operators import order as D
+
+    c = _corpus(spark, sf_dir)
+    done = D.count_rows(c.filter(F.col("dataset_ord") < 2))
+    return D.resume_by_count(c, done).select("row_idx", "dataset", "instruction")
+
+
+@query("resume_anti")
+def q_resume_anti(spark, sf_dir):
+    """Skip instructions that already have a stored answer (D4, key mode)."""
+    from distillery.operators import order as D
+
+    produced = _pairs(spark, sf_dir).select("instruction")
+    return D.resume_by_key(_corpus(spark, sf_dir), produced, "instruction").select(
+        "row_idx", "dataset", "instruction")
+
+
+# ------------------------------------------------------------- generation
+
+def _prompts(spark, sf_dir):
+    return C.with_teacher_prompt(_corpus(spark, sf_dir))
+
+
+@query("gen_md5")
+def q_gen_md5(spark, sf_dir):
+    from distillery.operators.generate import generate, md5_generator
+
+    return generate(_prompts(spark, sf_dir), md5_generator).select("row_idx", "instruction", "output", "status")
+
+
+@query("gen_error_rows")
+def q_gen_error_rows(spark, sf_dir):
+    from distillery.operators.generate import failing_generator, generate
+
+    return (generate(_prompts(spark, sf_dir), failing_generator("ü"), batch_size=4)
+            .select("row_idx", "instruction", "output", "status"))
+
+
+@query("shard_merge")
+def q_shard_merge(spark, sf_dir):
+    """Contiguous shards generated in their own tasks and written as one
+    folder per shard; the merge reads every shard back (C2)."""
+    from distillery.operators import order as D
+    from distillery.operators.generate import generate, md5_generator
+    from distillery.session import scratch_path
+    from distillery.sources import sinks
+
+    s = C.with_teacher_prompt(_sharded(spark, sf_dir))
+    outs = generate(D.partition_by_shard(s, WORLD), md5_generator)
+    path = scratch_path(spark, "shards")
+    sinks.write_shards(outs.select("row_idx", "shard_id", "instruction", "output"), path)
+    return D.merge_shards_from(spark, path).select("row_idx", "shard_id", "instruction", "output")
+
+
+@query("gen_replay")
+def q_gen_replay(spark, sf_dir):
+    from distillery.operators.generate import replay
+
+    answers = _pairs(spark, sf_dir).select("instruction", "output", "row_idx")
+    return replay(_corpus(spark, sf_dir).select("row_idx", "instruction"), answers.withColumnRenamed(
+        "row_idx", "answer_idx"), order_col="answer_idx").select("row_idx", "instruction", "output", "status")
+
+
+# ------------------------------------------------------------ batch files
+
+REQUEST_FIELDS = ("custom_id STRING, method STRING, url STRING, body STRUCT<model: STRING, "
+                  "messages: ARRAY<STRUCT<role: STRING, content: STRING>>, temperature: DOUBLE, "
+                  "top_p: DOUBLE>")
+
+
+@query("batch_requests")
+def q_batch_requests(spark, sf_dir):
+    from distillery.operators.batchfile import build_requests
+
+    r = build_requests(_corpus(spark, sf_dir))
+    p = F.from_json("request", REQUEST_FIELDS).alias("p")
+    return r.select("instruction", p).select(
+        F.col("p.custom_id").alias("custom_id"), F.col("p.method").alias("method"),
+        F.col("p.url").alias("url"), F.col("p.body.model").alias("model"),
+        F.size("p.body.messages").cast("bigint").alias("n_messages"),
+        F.element_at("p.body.messages", 1)["role"].alias("system_role"),
+        F.element_at("p.body.messages", 1)["content"].alias("system_content"),
+        F.element_at("p.body.messages", 2)["content"].alias("user_content"),
+        F.col("p.body.temperature").alias("temperature"), F.col("p.body.top_p").alias("top_p"),
+        (F.element_at("p.body.messages", 2)["content"] == F.col("instruction")).alias("same_text"))
+
+
+def _batch_results(spark, sf_dir):
+    from distillery.operators import batchfile as B
+
+    p = _pairs(spark, sf_dir)
+    lines = FX.response_lines_from(p)
+    return B.attach_instructions(B.parse_responses(lines), B.build_requests(p))
+
+
+@query("batch_responses")
+def q_batch_responses(spark, sf_dir):
+    return _batch_results(spark, sf_dir).select("custom_id", "instruction", "output", "status")
+
+
+@query("batch_status")
+def q_batch_status(spark, sf_dir):
+    from distillery.operators.batchfile import status_counts
+
+    return status_counts(_batch_results(spark, sf_dir))
