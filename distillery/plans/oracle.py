@@ -193,3 +193,94 @@ BATCH_RESULTS = f"""
 """
 ORACLE["batch_responses"] = f"SELECT custom_id, instruction, output, status FROM ({BATCH_RESULTS}) b"
 ORACLE["batch_status"] = f"SELECT status, CAST(count(*) AS BIGINT) AS n FROM ({BATCH_RESULTS}) b GROUP BY status"
+
+
+def split_rank(idx: str, seed: int) -> str:
+    return f"row_number() OVER (ORDER BY md5('{seed}:' || CAST({idx} AS VARCHAR)), {idx})"
+
+
+SPLIT = f"""
+  SELECT row_idx, {training_text('instruction', 'output')} AS text,
+         {split_rank('row_idx', O.SFT_SPLIT_SEED)} AS rk,
+         CAST(ceil(count(*) OVER () * {O.TEST_SIZE}) AS BIGINT) AS k
+  FROM ({PAIRS}) p
+"""
+ORACLE["split_test"] = f"SELECT row_idx, text FROM ({SPLIT}) s WHERE rk <= k"
+ORACLE["split_train"] = f"SELECT row_idx, text FROM ({SPLIT}) s WHERE rk > k"
+ORACLE["teacher_load"] = f"""
+  SELECT row_idx, instruction, md5({teacher_prompt('instruction')}) AS output
+  FROM ({CORPUS}) c WHERE NOT contains(instruction, 'ü')"""
+
+VOCAB_SIZE = 4096
+SFT_TEXTS = f"SELECT row_idx, {training_text('instruction', 'output')} AS text FROM ({PAIRS}) p"
+VOCAB = f"""
+  SELECT token, CAST(token_id AS INTEGER) AS token_id, n FROM (
+    SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id, n FROM (
+      SELECT token, CAST(count(*) AS BIGINT) AS n FROM (
+        SELECT unnest(regexp_extract_all(text, '{WORD_PATTERN_RE2}')) AS token FROM ({SFT_TEXTS}) t) w
+      WHERE token NOT IN ('{O.PAD_TOKEN}', '{O.UNK_TOKEN}') AND length(token) <= 256
+      GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE}) c) r
+  UNION ALL SELECT '{O.PAD_TOKEN}', CAST(0 AS INTEGER), CAST(NULL AS BIGINT)
+  UNION ALL SELECT '{O.UNK_TOKEN}', CAST(1 AS INTEGER), CAST(NULL AS BIGINT)
+"""
+ORACLE["vocab"] = VOCAB
+
+
+def encoded(src: str, key: str, max_len: int | None, out: str = "ids") -> str:
+    """Per ``key``: ``n_tokens`` and comma-joined ids of ``text``."""
+    cut = f"[1:{max_len}]" if max_len else ""
+    return f"""
+  SELECT s.{key}, CAST(coalesce(e.n, 0) AS BIGINT) AS n_tokens, coalesce(e.{out}, '') AS {out},
+         coalesce(e.id_list, []) AS id_list
+  FROM ({src}) s LEFT JOIN (
+    SELECT {key}, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS {out},
+           list(id ORDER BY pos) AS id_list
+    FROM (
+      SELECT x.{key}, x.pos, coalesce(v.token_id, 1) AS id FROM (
+        SELECT {key}, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
+          SELECT {key}, regexp_extract_all(text, '{WORD_PATTERN_RE2}'){cut} AS w FROM ({src}) q) z) x
+      LEFT JOIN ({VOCAB}) v ON v.token = x.token) y
+    GROUP BY {key}) e ON e.{key} = s.{key}"""
+
+
+ENCODED = encoded(SFT_TEXTS, "row_idx", O.SFT_MAX_LENGTH)
+ORACLE["encode"] = f"SELECT row_idx, n_tokens, ids FROM ({ENCODED}) e"
+DOCS = "SELECT doc_id, text FROM documents"
+ORACLE["truncate"] = f"""
+  SELECT e.doc_id, e.n_tokens, {words('d.text')} AS n_words, e.ids
+  FROM ({encoded(DOCS, 'doc_id', O.KD_MAX_LENGTH)}) e JOIN documents d USING (doc_id)"""
+PADDED = f"""
+  SELECT row_idx, batch_id, L, n_tokens,
+         list_concat(list_transform(range(L - n_tokens), lambda x: 0), id_list) AS pids,
+         list_concat(list_transform(range(L - n_tokens), lambda x: 0), list_transform(range(n_tokens), lambda x: 1)) AS mask
+  FROM (SELECT *, CAST(floor(row_idx / {O.KD_BATCH_SIZE}) AS BIGINT) AS batch_id,
+               max(n_tokens) OVER (PARTITION BY CAST(floor(row_idx / {O.KD_BATCH_SIZE}) AS BIGINT)) AS L
+        FROM ({ENCODED}) e) t
+"""
+ORACLE["pad_left"] = f"""
+  SELECT row_idx, batch_id, CAST(L AS BIGINT) AS length, array_to_string(pids, ',') AS ids,
+         array_to_string(mask, ',') AS mask FROM ({PADDED}) p"""
+ORACLE["labels_causal"] = f"""
+  SELECT row_idx, array_to_string(list_transform(pids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ',') AS labels
+  FROM ({PADDED}) p"""
+ORACLE["decode"] = f"""
+  SELECT e.row_idx, coalesce(d.decoded, '') AS decoded FROM ({ENCODED}) e LEFT JOIN (
+    SELECT row_idx, string_agg(v.token, ' ' ORDER BY pos) AS decoded FROM (
+      SELECT row_idx, unnest(id_list) AS id, generate_subscripts(id_list, 1) AS pos FROM ({ENCODED}) x) u
+    JOIN ({VOCAB}) v ON v.token_id = u.id WHERE u.id <> 0 GROUP BY row_idx) d USING (row_idx)"""
+PROMPTS_TEXTS = f"""
+  SELECT row_idx, {training_text('instruction', 'output')} AS text,
+         'System: ' || {ASSISTANT} || chr(10) || 'User: ' || instruction || chr(10) || 'Assistant:' AS prompt
+  FROM ({PAIRS}) p"""
+ORACLE["drop_prompt_ids"] = f"""
+  SELECT f.row_idx, p.n_tokens AS n_prompt, CAST(f.n_tokens - p.n_tokens AS BIGINT) AS n_answer,
+         array_to_string(f.id_list[p.n_tokens + 1:], ',') AS ids
+  FROM ({encoded(PROMPTS_TEXTS, 'row_idx', None)}) f
+  JOIN ({encoded(f"SELECT row_idx, prompt AS text FROM ({PROMPTS_TEXTS}) z", 'row_idx', None)}) p USING (row_idx)"""
+ORACLE["drop_special_ids"] = f"""
+  SELECT row_idx, array_to_string(list_filter(pids, lambda x: x <> 0), ',') AS ids FROM ({PADDED}) p"""
+ORACLE["token_profile"] = f"""
+  SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(min(k) AS BIGINT) AS min_len, CAST(max(k) AS BIGINT) AS max_len,
+         round(avg(k), 6) AS mean_len, round(avg(CASE WHEN f > {O.KD_MAX_LENGTH} THEN 1.0 ELSE 0.0 END), 6)
+           AS share_truncated
+  FROM (SELECT {words('text')} AS f, least({words('text')}, {O.KD_MAX_LENGTH}) AS k FROM documents) t"""

@@ -269,3 +269,142 @@ def q_batch_status(spark, sf_dir):
     from distillery.operators.batchfile import status_counts
 
     return status_counts(_batch_results(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ split
+
+def _split(spark, sf_dir):
+    from distillery.operators.split import exact_split
+
+    p = _pairs(spark, sf_dir).withColumn("text", TX.training_text("instruction", "output"))
+    return exact_split(p, "row_idx", O.TEST_SIZE, O.SFT_SPLIT_SEED)
+
+
+@query("split_test")
+def q_split_test(spark, sf_dir):
+    return _split(spark, sf_dir)[1].select("row_idx", "text")
+
+
+@query("split_train")
+def q_split_train(spark, sf_dir):
+    return _split(spark, sf_dir)[0].select("row_idx", "text")
+
+
+@query("teacher_load")
+def q_teacher_load(spark, sf_dir):
+    """Generated answers appended as JSONL (A6), loaded back for training
+    with error rows dropped (H0)."""
+    from distillery.operators.generate import failing_generator, generate
+    from distillery.operators.split import load_teacher
+    from distillery.session import scratch_path
+    from distillery.sources import sinks
+
+    out = generate(_prompts(spark, sf_dir), failing_generator("ü"))
+    path = scratch_path(spark, "teacher")
+    sinks.append_jsonl(out.select("instruction", "output", "row_idx", "status"), path)
+    return load_teacher(spark, path).select("row_idx", "instruction", "output")
+
+
+# ----------------------------------------------------------------- tokens
+
+VOCAB_SIZE = 4096
+
+
+def _sft_texts(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("row_idx", TX.training_text("instruction", "output").alias("text"))
+
+
+def _vocab(spark, sf_dir):
+    from distillery.operators.tokens import build_vocab
+
+    return build_vocab(_sft_texts(spark, sf_dir), "text", VOCAB_SIZE)
+
+
+def _encoded(spark, sf_dir, max_length=O.SFT_MAX_LENGTH):
+    from distillery.operators.tokens import encode
+
+    return encode(_sft_texts(spark, sf_dir), _vocab(spark, sf_dir), "text", "input_ids", max_length)
+
+
+@query("vocab")
+def q_vocab(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+@query("encode")
+def q_encode(spark, sf_dir):
+    from distillery.operators.tokens import ids_text
+
+    e = _encoded(spark, sf_dir)
+    return e.select("row_idx", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    ids_text("input_ids").alias("ids"))
+
+
+@query("truncate")
+def q_truncate(spark, sf_dir):
+    """KD tokenizer (max 512) over whole documents: long texts are cut."""
+    from distillery.operators.tokens import encode, ids_text
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    e = encode(docs, _vocab(spark, sf_dir), "text", "input_ids", O.KD_MAX_LENGTH, key="doc_id")
+    return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    TX.word_count("text").alias("n_words"), ids_text("input_ids").alias("ids"))
+
+
+def _padded(spark, sf_dir):
+    from distillery.operators.tokens import pad_batches
+
+    e = _encoded(spark, sf_dir).withColumn(
+        "batch_id", F.floor(F.col("row_idx") / O.KD_BATCH_SIZE).cast("bigint"))
+    return pad_batches(e, "input_ids", "batch_id", "left")
+
+
+@query("pad_left")
+def q_pad_left(spark, sf_dir):
+    from distillery.operators.tokens import ids_text
+
+    return _padded(spark, sf_dir).select("row_idx", "batch_id", F.size("input_ids").cast("bigint").alias("length"),
+                                         ids_text("input_ids").alias("ids"), ids_text("attention_mask").alias("mask"))
+
+
+@query("labels_causal")
+def q_labels_causal(spark, sf_dir):
+    from distillery.operators.tokens import causal_labels, ids_text
+
+    return _padded(spark, sf_dir).select("row_idx", ids_text(causal_labels("input_ids")).alias("labels"))
+
+
+@query("decode")
+def q_decode(spark, sf_dir):
+    from distillery.operators.tokens import decode
+
+    return decode(_padded(spark, sf_dir), _vocab(spark, sf_dir), "input_ids", "decoded").select("row_idx", "decoded")
+
+
+@query("drop_prompt_ids")
+def q_drop_prompt_ids(spark, sf_dir):
+    """Cut the student-prompt ids off the full training-text ids."""
+    from distillery.operators.tokens import drop_prompt, encode, ids_text
+
+    v = _vocab(spark, sf_dir)
+    p = _pairs(spark, sf_dir).select("row_idx", TX.training_text("instruction", "output").alias("text"),
+                                      TX.student_prompt("instruction").alias("prompt"))
+    p = encode(encode(p, v, "text", "full_ids", None), v, "prompt", "prompt_ids", None)
+    ans = drop_prompt("full_ids", F.size("prompt_ids"))
+    return p.select("row_idx", F.size("prompt_ids").cast("bigint").alias("n_prompt"),
+                    F.size(ans).cast("bigint").alias("n_answer"), ids_text(ans).alias("ids"))
+
+
+@query("drop_special_ids")
+def q_drop_special_ids(spark, sf_dir):
+    from distillery.operators.tokens import drop_special, ids_text
+
+    return _padded(spark, sf_dir).select("row_idx", ids_text(drop_special("input_ids")).alias("ids"))
+
+
+@query("token_profile")
+def q_token_profile(spark, sf_dir):
+    from distillery.operators.tokens import token_profile
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_profile(docs, "text", O.KD_MAX_LENGTH)
