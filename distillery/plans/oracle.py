@@ -284,3 +284,86 @@ ORACLE["token_profile"] = f"""
          round(avg(k), 6) AS mean_len, round(avg(CASE WHEN f > {O.KD_MAX_LENGTH} THEN 1.0 ELSE 0.0 END), 6)
            AS share_truncated
   FROM (SELECT {words('text')} AS f, least({words('text')}, {O.KD_MAX_LENGTH}) AS k FROM documents) t"""
+
+T = O.KD_TEMPERATURE
+LOGITS = """
+  SELECT CAST(floor(a.vec_id / 4) AS BIGINT) AS sample_id, CAST(a.vec_id % 4 AS BIGINT) AS pos,
+         a.embedding AS s, b.embedding AS a,
+         CASE WHEN a.vec_id % 10 = 0 THEN -100 ELSE a.label END AS label
+  FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings)
+"""
+LONG = f"""
+  SELECT sample_id, pos, label, CAST(unnest(s) AS DOUBLE) / {T} AS s, CAST(unnest(a) AS DOUBLE) / {T} AS a,
+         generate_subscripts(s, 1) - 1 AS tok
+  FROM ({LOGITS}) l
+"""
+LSE = f"""
+  SELECT sample_id, pos, ms + ln(zs) AS lse_s, ma + ln(za) AS lse_a FROM (
+    SELECT sample_id, pos, ms, ma, sum(exp(s - ms)) AS zs, sum(exp(a - ma)) AS za FROM (
+      SELECT *, max(s) OVER w AS ms, max(a) OVER w AS ma FROM ({LONG}) x
+      WINDOW w AS (PARTITION BY sample_id, pos)) y
+    GROUP BY sample_id, pos, ms, ma) z
+"""
+PROBS = f"""
+  SELECT x.sample_id, x.pos, x.tok, x.label, x.s - l.lse_s AS lps, x.a - l.lse_a AS lpa
+  FROM ({LONG}) x JOIN ({LSE}) l USING (sample_id, pos)
+"""
+ORACLE["kd_softmax"] = f"""
+  SELECT sample_id, pos, round(max(exp(lpa)), 6) AS p_max,
+         CAST(arg_max(tok, exp(lpa)) AS BIGINT) AS p_argmax,
+         round(sum(exp(lpa) * (tok + 1)), 6) AS p_check, round(sum(exp(lpa)), 6) AS p_sum
+  FROM ({PROBS}) p GROUP BY sample_id, pos"""
+ORACLE["kd_log_softmax"] = f"""
+  SELECT sample_id, pos, round(max(lps), 6) AS lp_max, round(sum(lps), 6) AS lp_sum
+  FROM ({PROBS}) p GROUP BY sample_id, pos"""
+TERMS = f"SELECT *, CASE WHEN exp(lpa) = 0 THEN 0.0 ELSE exp(lpa) * (lpa - lps) END AS term FROM ({PROBS}) p"
+ORACLE["kd_pointwise"] = f"""
+  SELECT sample_id, pos, round(sum(term), 6) AS kl, round(max(term), 6) AS kl_max_term
+  FROM ({TERMS}) t GROUP BY sample_id, pos"""
+ORACLE["kd_reduce"] = f"""
+  SELECT round(sum(term) / count(DISTINCT sample_id) * {T * T}, 6) AS batchmean,
+         round(sum(term) * {T * T}, 6) AS sum, round(sum(term) / count(*) * {T * T}, 6) AS mean
+  FROM ({TERMS}) t"""
+CE = f"""
+  SELECT l.sample_id, l.pos, l.target, -(l.s_raw[l.target + 1] - l.lse) AS ce FROM (
+    SELECT sample_id, pos, lead(label) OVER (PARTITION BY sample_id ORDER BY pos) AS target,
+           list_transform(s, lambda v: CAST(v AS DOUBLE)) AS s_raw,
+           list_max(list_transform(s, lambda v: CAST(v AS DOUBLE)))
+             + ln(list_sum(list_transform(s, lambda v: exp(CAST(v AS DOUBLE)
+                  - list_max(list_transform(s, lambda u: CAST(u AS DOUBLE))))))) AS lse
+    FROM ({LOGITS}) g) l
+  WHERE l.target IS NOT NULL AND l.target <> -100
+"""
+ORACLE["ce_loss"] = f"SELECT round(avg(ce), 6) AS ce, CAST(count(ce) AS BIGINT) AS n_valid FROM ({CE}) c"
+ORACLE["combined_loss"] = f"""
+  SELECT round(c.ce, 6) AS ce, round(k.kd, 6) AS kd, round({1 - O.KD_WEIGHT} * c.ce + {O.KD_WEIGHT} * k.kd, 6) AS loss
+  FROM (SELECT avg(ce) AS ce FROM ({CE}) x) c,
+       (SELECT sum(term) / count(DISTINCT sample_id) * {T * T} AS kd FROM ({TERMS}) t) k"""
+ORACLE["kd_long"] = f"""
+  SELECT round(sum(term) / count(DISTINCT sample_id) * {T * T}, 6) AS batchmean FROM ({TERMS}) t"""
+
+CANDS = """
+  SELECT vec_id AS ctx, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS tok,
+         CAST(unnest(embedding) AS DOUBLE) AS lg FROM embeddings
+"""
+RANKED = f"SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY lg DESC, tok) AS rk FROM ({CANDS}) c"
+TOPK = f"SELECT * FROM ({RANKED}) r WHERE rk <= 20"
+NUCLEUS = f"""
+  SELECT * FROM (
+    SELECT *, sum(p0) OVER (PARTITION BY ctx ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+    FROM (SELECT *, e / sum(e) OVER (PARTITION BY ctx) AS p0 FROM (
+      SELECT *, exp(lg / {T} - max(lg / {T}) OVER (PARTITION BY ctx)) AS e FROM ({TOPK}) k) a) b) c
+  WHERE cum - p0 < 0.6
+"""
+KEPT = f"SELECT *, p0 / sum(p0) OVER (PARTITION BY ctx) AS p FROM ({NUCLEUS}) n"
+ORACLE["sample_top_k"] = f"SELECT ctx, tok, CAST(rk AS BIGINT) AS rank FROM ({TOPK}) k"
+ORACLE["sample_top_p"] = f"SELECT ctx, tok, round(p, 6) AS p FROM ({KEPT}) k"
+ORACLE["sample_greedy"] = f"SELECT ctx, tok FROM ({RANKED}) r WHERE rk = 1"
+ORACLE["sample_seeded"] = f"""
+  WITH c AS (
+    SELECT ctx, tok, rk,
+           sum(p) OVER (PARTITION BY ctx ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+           CAST(('0x' || substr(md5('7:' || CAST(ctx AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+    FROM ({KEPT}) k)
+  SELECT ctx, coalesce(arg_min(tok, rk) FILTER (WHERE cum >= u), arg_max(tok, rk)) AS tok
+  FROM c GROUP BY ctx"""

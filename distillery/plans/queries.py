@@ -408,3 +408,111 @@ def q_token_profile(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_profile(docs, "text", O.KD_MAX_LENGTH)
+
+
+# ---------------------------------------------------------------- scoring
+
+def _logits(spark, sf_dir):
+    return FX.logits(spark, sf_dir)
+
+
+@query("kd_softmax")
+def q_kd_softmax(spark, sf_dir):
+    from distillery.functions import logits as L
+
+    p = L.softmax(L.scale("assistant", O.KD_TEMPERATURE))
+    return _logits(spark, sf_dir).select("sample_id", "pos", p.alias("p")).select(
+        "sample_id", "pos", F.round(F.array_max("p"), 6).alias("p_max"), L.argmax("p").alias("p_argmax"),
+        F.round(L.weighted_index_sum("p"), 6).alias("p_check"), F.round(L.array_sum("p"), 6).alias("p_sum"))
+
+
+@query("kd_log_softmax")
+def q_kd_log_softmax(spark, sf_dir):
+    from distillery.functions import logits as L
+
+    lp = L.log_softmax(L.scale("student", O.KD_TEMPERATURE))
+    return _logits(spark, sf_dir).select("sample_id", "pos", lp.alias("lp")).select(
+        "sample_id", "pos", F.round(F.array_max("lp"), 6).alias("lp_max"),
+        F.round(L.array_sum("lp"), 6).alias("lp_sum"))
+
+
+@query("kd_pointwise")
+def q_kd_pointwise(spark, sf_dir):
+    from distillery.functions import logits as L
+
+    t = L.kl_terms("student", "assistant", O.KD_TEMPERATURE)
+    return _logits(spark, sf_dir).select("sample_id", "pos", t.alias("t")).select(
+        "sample_id", "pos", F.round(L.array_sum("t"), 6).alias("kl"),
+        F.round(F.array_max("t"), 6).alias("kl_max_term"))
+
+
+@query("kd_reduce")
+def q_kd_reduce(spark, sf_dir):
+    from distillery.operators import scoring as S
+
+    r = S.kd_reductions(_logits(spark, sf_dir), O.KD_TEMPERATURE)
+    return r.select(*[F.round(c, 6).alias(c) for c in ("batchmean", "sum", "mean")])
+
+
+@query("ce_loss")
+def q_ce_loss(spark, sf_dir):
+    from distillery.operators import scoring as S
+
+    return S.ce_loss(_logits(spark, sf_dir)).select(F.round("ce", 6).alias("ce"), "n_valid")
+
+
+@query("combined_loss")
+def q_combined_loss(spark, sf_dir):
+    from distillery.operators import scoring as S
+
+    r = S.combined_loss(_logits(spark, sf_dir), O.KD_TEMPERATURE, O.KD_WEIGHT)
+    return r.select(F.round("ce", 6).alias("ce"), F.round("kd", 6).alias("kd"), F.round("loss", 6).alias("loss"))
+
+
+@query("kd_long")
+def q_kd_long(spark, sf_dir):
+    from distillery.operators import scoring as S
+
+    return S.kd_long(S.explode_logits(_logits(spark, sf_dir)), O.KD_TEMPERATURE).select(
+        F.round("kd", 6).alias("batchmean"))
+
+
+# --------------------------------------------------------------- sampling
+
+TOP_K, TOP_P, SAMPLE_SEED = 20, 0.6, 7
+
+
+def _cands(spark, sf_dir):
+    return FX.candidates(spark, sf_dir)
+
+
+@query("sample_top_k")
+def q_sample_top_k(spark, sf_dir):
+    from distillery.operators.sampling import top_k
+
+    return top_k(_cands(spark, sf_dir), TOP_K).select("ctx", "tok", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _kept(spark, sf_dir):
+    from distillery.operators.sampling import top_k, top_p
+
+    return top_p(top_k(_cands(spark, sf_dir), TOP_K), TOP_P, O.KD_TEMPERATURE)
+
+
+@query("sample_top_p")
+def q_sample_top_p(spark, sf_dir):
+    return _kept(spark, sf_dir).select("ctx", "tok", F.round("p", 6).alias("p"))
+
+
+@query("sample_greedy")
+def q_sample_greedy(spark, sf_dir):
+    from distillery.operators.sampling import greedy
+
+    return greedy(_cands(spark, sf_dir))
+
+
+@query("sample_seeded")
+def q_sample_seeded(spark, sf_dir):
+    from distillery.operators.sampling import sample
+
+    return sample(_kept(spark, sf_dir), SAMPLE_SEED)
