@@ -367,3 +367,16 @@ ORACLE["sample_seeded"] = f"""
     FROM ({KEPT}) k)
   SELECT ctx, coalesce(arg_min(tok, rk) FILTER (WHERE cum >= u), arg_max(tok, rk)) AS tok
   FROM c GROUP BY ctx"""
+
+ORACLE["jsonl_roundtrip"] = f"SELECT split, dataset, row_key, instruction FROM ({UNION}) u"
+ORACLE["registry_run"] = f"SELECT row_idx, dataset, split, instruction FROM ({CORPUS}) c"
+ORACLE["manifest"] = f"""
+  SELECT 'teacher' AS name, 'teacher_outputs' AS source, CAST(count(*) AS BIGINT) AS n_rows,
+         CAST(3 AS BIGINT) AS n_cols, 'source=teacher_outputs;version=v1' AS tags,
+         coalesce(bit_xor(CAST(('0x' || substr(md5(concat_ws(chr(31),
+           coalesce(CAST(row_idx AS VARCHAR), chr(0)), coalesce(instruction, chr(0)),
+           coalesce(output, chr(0)))), 1, 15)) AS BIGINT)), 0) AS digest
+  FROM ({PAIRS}) p"""
+ORACLE["gen_stream"] = f"""
+  SELECT conv_id, turn, text AS instruction, md5({teacher_prompt('text')}) AS output, 'ok' AS status
+  FROM conversations WHERE role = 'user'"""

@@ -516,3 +516,73 @@ def q_sample_seeded(spark, sf_dir):
     from distillery.operators.sampling import sample
 
     return sample(_kept(spark, sf_dir), SAMPLE_SEED)
+
+
+# -------------------------------------------------------- sources, sinks
+
+@query("jsonl_roundtrip")
+def q_jsonl_roundtrip(spark, sf_dir):
+    """A4 + A6: the union written as one JSONL folder per split; A1 + A2:
+    read back with the split taken from the folder name."""
+    from distillery.session import scratch_path
+    from distillery.sources import datasets as DS
+    from distillery.sources import sinks
+
+    u = _union(spark, sf_dir).select("split", "dataset", "row_key", "instruction")
+    root = scratch_path(spark, "jsonl")
+    sinks.write_jsonl_splits(u, f"{root}/corpus")
+    schema = "dataset STRING, row_key BIGINT, instruction STRING"
+    return DS.read_dataset(spark, root, "corpus", schema).select("split", "dataset", "row_key", "instruction")
+
+
+@query("registry_run")
+def q_registry_run(spark, sf_dir):
+    """A9 + A3: the three sources saved as JSONL datasets, resolved from a
+    registry and run through the corpus (file order inside each split)."""
+    from distillery.session import scratch_path
+    from distillery.sources import datasets as DS
+    from distillery.sources import sinks
+
+    root = scratch_path(spark, "registry")
+    for src in FX.corpus_sources(spark, sf_dir):
+        rows = C.union_sources([src]).select("split", F.col("instruction").alias("text"), "row_key")
+        sinks.write_jsonl_splits(rows.orderBy("split", "row_key"), f"{root}/{src.name}")
+    entries = [O.RegistryEntry(n, "text") for n in ("documents", "benchmark", "conversations")]
+    schema = "text STRING, row_key BIGINT"
+    sources = []
+    for e in entries:
+        df = DS.resolve_source(spark, e, root, schema=schema, registry=[x.name for x in entries])
+        sources.append(C.Source(e.name, df, key="text", split=F.col("split")))
+    return C.build_corpus(sources).select("row_idx", "dataset", "split", "instruction")
+
+
+@query("manifest")
+def q_manifest(spark, sf_dir):
+    from distillery.sources.manifest import manifest, tags_text
+
+    t = _pairs(spark, sf_dir).select("row_idx", "instruction", "output")
+    m = manifest(t, "teacher", "teacher_outputs", tags={"version": "v1", "source": "teacher_outputs"},
+                 digest="md5")
+    return m.select("name", "source", "n_rows", "n_cols", tags_text("tags").alias("tags"), "digest")
+
+
+@query("gen_stream")
+def q_gen_stream(spark, sf_dir):
+    """user turns streamed from the table file, answered and committed
+    with a checkpoint (one availableNow pass), then read back."""
+    from distillery.operators.generate import md5_generator
+    from distillery.session import scratch_path
+    from distillery.streaming.generate import read_results, stream_generate
+
+    src = f"{sf_dir}/conversations.parquet"
+    schema = spark.read.parquet(src).schema
+
+    def prompts(df):
+        return (df.filter(F.col("role") == "user")
+                  .select("conv_id", "turn", F.col("text").alias("instruction"),
+                          TX.teacher_prompt("text").alias("prompt")))
+
+    root = scratch_path(spark, "stream")
+    stream_generate(spark, sf_dir, schema, prompts, md5_generator, f"{root}/out", f"{root}/ckpt",
+                    options={"pathGlobFilter": "conversations.parquet"})
+    return read_results(spark, f"{root}/out").select("conv_id", "turn", "instruction", "output", "status")
