@@ -31,7 +31,7 @@ def load_teacher(spark: SparkSession, path: str, only_ok: bool = True,
     return df
 
 
-def test_count(n: int, test_size: float) -> int:
+def held_out_count(n: int, test_size: float) -> int:
     """Exact test size: ``ceil(n * test_size)``; train is the rest."""
     return int(math.ceil(n * test_size)) if n else 0
 
@@ -56,7 +56,7 @@ def exact_split(df: DataFrame, idx: str = "row_idx", test_size: float = O.TEST_S
         "_b", F.conv(F.substring(F.col("_h"), 1, _BUCKET_HEX), 16, 10).cast("int"))
     if n is None:
         n = df.count()
-    k = test_count(n, test_size)
+    k = held_out_count(n, test_size)
     hist = sorted((r["_b"], r["count"]) for r in keyed.groupBy("_b").count().collect())
     below, cut, need = 0, None, 0
     for b, c in hist:
