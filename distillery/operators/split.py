@@ -54,10 +54,10 @@ def exact_split(df: DataFrame, idx: str = "row_idx", test_size: float = O.TEST_S
     h = split_key(idx, seed)
     keyed = df.withColumn("_h", h).withColumn(
         "_b", F.conv(F.substring(F.col("_h"), 1, _BUCKET_HEX), 16, 10).cast("int"))
+    hist = sorted((r["_b"], r["count"]) for r in keyed.groupBy("_b").count().collect())
     if n is None:
-        n = df.count()
+        n = sum(c for _, c in hist)
     k = held_out_count(n, test_size)
-    hist = sorted((r["_b"], r["count"]) for r in keyed.groupBy("_b").count().collect())
     below, cut, need = 0, None, 0
     for b, c in hist:
         if below + c >= k:

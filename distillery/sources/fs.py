@@ -29,3 +29,21 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return sorted(st.getPath().getName() for st in fs.listStatus(p))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+def replace_folder(spark: SparkSession, src: str, dst: str) -> None:
+    """Move a finished folder into place and mark it complete. An existing
+    incomplete ``dst`` (an interrupted earlier write) is removed first."""
+    fs, s = _fs_path(spark, src)
+    _, d = _fs_path(spark, dst)
+    if fs.exists(d):
+        fs.delete(d, True)
+    if not fs.rename(s, d):
+        raise OSError(f"could not move {src} to {dst}")
+    fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dst + "/_SUCCESS")).close()

@@ -18,23 +18,43 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard_id") -> str:
 
 def write_jsonl_splits(df: DataFrame, path: str, split: str = "split", skip_existing: bool = True) -> list[str]:
     """A4: one JSONL folder per split, named ``{path}_{split}.jsonl`` (or
-    ``{path}.jsonl`` for a lone ``train`` split); a split whose folder is
-    already complete (``_SUCCESS``) is skipped. Returns written folders.
-
-    One write per split, each a parallel multi-file write; non-ASCII text
-    is written as UTF-8 and null fields are kept.
+    ``{path}.jsonl`` when the only split is ``train``). Returns the folders
+    written.
+
+    One scan and one committed job for all splits: the rows go to a
+    staging folder partitioned by split, whose split folders are then
+    renamed into place, each with its own ``_SUCCESS``. Splits whose
+    folder is already complete are filtered out before the scan
+    (skip-existing); null fields are kept and text is written as UTF-8.
     """
-    splits = sorted(r[0] for r in df.select(split).distinct().collect())
+    import uuid
+    from urllib.parse import unquote
+
+    from distillery.sources import fs
+
     spark = df.sparkSession
+    parent, stem = path.rstrip("/").rsplit("/", 1)
+    done = []
+    if skip_existing:
+        for name in fs.list_names(spark, parent):
+            if name == f"{stem}.jsonl" and fs.is_complete(spark, f"{parent}/{name}"):
+                done.append("train")
+            elif name.startswith(stem + "_") and name.endswith(".jsonl") \
+                    and fs.is_complete(spark, f"{parent}/{name}"):
+                done.append(name[len(stem) + 1:-len(".jsonl")])
+    todo = df.filter(~F.col(split).isin(done)) if done else df
+    staging = f"{parent}/.{stem}._staging-{uuid.uuid4().hex[:8]}"
+    todo.write.mode("overwrite").partitionBy(split).options(**JSON_WRITE).json(staging)
+    parts = [n for n in fs.list_names(spark, staging) if n.startswith(f"{split}=")]
+    values = [unquote(n[len(split) + 1:]) for n in parts]
+    single = values == ["train"] and not done
     written = []
-    for s in splits:
-        target = f"{path}.jsonl" if splits == ["train"] else f"{path}_{s}.jsonl"
-        if skip_existing and is_complete(spark, target):
-            continue
-        (df.filter(F.col(split) == F.lit(s)).drop(split)
-           .write.mode("overwrite").options(**JSON_WRITE).json(target))
+    for n, v in zip(parts, values):
+        target = f"{parent}/{stem}.jsonl" if single else f"{parent}/{stem}_{v}.jsonl"
+        fs.replace_folder(spark, f"{staging}/{n}", target)
         written.append(target)
-    return written
+    fs.delete(spark, staging)
+    return sorted(written)
 
 
 def write_snapshot(df: DataFrame, path: str) -> str:
