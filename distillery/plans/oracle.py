@@ -380,3 +380,10 @@ ORACLE["manifest"] = f"""
 ORACLE["gen_stream"] = f"""
   SELECT conv_id, turn, text AS instruction, md5({teacher_prompt('text')}) AS output, 'ok' AS status
   FROM conversations WHERE role = 'user'"""
+
+ORACLE["sft_features"] = f"""
+  SELECT s.text, e.ids, array_to_string(list_transform(e.id_list, lambda x: 1), ',') AS mask
+  FROM ({ENCODED}) e JOIN ({SFT_TEXTS}) s USING (row_idx)"""
+ORACLE["kd_features"] = f"""
+  SELECT ids, array_to_string(list_transform(id_list, lambda x: 1), ',') AS mask
+  FROM ({encoded(SFT_TEXTS, 'row_idx', O.KD_MAX_LENGTH)}) e"""

@@ -586,3 +586,26 @@ def q_gen_stream(spark, sf_dir):
     stream_generate(spark, sf_dir, schema, prompts, md5_generator, f"{root}/out", f"{root}/ckpt",
                     options={"pathGlobFilter": "conversations.parquet"})
     return read_results(spark, f"{root}/out").select("conv_id", "turn", "instruction", "output", "status")
+
+
+@query("sft_features")
+def q_sft_features(spark, sf_dir):
+    """B5 (SFT): training text plus token columns, nothing else."""
+    from distillery.operators.filters import prune_for_sft
+    from distillery.operators.tokens import ids_text
+
+    e = _encoded(spark, sf_dir).withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
+    f = prune_for_sft(e)
+    return f.select("text", ids_text("input_ids").alias("ids"), ids_text("attention_mask").alias("mask"))
+
+
+@query("kd_features")
+def q_kd_features(spark, sf_dir):
+    """B5 (KD): token columns only, KD length limit."""
+    from distillery.operators.filters import prune_for_kd
+    from distillery.operators.tokens import ids_text
+
+    e = _encoded(spark, sf_dir, O.KD_MAX_LENGTH).withColumn(
+        "attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
+    f = prune_for_kd(e)
+    return f.select(ids_text("input_ids").alias("ids"), ids_text("attention_mask").alias("mask"))
