@@ -20,3 +20,13 @@ def conversation_messages(turns: DataFrame, conv: str = "conv_id", turn: str = "
                                                       F.col(text).alias("content")))).alias("_m"))
             .select(conv, F.transform("_m", lambda m: F.struct(m["role"].alias("role"),
                                                                 m["content"].alias("content"))).alias("messages")))
+
+
+def render_turn_lines(turns: DataFrame, role: str = "role", text: str = "text", out: str = "line") -> DataFrame:
+    """E7 without grouping: each turn rendered as its ``Role: content`` line
+    (map-only). Joining the lines of a conversation in turn order gives the
+    text of ``render_messages``; use this form when a conversation may be
+    too large to hold in one row."""
+    from distillery.functions.text import role_title
+
+    return turns.withColumn(out, F.concat(role_title(role), F.lit(": "), F.col(text)))
