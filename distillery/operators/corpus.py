@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from distillery import options as O
 from distillery.functions.text import teacher_prompt, word_count
 from distillery.operators.filters import keep_short, project_key
-from distillery.operators.order import with_row_index
+from distillery.operators.order import with_row_index, with_row_index_and_count
 
 CORPUS_ORDER = ["dataset_ord", "split", "src_file", "src_block", "row_key"]
 
@@ -90,6 +90,13 @@ def build_corpus(sources: list[Source], limit: int = O.PROMPT_WORD_LIMIT,
     return index_corpus(filter_corpus(union_sources(sources), limit), num_partitions)
 
 
+def build_corpus_and_count(sources: list[Source], limit: int = O.PROMPT_WORD_LIMIT,
+                           num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``build_corpus`` plus its row count (no extra job)."""
+    return with_row_index_and_count(filter_corpus(union_sources(sources), limit), CORPUS_ORDER,
+                                    "row_idx", num_partitions)
+
+
 def with_teacher_prompt(df: DataFrame, system: str = O.TEACHER_SYSTEM_PROMPT) -> DataFrame:
     """E1 as a column ``prompt``."""
     return df.withColumn("prompt", teacher_prompt("instruction", system))

@@ -16,6 +16,12 @@ def _cols(cols) -> list[Column]:
 
 def with_row_index(df: DataFrame, order_by, out: str = "row_idx",
                    num_partitions: int | None = None) -> DataFrame:
+    """D1; see ``with_row_index_and_count``."""
+    return with_row_index_and_count(df, order_by, out, num_partitions)[0]
+
+
+def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
+                             num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """A dense 0-based index in ``order_by`` order, without a global sort.
 
     Two passes, never one task for all rows:
@@ -28,6 +34,7 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx",
        row's position inside its partition.
 
     The order keys must be unique for the index to be deterministic.
+    Returns the indexed frame and its row count (known from pass 2).
     """
     spark = df.sparkSession
     from distillery.session import ensure_checkpoint_dir
@@ -48,12 +55,13 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx",
         offsets.append((int(pid), int(acc)))
         acc += cnt
     if not offsets:
-        return local.withColumn(out, F.lit(None).cast("bigint")).drop("_pid", "_pos")
+        return local.withColumn(out, F.lit(None).cast("bigint")).drop("_pid", "_pos"), 0
     off_df = spark.createDataFrame(offsets, "_pid INT, _off BIGINT")
     # One row per partition: bounded by the partition count, safe to broadcast.
-    return (local.join(F.broadcast(off_df), "_pid")
-            .withColumn(out, (F.col("_off") + F.col("_pos")).cast("bigint"))
-            .drop("_pid", "_pos", "_off"))
+    indexed = (local.join(F.broadcast(off_df), "_pid")
+               .withColumn(out, (F.col("_off") + F.col("_pos")).cast("bigint"))
+               .drop("_pid", "_pos", "_off"))
+    return indexed, int(acc)
 
 
 def chunk_size(n: int, world: int) -> int:

@@ -50,11 +50,30 @@ def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
     return reserved.unionByName(numbered.select("token", "token_id", "n"))
 
 
-def _vocab_pairs(vocab: DataFrame, limit: int) -> list[tuple[str, int]]:
-    rows = vocab.select("token", "token_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise OverflowError("vocabulary larger than the broadcast bound")
-    return [(r[0], int(r[1])) for r in rows]
+class Vocab:
+    """A collected vocabulary whose size was checked against a bound; build
+    once, use for any number of encode / decode calls."""
+
+    def __init__(self, pairs: list[tuple[str, int]]):
+        self.pairs = pairs
+
+    @classmethod
+    def load(cls, vocab: DataFrame, limit: int = MAX_BROADCAST_ENTRIES) -> "Vocab":
+        rows = vocab.select("token", "token_id").limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise OverflowError("vocabulary larger than the broadcast bound")
+        return cls([(r[0], int(r[1])) for r in rows])
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.pairs, "token STRING, token_id INT")
+
+
+def _vocab_pairs(vocab, limit: int) -> list[tuple[str, int]]:
+    if isinstance(vocab, Vocab):
+        if len(vocab.pairs) > limit:
+            raise OverflowError("vocabulary larger than the broadcast bound")
+        return vocab.pairs
+    return Vocab.load(vocab, limit).pairs
 
 
 def encode(df: DataFrame, vocab: DataFrame, col: str = "text", out: str = "input_ids",
@@ -75,6 +94,8 @@ def encode(df: DataFrame, vocab: DataFrame, col: str = "text", out: str = "input
         else:
             return _encode_arrow(df, pairs, col, out, max_length)
     if method == "join":
+        if isinstance(vocab, Vocab):
+            vocab = vocab.frame(df.sparkSession)
         return _encode_join(df, vocab, col, out, max_length, key)
     raise ValueError(f"unknown method {method!r}")
 

@@ -136,8 +136,8 @@ WORLD = 4
 def _sharded(spark, sf_dir):
     from distillery.operators import order as D
 
-    c = _corpus(spark, sf_dir)
-    return D.assign_shards(c, c.count(), WORLD)
+    c, n = C.build_corpus_and_count(FX.corpus_sources(spark, sf_dir), O.PROMPT_WORD_LIMIT)
+    return D.assign_shards(c, n, WORLD)
 
 
 @query("shard_assign")
@@ -310,20 +310,32 @@ def q_teacher_load(spark, sf_dir):
 VOCAB_SIZE = 4096
 
 
-def _sft_texts(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("row_idx", TX.training_text("instruction", "output").alias("text"))
+def _sft_texts(spark, sf_dir, pairs=None):
+    p = pairs if pairs is not None else _pairs(spark, sf_dir)
+    return p.select("row_idx", TX.training_text("instruction", "output").alias("text"))
 
 
-def _vocab(spark, sf_dir):
+def _vocab(spark, sf_dir, texts=None):
     from distillery.operators.tokens import build_vocab
 
-    return build_vocab(_sft_texts(spark, sf_dir), "text", VOCAB_SIZE)
+    t = texts if texts is not None else _sft_texts(spark, sf_dir)
+    return build_vocab(t, "text", VOCAB_SIZE)
+
+
+def _token_inputs(spark, sf_dir):
+    """Pairs, their training texts and the collected vocabulary, built once."""
+    from distillery.operators.tokens import Vocab
+
+    p = _pairs(spark, sf_dir)
+    texts = _sft_texts(spark, sf_dir, p)
+    return p, texts, Vocab.load(_vocab(spark, sf_dir, texts))
 
 
-def _encoded(spark, sf_dir, max_length=O.SFT_MAX_LENGTH):
+def _encoded(spark, sf_dir, max_length=O.SFT_MAX_LENGTH, inputs=None):
     from distillery.operators.tokens import encode
 
-    return encode(_sft_texts(spark, sf_dir), _vocab(spark, sf_dir), "text", "input_ids", max_length)
+    _, texts, vocab = inputs or _token_inputs(spark, sf_dir)
+    return encode(texts, vocab, "text", "input_ids", max_length)
 
 
 @query("vocab")
@@ -346,15 +358,15 @@ def q_truncate(spark, sf_dir):
     from distillery.operators.tokens import encode, ids_text
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    e = encode(docs, _vocab(spark, sf_dir), "text", "input_ids", O.KD_MAX_LENGTH, key="doc_id")
+    e = encode(docs, _token_inputs(spark, sf_dir)[2], "text", "input_ids", O.KD_MAX_LENGTH, key="doc_id")
     return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     TX.word_count("text").alias("n_words"), ids_text("input_ids").alias("ids"))
 
 
-def _padded(spark, sf_dir):
+def _padded(spark, sf_dir, inputs=None):
     from distillery.operators.tokens import pad_batches
 
-    e = _encoded(spark, sf_dir).withColumn(
+    e = _encoded(spark, sf_dir, inputs=inputs).withColumn(
         "batch_id", F.floor(F.col("row_idx") / O.KD_BATCH_SIZE).cast("bigint"))
     return pad_batches(e, "input_ids", "batch_id", "left")
 
@@ -378,7 +390,8 @@ def q_labels_causal(spark, sf_dir):
 def q_decode(spark, sf_dir):
     from distillery.operators.tokens import decode
 
-    return decode(_padded(spark, sf_dir), _vocab(spark, sf_dir), "input_ids", "decoded").select("row_idx", "decoded")
+    inputs = _token_inputs(spark, sf_dir)
+    return decode(_padded(spark, sf_dir, inputs), inputs[2], "input_ids", "decoded").select("row_idx", "decoded")
 
 
 @query("drop_prompt_ids")
@@ -386,9 +399,9 @@ def q_drop_prompt_ids(spark, sf_dir):
     """Cut the student-prompt ids off the full training-text ids."""
     from distillery.operators.tokens import drop_prompt, encode, ids_text
 
-    v = _vocab(spark, sf_dir)
-    p = _pairs(spark, sf_dir).select("row_idx", TX.training_text("instruction", "output").alias("text"),
-                                      TX.student_prompt("instruction").alias("prompt"))
+    pairs, _, v = _token_inputs(spark, sf_dir)
+    p = pairs.select("row_idx", TX.training_text("instruction", "output").alias("text"),
+                     TX.student_prompt("instruction").alias("prompt"))
     p = encode(encode(p, v, "text", "full_ids", None), v, "prompt", "prompt_ids", None)
     ans = drop_prompt("full_ids", F.size("prompt_ids"))
     return p.select("row_idx", F.size("prompt_ids").cast("bigint").alias("n_prompt"),
