@@ -94,3 +94,21 @@ def test_f_logits_batchmean(spark):
     r = S.kd_reductions(FX.logits(spark, SF_MID), 0.5).first()
     assert round(r.batchmean, 6) == 0.061321
     assert F is not None
+
+
+@pytest.mark.parametrize("T", [0.5, 2.0])
+def test_hof_and_arrow_paths_agree(spark, T):
+    rows = [(0, p, [float(v) for v in STU[p]], [float(v) for v in ASS[p]], lab)
+            for p, lab in enumerate([1, 2, 3])]
+    rows.append((1, 0, [1.0, 2.0], [1.0], 0))      # width mismatch -> null KL
+    df = spark.createDataFrame(rows, "sample_id BIGINT, pos BIGINT, student ARRAY<DOUBLE>, "
+                                     "assistant ARRAY<DOUBLE>, label INT")
+    a = {(r.sample_id, r.pos): r.kl for r in S.with_kl(df, T, method="hof").collect()}
+    b = {(r.sample_id, r.pos): r.kl for r in S.with_kl(df, T, method="arrow").collect()}
+    assert a[(1, 0)] is None and b[(1, 0)] is None
+    for k in a:
+        if a[k] is not None:
+            assert math.isclose(a[k], b[k], rel_tol=1e-12, abs_tol=1e-15)
+    ca = S.ce_loss(df, method="hof").first()
+    cb = S.ce_loss(df, method="arrow").first()
+    assert math.isclose(ca.ce, cb.ce, rel_tol=1e-12) and ca.n_valid == cb.n_valid
