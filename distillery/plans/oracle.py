@@ -387,3 +387,11 @@ ORACLE["sft_features"] = f"""
 ORACLE["kd_features"] = f"""
   SELECT ids, array_to_string(list_transform(id_list, lambda x: 1), ',') AS mask
   FROM ({encoded(SFT_TEXTS, 'row_idx', O.KD_MAX_LENGTH)}) e"""
+
+ORACLE["snapshot_roundtrip"] = "SELECT doc_id, lang, text AS instruction, 'train' AS split FROM documents"
+ORACLE["prompts_once"] = f"SELECT row_idx, instruction FROM ({CORPUS}) c"
+ORACLE["gen_dispatch"] = f"""
+  SELECT 'inline' AS mode, row_idx, output, status FROM ({ORACLE['gen_md5']}) a
+  UNION ALL
+  SELECT 'replay' AS mode, row_idx, output, status FROM ({ORACLE['gen_replay']}) b"""
+ORACLE["batch_append"] = ORACLE["batch_responses"]

@@ -622,3 +622,63 @@ def q_kd_features(spark, sf_dir):
         "attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
     f = prune_for_kd(e)
     return f.select(ids_text("input_ids").alias("ids"), ids_text("attention_mask").alias("mask"))
+
+
+@query("snapshot_roundtrip")
+def q_snapshot_roundtrip(spark, sf_dir):
+    """A5 + A3: a columnar snapshot of a source, resolved back through the
+    source order (no JSONL present -> snapshot)."""
+    from distillery.session import scratch_path
+    from distillery.sources import datasets as DS
+    from distillery.sources import sinks
+
+    root = scratch_path(spark, "snap")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.col("text").alias("instruction"))
+    sinks.write_snapshot(docs, f"{root}/snapshots/documents")
+    df = DS.resolve_source(spark, O.RegistryEntry("documents"), f"{root}/jsonl", f"{root}/snapshots")
+    return df.select("doc_id", "lang", "instruction", "split")
+
+
+@query("prompts_once")
+def q_prompts_once(spark, sf_dir):
+    """The prompt file is written once; a second run finds it complete
+    and skips the step."""
+    from distillery.session import scratch_path
+    from distillery.sources import sinks
+
+    path = scratch_path(spark, "prompts")
+    corpus = _corpus(spark, sf_dir).select("row_idx", "instruction")
+    first = sinks.write_once(corpus, path)
+    second = sinks.write_once(corpus, path)
+    if not first or second:
+        raise RuntimeError("write_once did not skip a complete output")
+    return spark.read.schema("row_idx BIGINT, instruction STRING").json(path)
+
+
+@query("gen_dispatch")
+def q_gen_dispatch(spark, sf_dir):
+    """the same corpus answered inline (generator) and by replay
+    (stored answers) through one entry point."""
+    from distillery.operators.generate import answer, md5_generator
+
+    c = C.with_teacher_prompt(_corpus(spark, sf_dir))
+    answers = _pairs(spark, sf_dir).select("instruction", "output", F.col("row_idx").alias("answer_idx"))
+    inline = answer(c, "inline", factory=md5_generator).select(
+        F.lit("inline").alias("mode"), "row_idx", "output", "status")
+    replayed = answer(c.select("row_idx", "instruction"), "replay", answers=answers, order_col="answer_idx").select(
+        F.lit("replay").alias("mode"), "row_idx", "output", "status")
+    return inline.unionByName(replayed)
+
+
+@query("batch_append")
+def q_batch_append(spark, sf_dir):
+    """Parsed batch results appended to the teacher output twice; the
+    second append adds nothing (left-anti on custom_id)."""
+    from distillery.session import scratch_path
+    from distillery.sources import sinks
+
+    res = _batch_results(spark, sf_dir).select("custom_id", "instruction", "output", "status")
+    path = scratch_path(spark, "teacher-batch")
+    sinks.append_new_results(res, path)
+    sinks.append_new_results(res, path)
+    return spark.read.schema(res.schema).json(path)
