@@ -31,19 +31,34 @@ def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
                 max_token_chars: int = 256) -> DataFrame:
     """H4 + H5: ``(token, token_id, n)``; reserved rows have ``n`` null.
 
-    Word counts use partial aggregation (frequent words are combined
-    map-side), the top ``size`` are taken with a bounded top-k, and only
-    those ``size`` rows are numbered.
+    No step funnels the token universe through one task:
+
+    1. word counts are a partial aggregate (frequent words combine
+       map-side), checkpointed;
+    2. a histogram of the count values (one row per distinct count, a
+       small collect) gives the cut count ``c`` so that at least ``size``
+       tokens have ``n >= c``;
+    3. only those candidates are ranked, by (n desc, token asc), with the
+       distributed two-pass row index; ranks below ``size`` are kept.
     """
     if size <= 0:
         raise ValueError("size must be > 0")
+    from distillery.operators.order import with_row_index
+
     w = texts.select(F.explode(words(col)).alias("token"))
     counts = (w.filter(~F.col("token").isin(RESERVED) & (F.length("token") <= max_token_chars))
-               .groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
-    top = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(size)
-    numbered = top.withColumn(
-        "token_id", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("token").asc()))
-                     + F.lit(len(RESERVED) - 1)).cast("int"))
+               .groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n"))).checkpoint(eager=True)
+    hist = sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True)
+    cut, seen = 0, 0
+    for n, c in hist:
+        seen += c
+        cut = n
+        if seen >= size:
+            break
+    candidates = counts.filter(F.col("n") >= F.lit(cut)).withColumn("_neg", -F.col("n"))
+    ranked = with_row_index(candidates, ["_neg", "token"], "_rank")
+    numbered = (ranked.filter(F.col("_rank") < size)
+                .withColumn("token_id", (F.col("_rank") + F.lit(len(RESERVED))).cast("int")))
     spark = texts.sparkSession
     reserved = spark.createDataFrame([(t, i, None) for i, t in enumerate(RESERVED)],
                                      "token STRING, token_id INT, n BIGINT")
