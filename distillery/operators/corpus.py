@@ -12,7 +12,8 @@ from distillery.functions.text import teacher_prompt, word_count
 from distillery.operators.filters import keep_short, project_key
 from distillery.operators.order import with_row_index, with_row_index_and_count
 
-CORPUS_ORDER = ["dataset_ord", "split", "src_file", "src_block", "row_key"]
+# Nulls sort last in every key (as in standard SQL engines' default).
+CORPUS_ORDER = [F.col(c).asc_nulls_last() for c in ("dataset_ord", "split", "src_file", "src_block", "row_key")]
 
 
 @dataclass

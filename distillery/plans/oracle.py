@@ -48,7 +48,7 @@ FILTERED = f"""
 """
 
 CORPUS = f"""
-  SELECT *, row_number() OVER (ORDER BY dataset_ord, split, row_key) - 1 AS row_idx
+  SELECT *, row_number() OVER (ORDER BY dataset_ord, split NULLS LAST, row_key NULLS LAST) - 1 AS row_idx
   FROM ({FILTERED}) f
 """
 
