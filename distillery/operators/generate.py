@@ -28,7 +28,9 @@ def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
     """F1 + F2: add ``output`` and ``status`` ('ok' / 'error' / 'no_prompt').
 
     Work is spread by the input partitioning; call ``partition_by_shard``
-    first to reproduce fixed contiguous shards.
+    first to reproduce fixed contiguous shards. Every input column crosses
+    Arrow both ways (the Python function is opaque to column pruning), so
+    select only the key and prompt columns first.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")

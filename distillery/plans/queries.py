@@ -184,7 +184,9 @@ def q_resume_anti(spark, sf_dir):
 # ------------------------------------------------------------- generation
 
 def _prompts(spark, sf_dir):
-    return C.with_teacher_prompt(_corpus(spark, sf_dir))
+    """Only the columns the answer needs: ``mapInPandas`` is opaque to
+    column pruning, so everything selected here crosses Arrow twice."""
+    return C.with_teacher_prompt(_corpus(spark, sf_dir)).select("row_idx", "instruction", "prompt")
 
 
 @query("gen_md5")
@@ -211,7 +213,7 @@ def q_shard_merge(spark, sf_dir):
     from distillery.session import scratch_path
     from distillery.sources import sinks
 
-    s = C.with_teacher_prompt(_sharded(spark, sf_dir))
+    s = C.with_teacher_prompt(_sharded(spark, sf_dir)).select("row_idx", "shard_id", "instruction", "prompt")
     outs = generate(D.partition_by_shard(s, WORLD), md5_generator)
     path = scratch_path(spark, "shards")
     sinks.write_shards(outs.select("row_idx", "shard_id", "instruction", "output"), path)
@@ -661,7 +663,7 @@ def q_gen_dispatch(spark, sf_dir):
     (stored answers) through one entry point."""
     from distillery.operators.generate import answer, md5_generator
 
-    c = C.with_teacher_prompt(_corpus(spark, sf_dir))
+    c = _prompts(spark, sf_dir)
     answers = _pairs(spark, sf_dir).select("instruction", "output", F.col("row_idx").alias("answer_idx"))
     inline = answer(c, "inline", factory=md5_generator).select(
         F.lit("inline").alias("mode"), "row_idx", "output", "status")
