@@ -62,6 +62,8 @@ def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_lines_from(p: DataFrame) -> DataFrame:
+    """Every pair yields exactly one line; the rules on ``row_idx`` only pick
+    which kind of line it is (no row is dropped or sampled here)."""
     i = F.col("row_idx")
     rid = i.cast("string")
     line = (F.when(i % 13 == 6, F.concat(F.lit('{"custom_id": "request-'), rid))
