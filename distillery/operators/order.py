@@ -146,3 +146,27 @@ def merge_shards_from(spark, path: str, shard: str = "shard_id") -> DataFrame:
 def count_rows(df: DataFrame) -> int:
     """A10: rows already produced."""
     return int(df.count())
+
+
+def with_next(df: DataFrame, group: list[str], order: list[str], cols: list[str],
+              prefix: str = "next_") -> DataFrame:
+    """``lead(c) over (partition by group order by order)`` for each ``c``
+    in ``cols``, without a window per group.
+
+    A window sends every row of a group to one task; here the rows get a
+    global two-pass index (D1) over ``group + order`` and each row is
+    equi-joined to the row at index + 1 -- a unique key, so one group
+    holding a large share of all rows is still spread over all tasks. The
+    value is kept only when the successor belongs to the same group.
+    """
+    idx = with_row_index(df, list(group) + list(order), "_g")
+    succ = idx.select((F.col("_g") - F.lit(1)).alias("_g"),
+                      *[F.col(g).alias(f"_sg{i}") for i, g in enumerate(group)],
+                      *[F.col(c).alias(f"_sv{i}") for i, c in enumerate(cols)])
+    j = idx.join(succ, "_g", "left")
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_sg{i}"))
+    for i, c in enumerate(cols):
+        j = j.withColumn(prefix + c, F.when(same, F.col(f"_sv{i}")))
+    return j.drop("_g", *[f"_sg{i}" for i in range(len(group))], *[f"_sv{i}" for i in range(len(cols))])

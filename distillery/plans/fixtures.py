@@ -27,23 +27,29 @@ def corpus_sources(spark: SparkSession, sf_dir: str) -> list[Source]:
     ]
 
 
-def pairs(spark: SparkSession, sf_dir: str, index: bool = True) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, index: bool = True, method: str = "join") -> DataFrame:
     """f_pairs: each user turn answered by the next assistant turn.
 
-    ``lead`` runs per conversation (a bounded group); the index is the
-    two-pass D1 index on (conv_id, turn).
+    ``method="join"`` finds the next turn with ``order.with_next`` (no
+    per-conversation window, so one very long conversation is still spread
+    over all tasks); ``"window"`` uses ``lead`` per conversation. The index
+    is the two-pass D1 index on (conv_id, turn).
     """
+    from distillery.operators.order import with_next, with_row_index
+
     conv = read_table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    p = (conv.withColumn("nxt", F.lead("text").over(w))
-             .withColumn("nr", F.lead("role").over(w))
-             .filter((F.col("role") == "user") & (F.col("nr") == "assistant"))
-             .select("conv_id", "turn", F.col("text").alias("instruction"),
-                     F.col("nxt").alias("output")))
+    if method == "join":
+        x = with_next(conv, ["conv_id"], ["turn"], ["text", "role"])
+        x = x.withColumnRenamed("next_text", "nxt").withColumnRenamed("next_role", "nr")
+    elif method == "window":
+        w = Window.partitionBy("conv_id").orderBy("turn")
+        x = conv.withColumn("nxt", F.lead("text").over(w)).withColumn("nr", F.lead("role").over(w))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    p = (x.filter((F.col("role") == "user") & (F.col("nr") == "assistant"))
+          .select("conv_id", "turn", F.col("text").alias("instruction"), F.col("nxt").alias("output")))
     if not index:
         return p
-    from distillery.operators.order import with_row_index
-
     return with_row_index(p, ["conv_id", "turn"])
 
 

@@ -55,3 +55,25 @@ def test_batches(spark):
     assert st == {0: 4, 1: 4, 2: 2}
     with pytest.raises(ValueError):
         D.assign_batches(df, 0)
+
+
+def test_with_next_equals_window_lead(spark):
+    from pyspark.sql import Window
+
+    rows = [(g, t, f"v{g}-{t}") for g in range(4) for t in range(0, 3 * (g + 1), 2 if g % 2 else 1)]
+    rows += [(99, t, f"hot{t}") for t in range(300)]          # one group with most rows
+    df = spark.createDataFrame(rows, "g INT, t INT, v STRING").repartition(6)
+    w = Window.partitionBy("g").orderBy("t")
+    a = {(r.g, r.t): r.next_v for r in D.with_next(df, ["g"], ["t"], ["v"]).collect()}
+    b = {(r.g, r.t): r.nv for r in df.withColumn("nv", F.lead("v").over(w)).collect()}
+    assert a == b
+
+
+def test_pairs_methods_agree(spark):
+    from distillery.plans import fixtures as FX
+    from tests.conftest import SF_SMALL
+
+    cols = ["row_idx", "conv_id", "turn", "instruction", "output"]
+    a = sorted(tuple(r) for r in FX.pairs(spark, SF_SMALL, method="join").select(*cols).collect())
+    b = sorted(tuple(r) for r in FX.pairs(spark, SF_SMALL, method="window").select(*cols).collect())
+    assert a == b and len(a) == 34
