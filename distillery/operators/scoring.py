@@ -114,9 +114,20 @@ def kd_reductions(df: DataFrame, temperature: float = O.KD_TEMPERATURE, sample:
 
 
 def with_next_label(df: DataFrame, sample: str = "sample_id", pos: str = "pos",
-                    label: str = "label", out: str = "target") -> DataFrame:
-    """I8: the label of the next position (causal shift); last is null."""
-    return df.withColumn(out, F.lead(label).over(Window.partitionBy(sample).orderBy(pos)))
+                    label: str = "label", out: str = "target", method: str = "window") -> DataFrame:
+    """I8: the label of the next position (causal shift); last is null.
+
+    ``window``: ``lead`` per sample (a sequence bounded by the context
+    length). ``join``: ``order.with_next`` (global index + equi-join), for
+    sequences of unbounded length.
+    """
+    if method == "window":
+        return df.withColumn(out, F.lead(label).over(Window.partitionBy(sample).orderBy(pos)))
+    if method == "join":
+        from distillery.operators.order import with_next
+
+        return with_next(df, [sample], [pos], [label], prefix="_next_").withColumnRenamed(f"_next_{label}", out)
+    raise ValueError(f"unknown method {method!r}")
 
 
 def with_ce(df: DataFrame, logits: str = "student", target: str = "target", out: str = "ce",

@@ -112,3 +112,14 @@ def test_hof_and_arrow_paths_agree(spark, T):
     ca = S.ce_loss(df, method="hof").first()
     cb = S.ce_loss(df, method="arrow").first()
     assert math.isclose(ca.ce, cb.ce, rel_tol=1e-12) and ca.n_valid == cb.n_valid
+
+
+def test_next_label_methods_agree(spark):
+    from tests.conftest import SF_SMALL
+
+    from distillery.plans import fixtures as FX
+
+    lg = FX.logits(spark, SF_SMALL).select("sample_id", "pos", "label")
+    a = {(r.sample_id, r.pos): r.target for r in S.with_next_label(lg).collect()}
+    b = {(r.sample_id, r.pos): r.target for r in S.with_next_label(lg, method="join").collect()}
+    assert a == b and len(a) == 500
