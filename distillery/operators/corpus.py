@@ -12,8 +12,12 @@ from distillery.functions.text import teacher_prompt, word_count
 from distillery.operators.filters import keep_short, project_key
 from distillery.operators.order import with_row_index, with_row_index_and_count
 
-# Nulls sort last in every key (as in standard SQL engines' default).
-CORPUS_ORDER = [F.col(c).asc_nulls_last() for c in ("dataset_ord", "split", "src_file", "src_block", "row_key")]
+CORPUS_KEYS = ("dataset_ord", "split", "src_file", "src_block", "row_key")
+
+
+def corpus_order():
+    """Order keys of the corpus index; nulls sort last in every key."""
+    return [F.col(c).asc_nulls_last() for c in CORPUS_KEYS]
 
 
 @dataclass
@@ -82,7 +86,7 @@ def filter_corpus(df: DataFrame, limit: int = O.PROMPT_WORD_LIMIT) -> DataFrame:
 
 def index_corpus(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """D1 on the corpus order (dataset, split, file, block, row key)."""
-    return with_row_index(df, CORPUS_ORDER, "row_idx", num_partitions)
+    return with_row_index(df, corpus_order(), "row_idx", num_partitions)
 
 
 def build_corpus(sources: list[Source], limit: int = O.PROMPT_WORD_LIMIT,
@@ -94,7 +98,7 @@ def build_corpus(sources: list[Source], limit: int = O.PROMPT_WORD_LIMIT,
 def build_corpus_and_count(sources: list[Source], limit: int = O.PROMPT_WORD_LIMIT,
                            num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """``build_corpus`` plus its row count (no extra job)."""
-    return with_row_index_and_count(filter_corpus(union_sources(sources), limit), CORPUS_ORDER,
+    return with_row_index_and_count(filter_corpus(union_sources(sources), limit), corpus_order(),
                                     "row_idx", num_partitions)
 
 

@@ -41,3 +41,18 @@ def test_query_matches_oracle_sf0001(spark, duck, name):
     d_cols, d_rows = [d[0] for d in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
     assert rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
+
+
+def test_registry_imports_without_a_session():
+    """The driver may call queries() / oracle_sql() before any session
+    exists: nothing may build a Column at import time."""
+    import subprocess
+    import sys
+
+    code = ("import importlib.util as u; s = u.spec_from_file_location('e', %r); e = u.module_from_spec(s); "
+            "s.loader.exec_module(e); print(len(e.queries()), len(e.oracle_sql()))"
+            % os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py"))
+    out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_q, n_o = map(int, out.stdout.split())
+    assert n_q == n_o and n_q >= 50
