@@ -28,7 +28,7 @@ def _c(c) -> Column:
 
 
 def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
-                max_token_chars: int = 256) -> DataFrame:
+                max_token_chars: int = 256, single_task_rank_max: int = 1_000_000) -> DataFrame:
     """H4 + H5: ``(token, token_id, n)``; reserved rows have ``n`` null.
 
     No step funnels the token universe through one task:
@@ -38,8 +38,10 @@ def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
     2. a histogram of the count values (one row per distinct count, a
        small collect) gives the cut count ``c`` so that at least ``size``
        tokens have ``n >= c``;
-    3. only those candidates are ranked, by (n desc, token asc), with the
-       distributed two-pass row index; ranks below ``size`` are kept.
+    3. only those candidates are ranked, by (n desc, token asc); their
+       number is known from the histogram: up to ``single_task_rank_max``
+       they are ranked in one window (a proven bound), beyond it with the
+       distributed two-pass row index. Ranks below ``size`` are kept.
     """
     if size <= 0:
         raise ValueError("size must be > 0")
@@ -56,7 +58,11 @@ def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
         if seen >= size:
             break
     candidates = counts.filter(F.col("n") >= F.lit(cut)).withColumn("_neg", -F.col("n"))
-    ranked = with_row_index(candidates, ["_neg", "token"], "_rank")
+    if seen <= single_task_rank_max:
+        ranked = candidates.withColumn(
+            "_rank", F.row_number().over(Window.orderBy("_neg", "token")) - F.lit(1))
+    else:
+        ranked = with_row_index(candidates, ["_neg", "token"], "_rank")
     numbered = (ranked.filter(F.col("_rank") < size)
                 .withColumn("token_id", (F.col("_rank") + F.lit(len(RESERVED))).cast("int")))
     spark = texts.sparkSession

@@ -65,3 +65,14 @@ def test_drop_prompt_and_special(spark):
                   K.drop_special("ids").alias("c")).first()
     assert r.a == [5, 6, 0] and r.b == [] and r.c == [4, 5, 6]
     assert F is not None
+
+
+def test_vocab_ranking_paths_agree(spark):
+    from tests.conftest import SF_SMALL
+
+    from distillery.plans import fixtures as FX
+
+    texts = FX.conversation_turns(spark, SF_SMALL).select("text")
+    a = sorted(tuple(r) for r in K.build_vocab(texts, "text", 300).collect())
+    b = sorted(tuple(r) for r in K.build_vocab(texts, "text", 300, single_task_rank_max=0).collect())
+    assert a == b and len(a) == 302
