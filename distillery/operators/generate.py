@@ -21,16 +21,40 @@ Generator = Callable[[list], list]
 Factory = Callable[[], Generator]
 
 
+def _worker_store() -> dict:
+    """A dict that lives as long as the Python worker process (kept in
+    ``sys.modules`` so by-value pickled code finds the same object)."""
+    import sys
+    import types
+
+    m = sys.modules.get("_distillery_worker_store")
+    if m is None:
+        m = types.ModuleType("_distillery_worker_store")
+        m.store = {}
+        sys.modules[m.__name__] = m
+    return m.store
+
+
+def _factory_key(factory: Factory) -> str:
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    return hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
+
+
 def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
              output_col: str = "output", status_col: str = "status",
              batch_size: int = O.GEN_BATCH_SIZE,
-             error_prefix: str = O.GENERATION_ERROR_MARK) -> DataFrame:
+             error_prefix: str = O.GENERATION_ERROR_MARK, reuse: bool = True) -> DataFrame:
     """F1 + F2: add ``output`` and ``status`` ('ok' / 'error' / 'no_prompt').
 
     Work is spread by the input partitioning; call ``partition_by_shard``
     first to reproduce fixed contiguous shards. Every input column crosses
     Arrow both ways (the Python function is opaque to column pruning), so
-    select only the key and prompt columns first.
+    select only the key and prompt columns first. With ``reuse`` the built
+    generator (e.g. a loaded model) is kept per Python worker process and
+    shared by the tasks that worker runs.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
@@ -38,9 +62,16 @@ def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
     schema = T.StructType(fields + [T.StructField(output_col, T.StringType()),
                                     T.StructField(status_col, T.StringType())])
     names = [f.name for f in fields]
+    key = _factory_key(factory) if reuse else None
 
     def run(batches):
-        fn = factory()
+        if key is None:
+            fn = factory()
+        else:
+            store = _worker_store()
+            fn = store.get(key)
+            if fn is None:
+                fn = store[key] = factory()
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
             outs: list = [None] * len(prompts)

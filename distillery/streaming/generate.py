@@ -17,13 +17,17 @@ from distillery.operators.generate import Factory, generate
 def stream_generate(spark: SparkSession, source_path: str, schema: T.StructType, transform,
                     factory: Factory, sink_path: str, checkpoint_path: str, source_format: str = "parquet",
                     sink_format: str = "parquet", timeout_s: int = 600, batch_size: int = 256,
-                    max_files_per_trigger: int | None = None, options: dict | None = None) -> bool:
+                    max_files_per_trigger: int | None = None, options: dict | None = None,
+                    trigger: dict | None = None) -> bool:
     """Run one ``availableNow`` pass: every input not yet processed is
     answered and committed, then the query stops.
 
     ``transform(df) -> df`` builds the ``prompt`` column from the input
     rows. ``source_path`` is a folder (``options`` may narrow it, e.g.
-    ``pathGlobFilter``). Returns True when the pass finished in ``timeout_s``.
+    ``pathGlobFilter``). ``trigger`` defaults to ``{"availableNow": True}``;
+    pass e.g. ``{"processingTime": "1 minute"}`` for a long-running stream
+    (then ``timeout_s`` bounds how long this call waits). Returns True when
+    the query finished within ``timeout_s``.
     """
     reader = spark.readStream.schema(schema).format(source_format).options(**(options or {}))
     if max_files_per_trigger:
@@ -32,7 +36,7 @@ def stream_generate(spark: SparkSession, source_path: str, schema: T.StructType,
     answered = generate(rows, factory, batch_size=batch_size)
     q = (answered.writeStream.format(sink_format)
          .option("path", sink_path).option("checkpointLocation", checkpoint_path)
-         .outputMode("append").trigger(availableNow=True).start())
+         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
     done = q.awaitTermination(timeout_s)
     if not done:
         q.stop()

@@ -46,3 +46,27 @@ def test_replay_and_modes(spark):
         G.answer(df, "inline")
     with pytest.raises(ValueError):
         G.answer(df, "replay")
+
+
+def test_generator_built_once_per_worker(spark, tmp_root):
+    """With reuse, tasks on the same Python worker share one built generator."""
+    import os
+
+    def factory_writing_to(marker_dir):
+        def factory():
+            import uuid as _u
+
+            open(os.path.join(marker_dir, _u.uuid4().hex), "w").close()
+            return lambda ps: [p[::-1] for p in ps]
+        return factory
+
+    df = spark.range(0, 400).selectExpr("id AS row_idx", "CAST(id AS STRING) AS prompt").repartition(16)
+    counts = {}
+    for reuse in (True, False):
+        marker_dir = os.path.join(tmp_root.replace("file:", ""), f"reuse-{reuse}")
+        os.makedirs(marker_dir)
+        out = G.generate(df, factory_writing_to(marker_dir), reuse=reuse).collect()
+        assert len(out) == 400 and all(r.output == r.prompt[::-1] for r in out)
+        counts[reuse] = len(os.listdir(marker_dir))
+    assert 1 <= counts[True] <= 16
+    assert counts[False] == 16          # once per task without reuse
