@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import TABLES, rows_of
+from tools.oracle_check import TABLES, rows_of, type_mismatches
 from tests.conftest import SF_SMALL
 
 
@@ -40,6 +40,7 @@ def test_query_matches_oracle_sf0001(spark, duck, name):
     res = duck.execute(E.oracle_sql()[name])
     d_cols, d_rows = [d[0] for d in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    assert type_mismatches(df.schema, res.description) == []
     assert rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
 
 
