@@ -47,20 +47,20 @@ def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
         ranged = df.repartitionByRange(*keys)
     ranged = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
     local = (ranged
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
-    counts = sorted((r["_pid"], r["count"]) for r in local.groupBy("_pid").count().collect())
+             .withColumn("__ri_pid", F.spark_partition_id())
+             .withColumn("__ri_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
+    counts = sorted((r["__ri_pid"], r["count"]) for r in local.groupBy("__ri_pid").count().collect())
     offsets, acc = [], 0
     for pid, cnt in counts:
         offsets.append((int(pid), int(acc)))
         acc += cnt
     if not offsets:
-        return local.withColumn(out, F.lit(None).cast("bigint")).drop("_pid", "_pos"), 0
-    off_df = spark.createDataFrame(offsets, "_pid INT, _off BIGINT")
+        return local.withColumn(out, F.lit(None).cast("bigint")).drop("__ri_pid", "__ri_pos"), 0
+    off_df = spark.createDataFrame(offsets, "__ri_pid INT, __ri_off BIGINT")
     # One row per partition: bounded by the partition count, safe to broadcast.
-    indexed = (local.join(F.broadcast(off_df), "_pid")
-               .withColumn(out, (F.col("_off") + F.col("_pos")).cast("bigint"))
-               .drop("_pid", "_pos", "_off"))
+    indexed = (local.join(F.broadcast(off_df), "__ri_pid")
+               .withColumn(out, (F.col("__ri_off") + F.col("__ri_pos")).cast("bigint"))
+               .drop("__ri_pid", "__ri_pos", "__ri_off"))
     return indexed, int(acc)
 
 

@@ -77,3 +77,10 @@ def test_pairs_methods_agree(spark):
     a = sorted(tuple(r) for r in FX.pairs(spark, SF_SMALL, method="join").select(*cols).collect())
     b = sorted(tuple(r) for r in FX.pairs(spark, SF_SMALL, method="window").select(*cols).collect())
     assert a == b and len(a) == 34
+
+
+@pytest.mark.parametrize("out", ["_pos", "_pid", "_off", "row_idx"])
+def test_row_index_any_output_name(spark, out):
+    df = spark.range(0, 50).select((F.col("id") * 3).alias("k"))
+    got = sorted(r[out] for r in D.with_row_index(df, ["k"], out).collect())
+    assert got == list(range(50))
