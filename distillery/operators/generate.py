@@ -84,11 +84,12 @@ def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
                     if len(res) != len(idx):
                         raise ValueError(f"generator returned {len(res)} answers for {len(idx)} prompts")
                     for i, r in zip(idx, res):
-                        outs[i], stats[i] = r, "ok"
+                        outs[i], stats[i] = (None if r is None else str(r)), "ok"
                 except Exception:  # noqa: BLE001 - isolate the failing rows
                     for i in idx:
                         try:
-                            outs[i], stats[i] = list(fn([prompts[i]]))[0], "ok"
+                            r = list(fn([prompts[i]]))[0]
+                            outs[i], stats[i] = (None if r is None else str(r)), "ok"
                         except Exception as e:  # noqa: BLE001
                             outs[i], stats[i] = f"{error_prefix}{e}", "error"
             out = pdf[names].copy()
