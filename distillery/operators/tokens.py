@@ -246,3 +246,35 @@ def token_profile(df: DataFrame, text: str = "text", max_length: int = O.KD_MAX_
         F.max("_kept").cast("bigint").alias("max_len"),
         F.round(F.avg("_kept"), 6).alias("mean_len"),
         F.round(F.avg(F.when(F.col("_full") > max_length, 1.0).otherwise(0.0)), 6).alias("share_truncated"))
+
+
+def encode_with(df: DataFrame, factory, col: str = "text", out: str = "input_ids",
+                max_length: int | None = O.SFT_MAX_LENGTH) -> DataFrame:
+    """H6 with a user tokenizer (e.g. a pretrained subword model).
+
+    ``factory()`` returns a callable ``list[str] -> list[list[int]]``; it is
+    built once per Python worker (a tokenizer file is loaded once) and
+    applied to whole Arrow batches. Ids are cut to ``max_length``. Map-only.
+    """
+    import pandas as pd
+
+    from distillery.operators.generate import _factory_key, _worker_store
+
+    key = "tok-" + _factory_key(factory)
+    limit = max_length
+
+    def enc(s: pd.Series) -> pd.Series:
+        store = _worker_store()
+        fn = store.get(key)
+        if fn is None:
+            fn = store[key] = factory()
+        texts = s.tolist()
+        live = [i for i, t in enumerate(texts) if t is not None]
+        res = [None] * len(texts)
+        ids = fn([texts[i] for i in live]) if live else []
+        for i, v in zip(live, ids):
+            v = [int(x) for x in v]
+            res[i] = v[:limit] if limit is not None else v
+        return pd.Series(res, dtype=object)
+
+    return df.withColumn(out, F.pandas_udf(enc, T.ArrayType(T.IntegerType()))(F.col(col)))

@@ -395,3 +395,4 @@ ORACLE["gen_dispatch"] = f"""
   UNION ALL
   SELECT 'replay' AS mode, row_idx, output, status FROM ({ORACLE['gen_replay']}) b"""
 ORACLE["batch_append"] = ORACLE["batch_responses"]
+ORACLE["encode_user_tokenizer"] = ORACLE["encode"]

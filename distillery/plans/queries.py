@@ -684,3 +684,31 @@ def q_batch_append(spark, sf_dir):
     sinks.append_new_results(res, path)
     sinks.append_new_results(res, path)
     return spark.read.schema(res.schema).json(path)
+
+
+def _word_level_factory(vocab_pairs):
+    """A `tokenizers` WordLevel tokenizer over the given vocabulary, as a
+    user would plug in a pretrained tokenizer file."""
+    table = dict(vocab_pairs)
+
+    def factory():
+        from tokenizers import Tokenizer
+        from tokenizers.models import WordLevel
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        tok = Tokenizer(WordLevel(table, unk_token=O.UNK_TOKEN))
+        tok.pre_tokenizer = WhitespaceSplit()
+        return lambda texts: [e.ids for e in tok.encode_batch(texts)]
+
+    return factory
+
+
+@query("encode_user_tokenizer")
+def q_encode_user_tokenizer(spark, sf_dir):
+    """H6 through the pluggable tokenizer path (``tokens.encode_with``)."""
+    from distillery.operators.tokens import encode_with, ids_text
+
+    _, texts, vocab = _token_inputs(spark, sf_dir)
+    e = encode_with(texts, _word_level_factory(vocab.pairs), "text", "input_ids", O.SFT_MAX_LENGTH)
+    return e.select("row_idx", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    ids_text("input_ids").alias("ids"))

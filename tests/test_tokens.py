@@ -76,3 +76,23 @@ def test_vocab_ranking_paths_agree(spark):
     a = sorted(tuple(r) for r in K.build_vocab(texts, "text", 300).collect())
     b = sorted(tuple(r) for r in K.build_vocab(texts, "text", 300, single_task_rank_max=0).collect())
     assert a == b and len(a) == 302
+
+
+def test_user_tokenizer_matches_word_vocab(spark, frame):
+    """A `tokenizers` WordLevel model built from our vocabulary, plugged in
+    through encode_with, gives the same ids as encode."""
+    v = K.build_vocab(frame, "text", 100)
+    vocab = {r.token: r.token_id for r in v.collect()}
+
+    def factory():
+        from tokenizers import Tokenizer
+        from tokenizers.models import WordLevel
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        tok = Tokenizer(WordLevel(vocab, unk_token="<unk>"))
+        tok.pre_tokenizer = WhitespaceSplit()
+        return lambda texts: [e.ids for e in tok.encode_batch(texts)]
+
+    a = {r.row_idx: r.input_ids for r in K.encode(frame, v, "text", max_length=2).collect()}
+    b = {r.row_idx: r.input_ids for r in K.encode_with(frame, factory, "text", max_length=2).collect()}
+    assert a == b
