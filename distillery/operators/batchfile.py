@@ -28,7 +28,8 @@ RESPONSE_SCHEMA = T.StructType([
     T.StructField("_corrupt", T.StringType()),
 ])
 
-REQUEST_JSON_OPTIONS = {"ignoreNullFields": "false"}
+# Request lines escape non-ASCII text as \uXXXX, like a default JSON dump.
+REQUEST_JSON_OPTIONS = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
 # JSON texts of an ``error`` value that Python treats as false.
 FALSY_JSON = ["{}", "[]", "", "0", "0.0", "false"]
 

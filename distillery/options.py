@@ -91,8 +91,9 @@ class LossOptions:
     weight: float = KD_WEIGHT
 
     def __post_init__(self):
-        if not self.temperature > 0:
-            raise ValueError("temperature must be > 0")
+        # the loss configuration bounds T to (0, 1]; T = 0 would divide by zero
+        if not 0 < self.temperature <= 1.0:
+            raise ValueError("loss temperature must be within (0, 1]")
         if self.reduction not in ("batchmean", "sum", "mean", "none"):
             raise ValueError(f"unknown reduction {self.reduction!r}")
         if not 0.0 <= self.weight <= 1.0:

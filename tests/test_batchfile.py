@@ -47,3 +47,10 @@ def test_status_counts_at_sf001(spark):
 
     got = {r.status: r.n for r in E.queries()["batch_status"](spark, SF_MID).collect()}
     assert got == {"ok": 159, "error": 30, "no_content": 16, "unknown_id": 10}
+
+
+def test_request_escapes_non_ascii(spark):
+    reqs = spark.createDataFrame([(1, "café 中")], "row_idx BIGINT, instruction STRING")
+    line = B.build_requests(reqs).first().request
+    assert "caf\\u00E9" in line or "caf\\u00e9" in line
+    assert all(ord(ch) < 128 for ch in line)

@@ -123,3 +123,15 @@ def test_next_label_methods_agree(spark):
     a = {(r.sample_id, r.pos): r.target for r in S.with_next_label(lg).collect()}
     b = {(r.sample_id, r.pos): r.target for r in S.with_next_label(lg, method="join").collect()}
     assert a == b and len(a) == 500
+
+
+def test_loss_options_bounds():
+    from distillery import options as O
+
+    for bad in (0.0, -1.0, 1.5):
+        with pytest.raises(ValueError):
+            O.LossOptions(bad)
+    with pytest.raises(ValueError):
+        O.LossOptions(0.5, "avg")
+    with pytest.raises(ValueError):
+        O.LossOptions(0.5, "sum", 1.5)
