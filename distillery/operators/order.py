@@ -15,13 +15,14 @@ def _cols(cols) -> list[Column]:
 
 
 def with_row_index(df: DataFrame, order_by, out: str = "row_idx",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, materialize_input: bool = True) -> DataFrame:
     """D1; see ``with_row_index_and_count``."""
-    return with_row_index_and_count(df, order_by, out, num_partitions)[0]
+    return with_row_index_and_count(df, order_by, out, num_partitions, materialize_input)[0]
 
 
 def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
-                             num_partitions: int | None = None) -> tuple[DataFrame, int]:
+                             num_partitions: int | None = None,
+                             materialize_input: bool = True) -> tuple[DataFrame, int]:
     """A dense 0-based index in ``order_by`` order, without a global sort.
 
     Two passes, never one task for all rows:
@@ -33,6 +34,12 @@ def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
        partition), turn the counts into starting offsets, and add each
        row's position inside its partition.
 
+    Range partitioning samples its input with a full pass before the
+    shuffle pass; with ``materialize_input`` the input is checkpointed
+    first, so an expensive input plan (source scans, filters, joins,
+    Python UDFs) runs once instead of twice. Turn it off only for inputs
+    that are already cheap to re-read.
+
     The order keys must be unique for the index to be deterministic.
     Returns the indexed frame and its row count (known from pass 2).
     """
@@ -41,6 +48,8 @@ def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
 
     ensure_checkpoint_dir(spark)
     keys = _cols(order_by)
+    if materialize_input:
+        df = df.checkpoint(eager=True)
     if num_partitions:
         ranged = df.repartitionByRange(num_partitions, *keys)
     else:
@@ -149,7 +158,7 @@ def count_rows(df: DataFrame) -> int:
 
 
 def with_next(df: DataFrame, group: list[str], order: list[str], cols: list[str],
-              prefix: str = "next_") -> DataFrame:
+              prefix: str = "next_", materialize_input: bool = False) -> DataFrame:
     """``lead(c) over (partition by group order by order)`` for each ``c``
     in ``cols``, without a window per group.
 
@@ -159,7 +168,8 @@ def with_next(df: DataFrame, group: list[str], order: list[str], cols: list[str]
     holding a large share of all rows is still spread over all tasks. The
     value is kept only when the successor belongs to the same group.
     """
-    idx = with_row_index(df, list(group) + list(order), "_g")
+    # a plain scan is as cheap to read twice as a copy of it would be
+    idx = with_row_index(df, list(group) + list(order), "_g", materialize_input=materialize_input)
     succ = idx.select((F.col("_g") - F.lit(1)).alias("_g"),
                       *[F.col(g).alias(f"_sg{i}") for i, g in enumerate(group)],
                       *[F.col(c).alias(f"_sv{i}") for i, c in enumerate(cols)])

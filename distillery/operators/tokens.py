@@ -62,7 +62,7 @@ def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
         ranked = candidates.withColumn(
             "_rank", F.row_number().over(Window.orderBy("_neg", "token")) - F.lit(1))
     else:
-        ranked = with_row_index(candidates, ["_neg", "token"], "_rank")
+        ranked = with_row_index(candidates, ["_neg", "token"], "_rank", materialize_input=False)
     numbered = (ranked.filter(F.col("_rank") < size)
                 .withColumn("token_id", (F.col("_rank") + F.lit(len(RESERVED))).cast("int")))
     spark = texts.sparkSession
