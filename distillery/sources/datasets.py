@@ -70,7 +70,8 @@ def read_dataset(spark: SparkSession, jsonl_dir: str, name: str, schema: T.Struc
     df = r.json(paths)
     if sorted(files) == ["train"] and files["train"] == f"{stem}.jsonl":
         return df.withColumn("split", F.lit("train"))
-    pat = "/" + re.escape(stem) + r"_?([^/]*)\.jsonl(?:/|$)"
+    # the split is in the file name, or in the folder holding the part files
+    pat = r"^.*/" + re.escape(stem) + r"_?([^/]*)\.jsonl(?:/[^/]*)?$"
     return df.withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), pat, 1))
 
 

@@ -124,3 +124,12 @@ def test_file_order_survives_block_splits(spark, tmp_root):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == lines
+
+
+def test_split_name_ignores_parent_folders(spark, tmp_root):
+    """A parent folder that looks like a split file does not decide the split."""
+    base = f"{tmp_root}/ds_zz.jsonl/inner"
+    df = spark.createDataFrame([("train", "a"), ("test", "b")], "split STRING, instruction STRING")
+    sinks.write_jsonl_splits(df, f"{base}/ds")
+    back = DS.read_dataset(spark, base, "ds", "instruction STRING")
+    assert sorted((r.split, r.instruction) for r in back.collect()) == [("test", "b"), ("train", "a")]
