@@ -46,7 +46,8 @@ def _factory_key(factory: Factory) -> str:
 def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
              output_col: str = "output", status_col: str = "status",
              batch_size: int = O.GEN_BATCH_SIZE,
-             error_prefix: str = O.GENERATION_ERROR_MARK, reuse: bool = True) -> DataFrame:
+             error_prefix: str = O.GENERATION_ERROR_MARK, reuse: bool = True,
+             partitions: int | None = None) -> DataFrame:
     """F1 + F2: add ``output`` and ``status`` ('ok' / 'error' / 'no_prompt').
 
     Work is spread by the input partitioning; call ``partition_by_shard``
@@ -54,7 +55,10 @@ def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
     Arrow both ways (the Python function is opaque to column pruning), so
     select only the key and prompt columns first. With ``reuse`` the built
     generator (e.g. a loaded model) is kept per Python worker process and
-    shared by the tasks that worker runs.
+    shared by the tasks that worker runs. ``partitions`` spreads the rows
+    round-robin over that many tasks first (one shuffle of the prompts), so
+    an unsplittable or oversized input partition cannot put most model
+    calls into one task.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
@@ -97,6 +101,8 @@ def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
             out[status_col] = stats
             yield out
 
+    if partitions:
+        df = df.repartition(partitions)
     return df.mapInPandas(run, schema)
 
 

@@ -44,17 +44,21 @@ def prepare_prompts(spark: SparkSession, registry: list[O.RegistryEntry], jsonl_
 
 def answer_prompts(spark: SparkSession, prompts_path: str, out_path: str, factory: Factory,
                    system: str = O.TEACHER_SYSTEM_PROMPT, batch_size: int = O.GEN_BATCH_SIZE,
-                   resume: bool = True) -> DataFrame:
+                   resume: bool = True, partitions: int | None = None) -> DataFrame:
     """E1 + F1/F2 + D4 + A6: answer every prompt that has no answer yet
     (left-anti on ``row_idx`` against what is already written, so an
-    interrupted run resumes and a finished one adds nothing). Returns the
-    whole answers table after the append."""
+    interrupted run resumes and a finished one adds nothing). Prompts are
+    spread round-robin over ``partitions`` tasks (default: the cluster's
+    default parallelism) so model calls are balanced. Returns the whole
+    answers table after the append."""
     prompts = spark.read.schema(PROMPT_SCHEMA).json(prompts_path)
     todo = prompts
     if resume and fs.exists(spark, out_path):
         todo = D.resume_by_key(prompts, spark.read.schema(ANSWER_SCHEMA).json(out_path), "row_idx")
     rows = todo.select("row_idx", "instruction", teacher_prompt("instruction", system).alias("prompt"))
-    answered = generate(rows, factory, batch_size=batch_size).select("row_idx", "instruction", "output", "status")
+    parts = partitions or spark.sparkContext.defaultParallelism
+    answered = generate(rows, factory, batch_size=batch_size, partitions=parts).select(
+        "row_idx", "instruction", "output", "status")
     sinks.append_jsonl(answered, out_path)
     return spark.read.schema(ANSWER_SCHEMA).json(out_path)
 

@@ -70,3 +70,10 @@ def test_generator_built_once_per_worker(spark, tmp_root):
         counts[reuse] = len(os.listdir(marker_dir))
     assert 1 <= counts[True] <= 16
     assert counts[False] == 16          # once per task without reuse
+
+
+def test_spread_balances_one_big_partition(spark):
+    df = spark.range(0, 800).selectExpr("id AS row_idx", "CAST(id AS STRING) AS prompt").coalesce(1)
+    out = G.generate(df, G.md5_generator, partitions=8)
+    sizes = out.rdd.glom().map(len).collect()
+    assert len(sizes) == 8 and max(sizes) <= 2 * (800 // 8) and sum(sizes) == 800
