@@ -396,3 +396,5 @@ ORACLE["gen_dispatch"] = f"""
   SELECT 'replay' AS mode, row_idx, output, status FROM ({ORACLE['gen_replay']}) b"""
 ORACLE["batch_append"] = ORACLE["batch_responses"]
 ORACLE["encode_user_tokenizer"] = ORACLE["encode"]
+ORACLE["encode_join"] = ORACLE["encode"]
+ORACLE["kd_reduce_jvm"] = ORACLE["kd_reduce"]

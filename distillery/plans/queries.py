@@ -712,3 +712,24 @@ def q_encode_user_tokenizer(spark, sf_dir):
     e = encode_with(texts, _word_level_factory(vocab.pairs), "text", "input_ids", O.SFT_MAX_LENGTH)
     return e.select("row_idx", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     ids_text("input_ids").alias("ids"))
+
+
+@query("encode_join")
+def q_encode_join(spark, sf_dir):
+    """H6 through the JVM path (explode -> vocabulary join -> regroup), used
+    above the broadcast bound."""
+    from distillery.operators.tokens import encode, ids_text
+
+    _, texts, vocab = _token_inputs(spark, sf_dir)
+    e = encode(texts, vocab, "text", "input_ids", O.SFT_MAX_LENGTH, key="row_idx", method="join")
+    return e.select("row_idx", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    ids_text("input_ids").alias("ids"))
+
+
+@query("kd_reduce_jvm")
+def q_kd_reduce_jvm(spark, sf_dir):
+    """I5 + I6 through the higher-order-function path (no Python)."""
+    from distillery.operators import scoring as S
+
+    r = S.kd_reductions(_logits(spark, sf_dir), O.KD_TEMPERATURE, method="hof")
+    return r.select(*[F.round(c, 6).alias(c) for c in ("batchmean", "sum", "mean")])
