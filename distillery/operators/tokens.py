@@ -35,9 +35,10 @@ def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
 
     1. word counts are a partial aggregate (frequent words combine
        map-side), checkpointed;
-    2. a histogram of the count values (one row per distinct count, a
-       small collect) gives the cut count ``c`` so that at least ``size``
-       tokens have ``n >= c``;
+    2. a two-level histogram (power-of-two buckets of the count, then the
+       exact counts inside the bucket where the cut falls; both small
+       collects) gives the cut count ``c`` so that at least ``size`` tokens
+       have ``n >= c``;
     3. only those candidates are ranked, by (n desc, token asc); their
        number is known from the histogram: up to ``single_task_rank_max``
        they are ranked in one window (a proven bound), beyond it with the
@@ -50,13 +51,29 @@ def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
     w = texts.select(F.explode(words(col)).alias("token"))
     counts = (w.filter(~F.col("token").isin(RESERVED) & (F.length("token") <= max_token_chars))
                .groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n"))).checkpoint(eager=True)
-    hist = sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True)
-    cut, seen = 0, 0
-    for n, c in hist:
-        seen += c
-        cut = n
-        if seen >= size:
+    # two-level histogram: <= 64 power-of-two buckets of n, then the exact
+    # count values inside the bucket holding the cut (both small collects)
+    lg = F.floor(F.log2(F.col("n"))).cast("int")
+    coarse = sorted(((r["b"], r["count"]) for r in counts.groupBy(lg.alias("b")).count().collect()),
+                    reverse=True)
+    cut, seen, above = 0, 0, 0
+    cut_bucket = None
+    for b, c in coarse:
+        if above + c >= size:
+            cut_bucket = b
             break
+        above += c
+    if cut_bucket is None:              # fewer than `size` distinct tokens: keep all
+        seen = above
+    else:
+        fine = sorted(((r["n"], r["count"]) for r in
+                       counts.filter(lg == F.lit(cut_bucket)).groupBy("n").count().collect()), reverse=True)
+        seen = above
+        for n, c in fine:
+            seen += c
+            cut = n
+            if seen >= size:
+                break
     candidates = counts.filter(F.col("n") >= F.lit(cut)).withColumn("_neg", -F.col("n"))
     if seen <= single_task_rank_max:
         ranked = candidates.withColumn(
