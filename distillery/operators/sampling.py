@@ -94,3 +94,14 @@ def sample(kept: DataFrame, seed: int, ctx: str = "ctx", tok: str = "tok", lg: s
     hit = F.when(F.col("_cum") >= F.col("_u"), F.struct(F.col("_rk"), F.col(tok).alias("_t")))
     return x.groupBy(ctx).agg(
         F.coalesce(F.min(hit)["_t"], F.max_by(tok, "_rk")).alias(tok))
+
+
+def choose_tokens(df: DataFrame, opts: O.SamplingOptions, ctx: str = "ctx", tok: str = "tok",
+                  lg: str = "lg") -> DataFrame:
+    """I13 / I14 by the generation settings: greedy when sampling is off,
+    else temperature -> top-k -> top-p -> seeded draw. One row per context."""
+    if not opts.do_sample:
+        return greedy(df, ctx, tok, lg)
+    x = top_k(df, opts.top_k, ctx, tok, lg) if opts.top_k else df
+    kept = top_p(x, opts.top_p, opts.temperature, ctx, tok, lg)
+    return sample(kept, opts.seed, ctx, tok, lg)

@@ -46,3 +46,15 @@ def test_validation():
         P.top_k(None, -1)
     with pytest.raises(ValueError):
         P.top_p(None, 0.0)
+
+
+def test_choose_tokens_dispatch(spark):
+    from distillery import options as O
+
+    df = _cands(spark, ROWS)
+    g = {r.ctx: r.tok for r in P.choose_tokens(df, O.SamplingOptions(do_sample=False)).collect()}
+    assert g == {0: 1, 1: 0}
+    s = {r.ctx: r.tok for r in P.choose_tokens(df, O.SamplingOptions(top_k=1, top_p=1.0, seed=3)).collect()}
+    assert s == g                     # top-k 1 leaves only the best token
+    t = {r.ctx: r.tok for r in P.choose_tokens(df, O.SamplingOptions(top_k=0, top_p=1.0, seed=3)).collect()}
+    assert set(t) == {0, 1}
