@@ -89,9 +89,13 @@ def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
         n, size = int(m.get("n") or 0), int(m.get("b") or 0)
         limit = SINGLE_TASK_MAX_BYTES if single_task_max_bytes is None else single_task_max_bytes
         if size <= limit:
-            # proven small: one task numbers the checkpointed rows
+            # proven small: one task numbers the checkpointed rows, then the
+            # rows are spread back over the input's partition count so the
+            # work downstream (generation, encoding) stays parallel
+            parts = max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, 1)
             w = Window.orderBy(*keys)
-            return df.withColumn(out, (F.row_number().over(w) - F.lit(1)).cast("bigint")), n
+            numbered = df.withColumn(out, (F.row_number().over(w) - F.lit(1)).cast("bigint"))
+            return numbered.repartition(parts), n
     if num_partitions:
         ranged = df.repartitionByRange(num_partitions, *keys)
     else:

@@ -87,3 +87,10 @@ def test_row_index_any_output_name(spark, out, limit):
     df = spark.range(0, 50).select((F.col("id") * 3).alias("k"))
     got = sorted(r[out] for r in D.with_row_index(df, ["k"], out, single_task_max_bytes=limit).collect())
     assert got == list(range(50))
+
+
+def test_small_path_keeps_downstream_parallel(spark):
+    df = spark.range(0, 500).select((F.col("id") * 7).alias("k")).repartition(6)
+    out = D.with_row_index(df, ["k"])
+    assert out.rdd.getNumPartitions() > 1
+    assert sorted(r.row_idx for r in out.collect()) == list(range(500))
