@@ -47,6 +47,7 @@ from distillery.llm.shared import col, cut, small_side
 
 SHINGLE_WORDS = 5
 RANGE_TOKENS = 2_000_000   # shingles a task counts at once
+SLOT_COUNTS = 4_000_000    # counts a task adds up at once
 FLUSH_BYTES = 16 << 20     # packed shingles a map task holds before it hands them on
 BLOCK = 256                # classes in one trie
 PIVOTS = 8                 # members of a large group that are compared with all of it
@@ -137,9 +138,11 @@ def _ranges(tokens: int) -> int:
     return max(1, math.ceil(tokens / RANGE_TOKENS))
 
 
-def unshared_counts(df: DataFrame, text: str, tokens: int) -> DataFrame:
-    """``(k1, unshared)``: sampled shingles of a class that no other has."""
+def unshared_counts(df: DataFrame, text: str, classes: int, tokens: int) -> DataFrame:
+    """``(k1, unshared)``: sampled shingles of a class that no other has.
+    Ranges hand their counts on packed, dealt by key into slots."""
     ranges = _ranges(tokens // 2)
+    slots = max(1, math.ceil(classes * ranges / SLOT_COUNTS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets():
@@ -159,17 +162,47 @@ def unshared_counts(df: DataFrame, text: str, tokens: int) -> DataFrame:
         alone[1:] &= ~same
         alone[:-1] &= ~same
         n = np.bincount((pair[alone] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys))
-        some = n > 0
-        return pa.table({"k1": keys[some].view(np.int64), "unshared": n[some].astype(np.int64)})
+        slot = np.where(n > 0, (keys % np.uint64(slots)).astype(np.int64), -1)
+        order = np.argsort(slot, kind="stable")
+        at = np.searchsorted(slot[order], np.arange(slots + 1))
+        parts = [order[at[i]: at[i + 1]] for i in range(slots)]
+        return pa.table({"slot": pa.array(range(slots), pa.int32()),
+                         "keys": pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+                         "counts": pa.array([n[p].astype(np.uint32).tobytes() for p in parts], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        join = lambda c, k: np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in t[c]])
+        keys, inv = np.unique(join("keys", np.uint64), return_inverse=True)
+        n = np.bincount(inv, weights=join("counts", np.uint32), minlength=len(keys))
+        return pa.table({"k1": keys.view(np.int64), "unshared": n.astype(np.int64)})
 
     packed = df.select(col(text)).mapInArrow(deal, _PACK)
-    return (packed.groupBy("r").applyInArrow(count, "k1 bigint, unshared bigint")
-            .groupBy("k1").agg(F.sum("unshared").alias("unshared")))
-
-
-def ordered_sets(sets: DataFrame, tokens: int) -> DataFrame:
-    """``sets(k1, n, toks)`` -> ``(k1, n, toks)`` with the shared shingles
-    only, rare first."""
+    return (packed.groupBy("r").applyInArrow(count, "slot int, keys binary, counts binary")
+            .groupBy("slot").applyInArrow(add, "k1 bigint, unshared bigint"))
+
+
+def _bitmap(keys: DataFrame, rows: int):
+    """A test for the values of ``keys(row_key)``: a bitmap of 64 bits a
+    value, of 8 MB at most. It may let other values pass, never stops one."""
+    bits = 1 << min(26, max(15, (64 * rows).bit_length()))
+    at = F.pmod("row_key", F.lit(bits)) + 1  # Spark's buckets of 32,768 bits count from 1
+    made = (keys.select(at.alias("p"))
+            .groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+            .collect())
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    for r in made:
+        part = np.frombuffer(r["m"], dtype=np.uint8)
+        whole[(r["b"] - 1) * len(part): r["b"] * len(part)] = part
+
+    def test(k: pa.Array) -> pa.Array:
+        p = np.asarray(k) & np.int64(bits - 1)
+        return pa.array((whole[p >> 3] >> (p & 7)) & 1 == 1)
+    return arrow_udf(test, "boolean")(F.col("row_key"))
+
+
+def ordered_sets(sets: DataFrame, sizes: DataFrame, tokens: int) -> DataFrame:
+    """``sets(k1, toks)``, repeats allowed, and ``sizes(k1, n)`` -> ``(k1, n,
+    toks)`` with the shared shingles only, rare first."""
     ranges = _ranges(tokens)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +238,7 @@ def ordered_sets(sets: DataFrame, tokens: int) -> DataFrame:
     parts = (packed.groupBy("r").applyInArrow(count, "k1 bigint, toks array<bigint>, dfs array<int>")
              .groupBy("k1").agg(F.collect_list(F.struct("toks", "dfs")).alias("p")))
     return (parts.select("k1", arrow_udf(rare_first, "array<bigint>")(F.flatten("p.toks"), F.flatten("p.dfs")).alias("toks"))
-            .join(sets.select("k1", "n"), "k1").select("k1", "n", "toks"))
+            .join(sizes, "k1").select("k1", "n", "toks"))
 
 
 class Trie:
@@ -413,17 +446,16 @@ def near_duplicate_components(df: DataFrame, text: str = "text", doc_id: str = "
               .select("doc_id", "row_key", "s.*"))
     classes = cut(sig.filter("n > 0").groupBy("k1", "k2")
                   .agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n")))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    alone = unshared_counts(rows, "text", total)
+    count, total = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    alone = unshared_counts(rows, "text", count, total or 0)
     left = cut(classes.join(alone, "k1", "left").filter("coalesce(unshared, 0) <= floor(n / 4)")
                .select("k1", "row_key", "n"))
     few, tokens = left.agg(F.count(F.lit(1)), F.sum("n")).first()
-    texts = (rows.withColumn("row_key", row_key)
-             .join(small_side(left.select("row_key"), few, 16), "row_key", "left_semi")
-             .dropDuplicates(["row_key"]))
-    sets = cut(texts.select(arrow_udf(_shingle_set, _SET)("text").alias("s"))
-               .select("s.k1", F.size("s.toks").cast("bigint").alias("n"), "s.toks"))
-    ordered = cut(ordered_sets(sets, tokens or 0).filter("size(toks) >= n - floor(n / 4)"))
+    # the texts of these classes, and a few others that the bitmap lets pass:
+    # they are not moved, only their sets are
+    texts = rows.select(row_key.alias("row_key"), "text").filter(_bitmap(left.select("row_key"), few))
+    sets = cut(texts.select(arrow_udf(_shingle_set, _SET)("text").alias("s")).select("s.*").filter("size(toks) > 0"))
+    ordered = cut(ordered_sets(sets, classes.select("k1", "n"), tokens or 0).filter("size(toks) >= n - floor(n / 4)"))
     groups = connected_components(_links(ordered)).select(F.col("node").alias("k1"), F.col("component").alias("root"))
     own = classes.select("k1", "k2", "least_id").join(groups, "k1", "left").withColumn(
         "root", F.coalesce("root", "k1"))
