@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from distillery.llm import ngram_join, quality_trees
+from distillery.llm import fertility, ngram_join, packing, quality_trees
 from distillery.llm.shared import table
+from distillery.llm.vocab import public_path
+
+# Vocabulary files are parameters; these are the ones the queries use.
+FERTILITY_VOCABULARY = "piece_bpe_32k.model"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_quality_trees(spark, sf_dir):
@@ -17,5 +22,16 @@ def op2_ngram_trie_join(spark, sf_dir):
             .select("doc_id", F.col("n_shingles"), "component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_ngram_trie_join)}
+def op4_tokeniser_fertility(spark, sf_dir):
+    rules = fertility.FertilityRules(public_path(FERTILITY_VOCABULARY))
+    return (fertility.fertility_report(table(spark, sf_dir, "documents"), rules)
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                    "kept", "n_tokens", *fertility.MEASURES))
+
+
+def op9_mixture_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_path(PACKING_TOKENIZER), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_ngram_trie_join, op4_tokeniser_fertility, op9_mixture_packing)}
 ORACLE: dict[str, str] = {}
