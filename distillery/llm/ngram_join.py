@@ -48,7 +48,7 @@ from distillery.llm.shared import col, cut, small_side
 SHINGLE_WORDS = 5
 RANGE_TOKENS = 2_000_000   # shingles a task counts at once
 SLOT_COUNTS = 4_000_000    # counts a task adds up at once
-FLUSH_BYTES = 16 << 20     # packed shingles a map task holds before it hands them on
+FLUSH_BYTES = 8 << 20      # packed shingles a map task holds before it hands them on
 BLOCK = 256                # classes in one trie
 PIVOTS = 8                 # members of a large group that are compared with all of it
 
