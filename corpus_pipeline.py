@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from distillery.llm import ngram_join, quality_trees
+from distillery.llm import fertility, mixing, ngram_join, packing, quality_trees
+from distillery.llm.queries import FERTILITY_VOCABULARY, MIX_WEIGHTS, PACKING_TOKENIZER
 from distillery.llm.shared import table
+from distillery.llm.vocab import public_path
 from distillery.session import scratch_path
 
 
@@ -18,12 +20,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_trees.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the base rules or the fertility bands reject."""
+    return fertility.keep_fluent(docs, fertility.FertilityRules(public_path(FERTILITY_VOCABULARY)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group."""
     return ngram_join.drop_near_duplicates(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents by rates that meet the domains' target tokens."""
+    return mixing.mix(docs, mixing.domain_labels(table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, every part with the mixture's proportions."""
+    return packing.pack(docs, public_path(PACKING_TOKENIZER), with_ids=False)
+
+
+STAGES = [("quality classifier", quality), ("quality rules", rules), ("n-gram Jaccard join", near_duplicates),
+          ("mixing sources to target weights", mixture), ("packing", packed)]
 
 # Trees, tokenizers and similarity joins are not SQL; tests/llm holds the
 # stages against brute-force versions.
@@ -35,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
