@@ -89,7 +89,7 @@ def _range_of(key: str, cuts: list) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), step)
 
 
-def with_following(df: DataFrame, keys: list[str], values: list[str], prefix: str = "next_",
+def with_following(df: DataFrame, keys: list[str], derive, values: list[str], prefix: str = "next_",
                    rows_per_range: int = 1_000, most_ranges: int = 100_000) -> DataFrame:
     """The next row's ``values`` in the order of ``keys``, the first row's
     after the last; every row gets one (its own in a table of one row).
@@ -98,7 +98,8 @@ def with_following(df: DataFrame, keys: list[str], values: list[str], prefix: st
     approximate quantiles; ``lead`` works inside a range, and each range's
     last row takes the first row of the next range that has any. Only the
     bounds and the number of each filled range reach the driver. Nulls come
-    first. ``df`` is read twice, the second time for the first rows only.
+    first. ``derive`` adds costly columns to rows of ``df``; it is applied once
+    to all rows and once to the first rows of the ranges only.
     """
     n = df.count()
     ranges = max(1, min(most_ranges, n // rows_per_range))
@@ -119,10 +120,10 @@ def with_following(df: DataFrame, keys: list[str], values: list[str], prefix: st
                                                              for i, (k, x) in enumerate(zip(keys, names, strict=True))])
     # at most `most_ranges` short rows: small enough for every task
     same = [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, names, strict=True)]
-    firsts = (df.join(F.broadcast(first_keys), [F.col(b) == F.col("__at"), *same])
-              .select("__at", packed.alias("__first")).dropDuplicates(["__at"]))
+    firsts = (derive(df.join(F.broadcast(first_keys), [F.col(b) == F.col("__at"), *same]).dropDuplicates(["__at"]))
+              .select("__at", packed.alias("__first")))
     firsts = firsts.join(wanted, "__at").select(F.col("__for").alias(b), "__first")
-    df = df.withColumn("__next", F.lead(packed).over(Window.partitionBy(b).orderBy(*order)))
+    df = derive(df).withColumn("__next", F.lead(packed).over(Window.partitionBy(b).orderBy(*order)))
     nxt = F.coalesce("__next", "__first")
     return (df.join(firsts, b, "left").withColumn("__next", nxt)
             .select("*", *[F.col(f"__next.{v}").alias(prefix + v) for v in values])
@@ -139,8 +140,8 @@ def fingerprint_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     rows = df.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("tie", F.xxhash64("text"))
-    rows = with_fingerprint(rows, F.col("text"), "fingerprint")
-    rows = with_following(rows, ["doc_id", "n_chars", "tie"], ["text", "fingerprint"])
+    rows = with_following(rows, ["doc_id", "n_chars", "tie"], lambda d: with_fingerprint(d, F.col("text"), "fingerprint"),
+                          ["text", "fingerprint"])
     tail = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cast(floor(n_chars / 4) as int))"),
                                               F.left(F.col("next_text"), tail)))
