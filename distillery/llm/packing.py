@@ -10,9 +10,10 @@ its source's credit is spent (but not below ``min_piece`` tokens); credit
 may go negative and is carried on.
 
 Windows run on across buckets. A bucket's first position and the credits
-it starts with follow from prefix sums of token counts by (bucket, source),
+carried into it follow from prefix sums of token counts by (bucket, source),
 because a bucket serves all of its documents; so buckets are packed in
-parallel and no sequence but the last one is padded.
+parallel and no sequence but the last one is padded. A carried credit is
+paid evenly over the bucket's windows, not at once.
 """
 
 from __future__ import annotations
@@ -165,13 +166,13 @@ def pack(df: DataFrame, tokenizer: str, weights: dict[str, float] | None = None,
             .join(begin, "bucket").select(F.col("bucket").alias("at_bucket"), "begin", F.col("source").alias("src"), "served"))
 
     def fill(docs: pa.Table, at: pa.Table) -> pa.Table:
-        return _fill(docs, at, shares, min_piece, with_ids)
+        return _fill(docs, at, None if weights is None else shares, min_piece, with_ids)
 
     kind = _PIECES if with_ids else _PIECES.removesuffix(", ids array<int>")
     return (rows.groupBy("bucket").cogroup(cut(plan).groupBy("at_bucket")).applyInArrow(fill, kind))
 
 
-def _fill(docs: pa.Table, at: pa.Table, shares: dict, min_piece: int, with_ids: bool) -> pa.Table:
+def _fill(docs: pa.Table, at: pa.Table, shares: dict | None, min_piece: int, with_ids: bool) -> pa.Table:
     if not docs.num_rows:
         return pa.table({n: pa.array([], t) for n, t in _out(with_ids)})
     served = dict(zip(at["src"].to_pylist(), at["served"].to_pylist(), strict=True))
@@ -186,8 +187,15 @@ def _fill(docs: pa.Table, at: pa.Table, shares: dict, min_piece: int, with_ids:
     for r, (s, n) in enumerate(zip(names, sizes, strict=True)):
         queues[number[s]].append(n)
         rows_of[number[s]].append(r)
-    share = np.array([shares[s] for s in sources])
-    credit = np.array([share[i] * begin - served[s] for s, i in number.items()])
+    # the share of each window: the target and an even part of the credit that
+    # is carried in. Without explicit weights the credit carried out is known
+    # too, and both together make it the source's share of this bucket.
+    whole = np.array([sum(q) for q in queues], dtype=np.float64)
+    if shares is None:
+        share = whole / whole.sum()
+    else:
+        share = np.array([shares[s] + (shares[s] * begin - served[s]) / whole.sum() for s in sources])
+    credit = np.zeros(len(sources))
     pieces = serve(queues, credit, share, begin, min_piece=min_piece)
     by_row: dict[int, list[int]] = {}
     for k, (s, d, *_) in enumerate(pieces):

@@ -324,15 +324,34 @@ def test_op9_packs_every_id_once(spark, texts):
             assert r["offset"] == at
             at += r["length"]
         assert at == (2048 if s < total // 2048 else total % 2048)
-    # deficits stay bounded: each source keeps to its share at every sequence
-    share = Counter()
+
+
+def test_op9_windows_keep_the_proportions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = vocab.public_path(queries.PACKING_TOKENIZER)
+    rows = packing.pack(docs, path, with_ids=False).collect()
+    assert deviation(rows) < packing.SEQUENCE
+    # with weights: the heavy source is served first, and all is packed still
+    heavy = packing.pack(docs, path, weights={"src0": 1.0, "src1": 1.0}, with_ids=False).collect()
+    assert sum(r["length"] for r in heavy) == sum(r["length"] for r in rows)
+    early = [r for r in heavy if r["sequence_id"] < 10]
+    assert {r["source"] for r in early} == {"src0", "src1"}
+
+
+def deviation(rows):
+    """The largest distance in tokens from a source's share of all tokens, at
+    the end of any sequence."""
+    total, share, done, worst = sum(r["length"] for r in rows), Counter(), Counter(), 0
     for r in rows:
         share[r["source"]] += r["length"] / total
-    done = Counter()
-    for s in sorted(sequences)[:-1]:
-        for r in sequences[s]:
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for s in sorted(by)[:-1]:
+        for r in by[s]:
             done[r["source"]] += r["length"]
-        assert max(abs(done[x] - share[x] * 2048 * (s + 1)) for x in share) < 2 * 2048
+        worst = max(worst, *(abs(done[x] - share[x] * packing.SEQUENCE * (s + 1)) for x in share))
+    return worst
 
 
 def test_op9_special_strings_go_in_whole(spark):
