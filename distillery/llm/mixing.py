@@ -175,10 +175,20 @@ def rate_column(lambdas: list[list[float]], p: list[Column]) -> Column:
 
 
 def _posterior_column(model: SoftModel, f: Column) -> Column:
-    def score(arr: pa.Array) -> pa.Array:
-        p = model.posteriors(_unpacked(arr)) if len(arr) else np.zeros((0, len(model.domains)))
-        return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(p.shape[1])], [f"p{i}" for i in range(p.shape[1])])
-    return arrow_udf(score, "struct<" + ",".join(f"p{i}:double" for i in range(len(model.domains))) + ">")(f)
+    return arrow_udf(lambda arr: _structs(model, _unpacked(arr)), _posterior_type(model))(f)
+
+
+def _posterior_of_text(model: SoftModel, text: str) -> Column:
+    return arrow_udf(lambda arr: _structs(model, [x for _, x in _pieces(arr)]), _posterior_type(model))(col(text))
+
+
+def _posterior_type(model: SoftModel) -> str:
+    return "struct<" + ",".join(f"p{i}:double" for i in range(len(model.domains))) + ">"
+
+
+def _structs(model: SoftModel, feats: list[np.ndarray]) -> pa.Array:
+    p = model.posteriors(feats) if feats else np.zeros((0, len(model.domains)))
+    return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(p.shape[1])], [f"p{i}" for i in range(p.shape[1])])
 
 
 def targets(model: SoftModel, weights: dict[str, float], total: float) -> np.ndarray:
@@ -238,9 +248,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_s
     post = cut(rows.select("tokens", _posterior_column(model, F.col("f")).alias("p")).select("tokens", "p.*"))
     total = (post.agg(F.sum("tokens")).first()[0] or 0) * total_share
     lambdas = fit_rates(post, targets(model, weights, total))
-    x, q, c = (free_name(docs, n) for n in ("_pieces", "_posterior", "_copy"))
-    out = docs.withColumn(x, _piece_column(text)).withColumn(q, _posterior_column(model, F.col(x)["f"]))
+    q, c = free_name(docs, "_posterior"), free_name(docs, "_copy")
+    out = docs.withColumn(q, _posterior_of_text(model, text))
     rate = rate_column(lambdas, [F.col(q)[f"p{i}"] for i in range(len(model.domains))])
-    n = copies_column(rate, col(doc_id), F.xxhash64(F.col(x)["f"]))
+    n = copies_column(rate, col(doc_id), F.xxhash64(col(text)))
     return (out.withColumn(c, F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
             .select(*[col(k) for k in docs.columns]))

@@ -181,9 +181,10 @@ def unshared_counts(df: DataFrame, text: str, classes: int, tokens: int) -> Data
             .groupBy("slot").applyInArrow(add, "k1 bigint, unshared bigint"))
 
 
-def _bitmap(keys: DataFrame, rows: int):
-    """A test for the values of ``keys(row_key)``: a bitmap of 64 bits a
-    value, of 8 MB at most. It may let other values pass, never stops one."""
+def _sets_of(keys: DataFrame, rows: int):
+    """The shingle set of a text whose key is among ``keys(row_key)``, else
+    null. Keys are told by a bitmap of 64 bits a value, of 8 MB at most: it
+    may let other keys pass, never stops one of these."""
     bits = 1 << min(26, max(15, (64 * rows).bit_length()))
     at = F.pmod("row_key", F.lit(bits)) + 1  # Spark's buckets of 32,768 bits count from 1
     made = (keys.select(at.alias("p"))
@@ -194,10 +195,13 @@ def _bitmap(keys: DataFrame, rows: int):
         part = np.frombuffer(r["m"], dtype=np.uint8)
         whole[(r["b"] - 1) * len(part): r["b"] * len(part)] = part
 
-    def test(k: pa.Array) -> pa.Array:
+    def sets(k: pa.Array, text: pa.Array) -> pa.Array:
         p = np.asarray(k) & np.int64(bits - 1)
-        return pa.array((whole[p >> 3] >> (p & 7)) & 1 == 1)
-    return arrow_udf(test, "boolean")(F.col("row_key"))
+        hit = (whole[p >> 3] >> (p & 7)) & 1 == 1
+        found = _shingle_set(text.filter(pa.array(hit)))
+        at = np.where(hit, np.cumsum(hit) - 1, -1)
+        return found.take(pa.array(at, mask=~hit))
+    return arrow_udf(sets, _SET)(F.col("row_key"), F.col("text"))
 
 
 def ordered_sets(sets: DataFrame, sizes: DataFrame, tokens: int) -> DataFrame:
@@ -453,8 +457,8 @@ def near_duplicate_components(df: DataFrame, text: str = "text", doc_id: str = "
     few, tokens = left.agg(F.count(F.lit(1)), F.sum("n")).first()
     # the texts of these classes, and a few others that the bitmap lets pass:
     # they are not moved, only their sets are
-    texts = rows.select(row_key.alias("row_key"), "text").filter(_bitmap(left.select("row_key"), few))
-    sets = cut(texts.select(arrow_udf(_shingle_set, _SET)("text").alias("s")).select("s.*").filter("size(toks) > 0"))
+    sets = cut(rows.select(row_key.alias("row_key"), "text")
+               .select(_sets_of(left.select("row_key"), few).alias("s")).select("s.*").filter("size(toks) > 0"))
     ordered = cut(ordered_sets(sets, classes.select("k1", "n"), tokens or 0).filter("size(toks) >= n - floor(n / 4)"))
     groups = connected_components(_links(ordered)).select(F.col("node").alias("k1"), F.col("component").alias("root"))
     own = classes.select("k1", "k2", "least_id").join(groups, "k1", "left").withColumn(

@@ -39,7 +39,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def slices(arr: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(arr: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """``(start row, part)`` with at most ``max_bytes`` of text each; a row
     that is longer on its own gets its own part."""
     if len(arr) == 0:
