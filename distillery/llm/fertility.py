@@ -72,7 +72,7 @@ def _measure(arr: pa.Array, path: str) -> pa.Array:
     out: dict[str, list] = {k: [] for k in _FIELDS}
     if path not in _caches:
         model = vocab.pieces(path)
-        _caches[path] = (vocab.WordCache(lambda w: model.encode(w, num_threads=1), 400_000),
+        _caches[path] = (vocab.WordCache(lambda w: model.encode(w, num_threads=1), 150_000),
                          np.array([model.is_byte(i) for i in range(model.vocab_size())]))
     cache, is_byte = _caches[path]
     for _, part in ta.slices(arr):

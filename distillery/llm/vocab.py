@@ -24,7 +24,7 @@ def public_path(name: str) -> str:
 class WordCache:
     """``encode(list of str) -> list of id lists``, remembered by hash."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], max_words: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], max_words: int = 300_000):
         self.encode, self.max_words = encode, max_words
         self.clear()
 
