@@ -30,7 +30,7 @@ RESPONSE_SCHEMA = T.StructType([
 
 # Request lines escape non-ASCII text as \uXXXX, like a default JSON dump.
 REQUEST_JSON_OPTIONS = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
-# JSON texts of an ``error`` value that Python treats as false.
+# JSON texts of an ``error`` value, other than a string, that count as no error.
 FALSY_JSON = ["{}", "[]", "", "0", "0.0", "false"]
 
 
@@ -59,12 +59,15 @@ def parse_responses(lines: DataFrame, value_col: str = "value") -> DataFrame:
     Columns: ``custom_id`` ('' when missing), ``output``, ``status``
     ('ok' / 'error' / 'no_content').
     """
+    error = F.try_variant_get(F.try_parse_json(F.col(value_col)), "$.error", "variant")
     parsed = lines.select(F.from_json(F.col(value_col), RESPONSE_SCHEMA,
                                       {"mode": "PERMISSIVE",
-                                       "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+                                       "columnNameOfCorruptRecord": "_corrupt"}).alias("r"),
+                          F.schema_of_variant(error).alias("kind"))
     ok = parsed.filter(F.col("r").isNotNull() & F.col("r._corrupt").isNull())
     err = F.col("r.error")
-    is_error = err.isNotNull() & ~F.trim(err).isin(FALSY_JSON)
+    # any string but the empty one is an error, whatever it spells
+    is_error = err.isNotNull() & F.when(F.col("kind") == "STRING", err != "").otherwise(~F.trim(err).isin(FALSY_JSON))
     choices = F.col("r.response.body.choices")
     has_choice = F.coalesce(F.size(choices), F.lit(0)) > 0
     output = (F.when(is_error, F.concat(F.lit(O.ERROR_MARK), err))

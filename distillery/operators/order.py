@@ -14,41 +14,15 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-SINGLE_TASK_MAX_BYTES = 256 << 20
-
-
-def _approx_bytes(df: DataFrame) -> Column:
-    """Rough per-row size: text and binary lengths, JSON length of nested
-    values, 8 bytes for anything else."""
-    from pyspark.sql import types as T
-
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
-        else:
-            parts.append(F.lit(8))
-    total = F.lit(0).cast("bigint")
-    for p in parts:
-        total = total + p.cast("bigint")
-    return total
-
-
 def with_row_index(df: DataFrame, order_by, out: str = "row_idx",
-                   num_partitions: int | None = None, materialize_input: bool = True,
-                   single_task_max_bytes: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, materialize_input: bool = True) -> DataFrame:
     """D1; see ``with_row_index_and_count``."""
-    return with_row_index_and_count(df, order_by, out, num_partitions, materialize_input,
-                                    single_task_max_bytes)[0]
+    return with_row_index_and_count(df, order_by, out, num_partitions, materialize_input)[0]
 
 
 def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
                              num_partitions: int | None = None,
-                             materialize_input: bool = True,
-                             single_task_max_bytes: int | None = None) -> tuple[DataFrame, int]:
+                             materialize_input: bool = True) -> tuple[DataFrame, int]:
     """A dense 0-based index in ``order_by`` order, without a global sort.
 
     Two passes, never one task for all rows:
@@ -64,10 +38,7 @@ def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
     shuffle pass; with ``materialize_input`` the input is checkpointed
     first, so an expensive input plan (source scans, filters, joins,
     Python UDFs) runs once instead of twice. Turn it off only for inputs
-    that are already cheap to re-read. That checkpoint also measures the
-    input (row count and approximate bytes, via ``observe``, no extra
-    job): when it is proven to hold at most ``single_task_max_bytes`` the
-    rows are numbered by one window over the checkpoint instead.
+    that are already cheap to re-read.
 
     The order keys must be unique for the index to be deterministic.
     Returns the indexed frame and its row count (known from pass 2).
@@ -78,24 +49,9 @@ def with_row_index_and_count(df: DataFrame, order_by, out: str = "row_idx",
     ensure_checkpoint_dir(spark)
     keys = _cols(order_by)
     if materialize_input:
-        import uuid
-
-        from pyspark.sql import Observation, Window
-
-        obs = Observation(f"row-index-{uuid.uuid4().hex[:8]}")
-        df = df.observe(obs, F.count(F.lit(1)).alias("n"),
-                        F.sum(_approx_bytes(df)).alias("b")).checkpoint(eager=True)
-        m = obs.get
-        n, size = int(m.get("n") or 0), int(m.get("b") or 0)
-        limit = SINGLE_TASK_MAX_BYTES if single_task_max_bytes is None else single_task_max_bytes
-        if size <= limit:
-            # proven small: one task numbers the checkpointed rows, then the
-            # rows are spread back over the input's partition count so the
-            # work downstream (generation, encoding) stays parallel
-            parts = max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, 1)
-            w = Window.orderBy(*keys)
-            numbered = df.withColumn(out, (F.row_number().over(w) - F.lit(1)).cast("bigint"))
-            return numbered.repartition(parts), n
+        df = df.checkpoint(eager=True)
+        # as many ranges as the input has partitions, so work downstream stays parallel
+        num_partitions = num_partitions or max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     if num_partitions:
         ranged = df.repartitionByRange(num_partitions, *keys)
     else:

@@ -4,10 +4,9 @@ Input: one row per ``(ctx, tok, lg)``. Order inside a context is logit
 descending, ties on the lower token id. Filter order: temperature, top-k,
 top-p (then renormalise).
 
-Top-k is two-phase and salted: a first top-k per ``(ctx, salt)`` cuts every
-context to at most ``salt_buckets * k`` rows before the per-context window,
-so a context holding a large share of all rows never lands whole in one
-task. Greedy choice is a partial aggregate (``max_by``), skew-free.
+A context holds at most one row per vocabulary entry. Spark cuts each
+context to ``k`` rows before the shuffle (a partial window limit), so top-k
+needs one exchange. Greedy choice is a partial aggregate (``max_by``).
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ def _order(lg: str, tok: str) -> list[Column]:
 
 
 def top_k(df: DataFrame, k: int, ctx: str = "ctx", tok: str = "tok", lg: str = "lg",
-          salt_buckets: int = 16, out: str = "rank") -> DataFrame:
+          out: str = "rank") -> DataFrame:
     """Keep the ``k`` best candidates per context; adds ``rank``
     (1 = best). ``k = 0`` keeps everything (ranked)."""
     if k < 0:
@@ -31,13 +30,7 @@ def top_k(df: DataFrame, k: int, ctx: str = "ctx", tok: str = "tok", lg: str = "
     full = Window.partitionBy(ctx).orderBy(*_order(lg, tok))
     if k == 0:
         return df.withColumn(out, F.row_number().over(full))
-    x = df
-    if salt_buckets and salt_buckets > 1:
-        salted = Window.partitionBy(ctx, "_salt").orderBy(*_order(lg, tok))
-        x = (df.withColumn("_salt", F.pmod(F.xxhash64(F.col(tok)), F.lit(salt_buckets)))
-               .withColumn("_r1", F.row_number().over(salted))
-               .filter(F.col("_r1") <= k).drop("_salt", "_r1"))
-    return x.withColumn(out, F.row_number().over(full)).filter(F.col(out) <= k)
+    return df.withColumn(out, F.row_number().over(full)).filter(F.col(out) <= k)
 
 
 def with_probs(df: DataFrame, temperature: float, ctx: str = "ctx", lg: str = "lg",

@@ -70,7 +70,9 @@ def _kl_arrow(t: float):
 
 
 def vocab_mismatch(df: DataFrame, student: str = "student", assistant: str = "assistant") -> DataFrame:
-    return df.filter(F.size(student) != F.size(assistant))
+    """Rows that cannot be scored: other lengths, or a side missing."""
+    same = F.size(student) == F.size(assistant)
+    return df.filter(F.col(student).isNull() | F.col(assistant).isNull() | ~same)
 
 
 def kd_reduce(df: DataFrame, temperature: float = O.KD_TEMPERATURE, reduction: str = "batchmean",
@@ -87,8 +89,8 @@ def kd_reduce(df: DataFrame, temperature: float = O.KD_TEMPERATURE, reduction: s
     if mask:
         k = k.filter(F.col(mask))
     t2 = float(temperature) ** 2
-    agg = k.agg(F.sum("kl").alias("_s"), F.count_distinct(sample).alias("_b"),
-                F.sum(F.size(student).cast("bigint")).alias("_e"))
+    agg = k.agg(F.sum("kl").alias("_s"), F.count_distinct(F.when(F.col("kl").isNotNull(), F.col(sample))).alias("_b"),
+                F.sum(F.when(F.col("kl").isNotNull(), F.size(student).cast("bigint"))).alias("_e"))
     if reduction == "batchmean":
         v = F.col("_s") / F.col("_b")
     elif reduction == "sum":
@@ -108,8 +110,8 @@ def kd_reductions(df: DataFrame, temperature: float = O.KD_TEMPERATURE, sample:
         raise ValueError("temperature must be > 0")
     t2 = float(temperature) ** 2
     k = with_kl(df, temperature, student, assistant, method=method)
-    agg = k.agg(F.sum("kl").alias("_s"), F.count_distinct(sample).alias("_b"),
-                F.sum(F.size(student).cast("bigint")).alias("_e"))
+    agg = k.agg(F.sum("kl").alias("_s"), F.count_distinct(F.when(F.col("kl").isNotNull(), F.col(sample))).alias("_b"),
+                F.sum(F.when(F.col("kl").isNotNull(), F.size(student).cast("bigint"))).alias("_e"))
     return agg.select((F.col("_s") / F.col("_b") * F.lit(t2)).alias("batchmean"),
                       (F.col("_s") * F.lit(t2)).alias("sum"),
                       (F.col("_s") / F.col("_e") * F.lit(t2)).alias("mean"))
@@ -181,10 +183,13 @@ def combined_loss(df: DataFrame, temperature: float = O.KD_TEMPERATURE, weight:
                   reduction: str = "batchmean", method: str = "arrow") -> DataFrame:
     """``(1 - w) * ce + w * kd`` in one pass (shuffle only for the shift)."""
     opts = O.LossOptions(temperature, reduction, weight)
+    if reduction == "none":
+        raise ValueError("use with_kl and with_ce for reduction 'none'")
     t2 = opts.temperature ** 2
     k = with_ce(with_next_label(with_kl(df, temperature, method=method)), method=method)
     agg = k.agg(F.avg("ce").alias("ce"), F.sum("kl").alias("_s"),
-                F.count_distinct("sample_id").alias("_b"), F.sum(F.size("student").cast("bigint")).alias("_e"))
+                F.count_distinct(F.when(F.col("kl").isNotNull(), F.col("sample_id"))).alias("_b"),
+                F.sum(F.when(F.col("kl").isNotNull(), F.size("student").cast("bigint"))).alias("_e"))
     red = {"batchmean": F.col("_s") / F.col("_b"), "sum": F.col("_s"), "mean": F.col("_s") / F.col("_e")}
     kd = red[reduction] * F.lit(t2)
     w = float(opts.weight)

@@ -24,10 +24,16 @@ def load_teacher(spark: SparkSession, path: str, only_ok: bool = True,
                  schema: T.StructType = TEACHER_SCHEMA) -> DataFrame:
     """H0: the teacher outputs (JSONL) with an explicit schema; error and
     no-content rows are dropped when ``only_ok`` (a missing status counts
-    as ok)."""
+    as ok). A file of ``{instruction, output}`` rows without any index gets
+    one, in the order of both texts."""
     df = spark.read.schema(schema).json(path)
     if only_ok:
         df = df.filter(F.col("status").isNull() | (F.col("status") == "ok"))
+    if df.filter(F.col("row_idx").isNotNull()).isEmpty():
+        from distillery.operators.order import with_row_index
+
+        texts = df.drop("row_idx")
+        df = with_row_index(texts, ["instruction", "output", "status"]).select(*df.columns)
     return df
 
 
@@ -48,13 +54,17 @@ def exact_split(df: DataFrame, idx: str = "row_idx", test_size: float = O.TEST_S
 
     No global sort: a 65,536-bucket histogram of the hash prefix (partial
     aggregation, a bounded collect) finds the bucket where the cut falls;
-    only that bucket -- about n / 65,536 rows -- is ranked exactly.
+    only that bucket -- about n / 65,536 rows -- is ranked exactly. Null
+    indexes raise ``ValueError``.
     """
     O.SplitOptions(test_size, seed)  # validates
     h = split_key(idx, seed)
     keyed = df.withColumn("_h", h).withColumn(
         "_b", F.conv(F.substring(F.col("_h"), 1, _BUCKET_HEX), 16, 10).cast("int"))
-    hist = sorted((r["_b"], r["count"]) for r in keyed.groupBy("_b").count().collect())
+    counts = [(r["_b"], r["count"]) for r in keyed.groupBy("_b").count().collect()]
+    if any(b is None for b, _ in counts):
+        raise ValueError(f"rows without {idx!r} cannot be split: number them first")
+    hist = sorted(counts)
     if n is None:
         n = sum(c for _, c in hist)
     k = held_out_count(n, test_size)

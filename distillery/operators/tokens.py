@@ -5,7 +5,7 @@ the end/pad token ``<|im_end|>`` and id 1 for ``<unk>``; words follow from
 id 2 by descending count, ties by token.
 
 Encoding and decoding are map-only: the vocabulary has a parameter-bounded
-size (``size`` entries of at most ``max_token_chars`` characters), is checked
+size (``size`` entries), is checked
 against ``max_broadcast_entries`` and then shipped once per executor; each
 Arrow batch is encoded with a dict lookup, so no token row is shuffled.
 Above the bound the JVM join path (explode -> join -> regroup) is used.
@@ -27,59 +27,52 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000,
-                max_token_chars: int = 256, single_task_rank_max: int = 1_000_000) -> DataFrame:
+def build_vocab(texts: DataFrame, col: str = "text", size: int = 32000) -> DataFrame:
     """H4 + H5: ``(token, token_id, n)``; reserved rows have ``n`` null.
 
     No step funnels the token universe through one task:
 
     1. word counts are a partial aggregate (frequent words combine
        map-side), checkpointed;
-    2. a two-level histogram (power-of-two buckets of the count, then the
-       exact counts inside the bucket where the cut falls; both small
-       collects) gives the cut count ``c`` so that at least ``size`` tokens
-       have ``n >= c``;
-    3. only those candidates are ranked, by (n desc, token asc); their
-       number is known from the histogram: up to ``single_task_rank_max``
-       they are ranked in one window (a proven bound), beyond it with the
-       distributed two-pass row index. Ranks below ``size`` are kept.
+    2. histograms of the counts (power-of-two buckets, then 256 equal parts
+       of the part where the cut falls, until it is one count wide; each
+       a collect of at most 256 rows) give the cut count ``c`` so that at
+       least ``size`` tokens have ``n >= c``;
+    3. only those candidates are ranked, by (n desc, token asc), with the
+       distributed row index. Ranks below ``size`` are kept.
     """
     if size <= 0:
         raise ValueError("size must be > 0")
     from distillery.operators.order import with_row_index
 
     w = texts.select(F.explode(words(col)).alias("token"))
-    counts = (w.filter(~F.col("token").isin(RESERVED) & (F.length("token") <= max_token_chars))
+    counts = (w.filter(~F.col("token").isin(RESERVED))
                .groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n"))).checkpoint(eager=True)
-    # two-level histogram: <= 64 power-of-two buckets of n, then the exact
-    # count values inside the bucket holding the cut (both small collects)
-    lg = F.floor(F.log2(F.col("n"))).cast("int")
-    coarse = sorted(((r["b"], r["count"]) for r in counts.groupBy(lg.alias("b")).count().collect()),
-                    reverse=True)
-    cut, seen, above = 0, 0, 0
-    cut_bucket = None
-    for b, c in coarse:
-        if above + c >= size:
-            cut_bucket = b
-            break
-        above += c
-    if cut_bucket is None:              # fewer than `size` distinct tokens: keep all
-        seen = above
-    else:
-        fine = sorted(((r["n"], r["count"]) for r in
-                       counts.filter(lg == F.lit(cut_bucket)).groupBy("n").count().collect()), reverse=True)
-        seen = above
-        for n, c in fine:
-            seen += c
-            cut = n
-            if seen >= size:
+    # narrow the range [low, high) of counts that holds the cut
+    low, high, above = 1, 1 << 62, 0
+    part = F.floor(F.log2(F.col("n"))).cast("bigint")
+    edges = lambda i: (1 << i, 1 << (i + 1))
+    while True:
+        hist = sorted(((r["b"], r["count"]) for r in counts.filter(F.col("n").between(low, high - 1))
+                       .groupBy(part.alias("b")).count().collect()), reverse=True)
+        hit = None
+        for b, c in hist:
+            if above + c >= size:
+                hit = b
                 break
+            above += c
+        if hit is None:                 # fewer than `size` distinct tokens: keep all
+            cut = 0
+            break
+        low, high = edges(hit)
+        if high - low <= 1:
+            cut = low
+            break
+        step, base = max(1, -(-(high - low) // 256)), low
+        part = F.floor((F.col("n") - F.lit(base)) / F.lit(step)).cast("bigint")
+        edges = lambda i, base=base, step=step, top=high: (base + i * step, min(base + (i + 1) * step, top))
     candidates = counts.filter(F.col("n") >= F.lit(cut)).withColumn("_neg", -F.col("n"))
-    if seen <= single_task_rank_max:
-        ranked = candidates.withColumn(
-            "_rank", F.row_number().over(Window.orderBy("_neg", "token")) - F.lit(1))
-    else:
-        ranked = with_row_index(candidates, ["_neg", "token"], "_rank", materialize_input=False)
+    ranked = with_row_index(candidates, ["_neg", "token"], "_rank", materialize_input=False)
     numbered = (ranked.filter(F.col("_rank") < size)
                 .withColumn("token_id", (F.col("_rank") + F.lit(len(RESERVED))).cast("int")))
     spark = texts.sparkSession
@@ -152,9 +145,8 @@ def _encode_arrow(df, pairs, col, out, max_length):
         def one(t):
             if t is None:
                 return None
-            ws = t.split()
-            if limit is not None:
-                ws = ws[:limit]
+            # the text behind the last wanted word is not split
+            ws = t.split() if limit is None else t.split(None, limit)[:limit]
             return [get(w, UNK_ID) for w in ws]
 
         return s.map(one)

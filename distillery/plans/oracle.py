@@ -218,7 +218,7 @@ VOCAB = f"""
     SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id, n FROM (
       SELECT token, CAST(count(*) AS BIGINT) AS n FROM (
         SELECT unnest(regexp_extract_all(text, '{WORD_PATTERN_RE2}')) AS token FROM ({SFT_TEXTS}) t) w
-      WHERE token NOT IN ('{O.PAD_TOKEN}', '{O.UNK_TOKEN}') AND length(token) <= 256
+      WHERE token NOT IN ('{O.PAD_TOKEN}', '{O.UNK_TOKEN}')
       GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE}) c) r
   UNION ALL SELECT '{O.PAD_TOKEN}', CAST(0 AS INTEGER), CAST(NULL AS BIGINT)
   UNION ALL SELECT '{O.UNK_TOKEN}', CAST(1 AS INTEGER), CAST(NULL AS BIGINT)
@@ -373,9 +373,9 @@ ORACLE["registry_run"] = f"SELECT row_idx, dataset, split, instruction FROM ({CO
 ORACLE["manifest"] = f"""
   SELECT 'teacher' AS name, 'teacher_outputs' AS source, CAST(count(*) AS BIGINT) AS n_rows,
          CAST(3 AS BIGINT) AS n_cols, 'source=teacher_outputs;version=v1' AS tags,
-         coalesce(bit_xor(CAST(('0x' || substr(md5(concat_ws(chr(31),
+         CAST(coalesce(sum(CAST(('0x' || substr(md5(concat_ws(chr(31),
            coalesce(CAST(row_idx AS VARCHAR), chr(0)), coalesce(instruction, chr(0)),
-           coalesce(output, chr(0)))), 1, 15)) AS BIGINT)), 0) AS digest
+           coalesce(output, chr(0)))), 1, 15)) AS BIGINT)), 0) % 4611686018427387904 AS BIGINT) AS digest
   FROM ({PAIRS}) p"""
 ORACLE["gen_stream"] = f"""
   SELECT conv_id, turn, text AS instruction, md5({teacher_prompt('text')}) AS output, 'ok' AS status
@@ -395,6 +395,5 @@ ORACLE["gen_dispatch"] = f"""
   UNION ALL
   SELECT 'replay' AS mode, row_idx, output, status FROM ({ORACLE['gen_replay']}) b"""
 ORACLE["batch_append"] = ORACLE["batch_responses"]
-ORACLE["encode_user_tokenizer"] = ORACLE["encode"]
 ORACLE["encode_join"] = ORACLE["encode"]
 ORACLE["kd_reduce_jvm"] = ORACLE["kd_reduce"]

@@ -587,6 +587,7 @@ def q_gen_stream(spark, sf_dir):
     with a checkpoint (one availableNow pass), then read back."""
     from distillery.operators.generate import md5_generator
     from distillery.session import scratch_path
+    from distillery.sources import fs
     from distillery.streaming.generate import read_results, stream_generate
 
     src = f"{sf_dir}/conversations.parquet"
@@ -598,8 +599,10 @@ def q_gen_stream(spark, sf_dir):
                           TX.teacher_prompt("text").alias("prompt")))
 
     root = scratch_path(spark, "stream")
-    stream_generate(spark, sf_dir, schema, prompts, md5_generator, f"{root}/out", f"{root}/ckpt",
-                    options={"pathGlobFilter": "conversations.parquet"})
+    # the table is a folder of part files, or one file in the folder of all tables
+    folder = fs.is_folder(spark, src)
+    stream_generate(spark, src if folder else sf_dir, schema, prompts, md5_generator, f"{root}/out", f"{root}/ckpt",
+                    options={} if folder else {"pathGlobFilter": "conversations.parquet"})
     return read_results(spark, f"{root}/out").select("conv_id", "turn", "instruction", "output", "status")
 
 
@@ -686,34 +689,6 @@ def q_batch_append(spark, sf_dir):
     return spark.read.schema(res.schema).json(path)
 
 
-def _word_level_factory(vocab_pairs):
-    """A `tokenizers` WordLevel tokenizer over the given vocabulary, as a
-    user would plug in a pretrained tokenizer file."""
-    table = dict(vocab_pairs)
-
-    def factory():
-        from tokenizers import Tokenizer
-        from tokenizers.models import WordLevel
-        from tokenizers.pre_tokenizers import WhitespaceSplit
-
-        tok = Tokenizer(WordLevel(table, unk_token=O.UNK_TOKEN))
-        tok.pre_tokenizer = WhitespaceSplit()
-        return lambda texts: [e.ids for e in tok.encode_batch(texts)]
-
-    return factory
-
-
-@query("encode_user_tokenizer")
-def q_encode_user_tokenizer(spark, sf_dir):
-    """H6 through the pluggable tokenizer path (``tokens.encode_with``)."""
-    from distillery.operators.tokens import encode_with, ids_text
-
-    _, texts, vocab = _token_inputs(spark, sf_dir)
-    e = encode_with(texts, _word_level_factory(vocab.pairs), "text", "input_ids", O.SFT_MAX_LENGTH)
-    return e.select("row_idx", F.size("input_ids").cast("bigint").alias("n_tokens"),
-                    ids_text("input_ids").alias("ids"))
-
-
 @query("encode_join")
 def q_encode_join(spark, sf_dir):
     """H6 through the JVM path (explode -> vocabulary join -> regroup), used

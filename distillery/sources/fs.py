@@ -31,6 +31,11 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(p))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs_path(spark, path)
+    return bool(fs.exists(p)) and fs.getFileStatus(p).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs_path(spark, path)
     if fs.exists(p):

@@ -23,7 +23,8 @@ def row_hash(cols: list[str], method: str = "xxhash64") -> Column:
 def manifest(df: DataFrame, name: str, source: str = "", context: str = "",
              tags: dict[str, str] | None = None, digest: str = "xxhash64") -> DataFrame:
     """One row: name, source, context, tags, n_rows, n_cols, schema JSON and
-    an order-independent digest (XOR of row hashes). A single partial
+    an order-independent digest (sum of row hashes, modulo 2^62, so that
+    repeated rows count). A single partial
     aggregate; the data never reaches the driver."""
     cols = df.columns
     kv = []
@@ -31,7 +32,8 @@ def manifest(df: DataFrame, name: str, source: str = "", context: str = "",
         kv += [F.lit(k), F.lit(v)]
     tag_col = F.create_map(*kv) if kv else F.create_map().cast("map<string,string>")
     agg = df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                 F.bit_xor(row_hash(cols, digest)).alias("digest"))
+                 F.pmod(F.sum(row_hash(cols, digest).cast("decimal(20,0)")), F.lit(1 << 62).cast("decimal(38,0)"))
+                 .cast("bigint").alias("digest"))
     return agg.select(F.lit(name).alias("name"), F.lit(source).alias("source"), F.lit(context).alias("context"),
                       tag_col.alias("tags"), "n_rows", F.lit(len(cols)).cast("bigint").alias("n_cols"),
                       F.lit(df.schema.json()).alias("schema_json"),

@@ -42,6 +42,8 @@ def write_jsonl_splits(df: DataFrame, path: str, split: str = "split", skip_exis
             elif name.startswith(stem + "_") and name.endswith(".jsonl") \
                     and fs.is_complete(spark, f"{parent}/{name}"):
                 done.append(name[len(stem) + 1:-len(".jsonl")])
+    # rows without a split go to a folder of their own, `null`
+    df = df.withColumn(split, F.coalesce(F.col(split).cast("string"), F.lit("null")))
     todo = df.filter(~F.col(split).isin(done)) if done else df
     staging = f"{parent}/.{stem}._staging-{uuid.uuid4().hex[:8]}"
     todo.write.mode("overwrite").partitionBy(split).options(**JSON_WRITE).json(staging)
@@ -88,11 +90,17 @@ def write_once(df: DataFrame, path: str, fmt: str = "json") -> bool:
 
 def append_new_results(results: DataFrame, path: str, key: str = "custom_id") -> DataFrame:
     """Append only results whose ``key`` is not in the output yet
-    (left-anti join against what is there), so a re-run adds nothing twice."""
+    (left-anti join against what is there), so a re-run adds nothing twice.
+    Results without a key are told apart by their whole contents."""
     spark = results.sparkSession
     new = results
     if exists(spark, path):
-        have = spark.read.schema(results.schema).json(path).select(key).distinct()
-        new = results.join(have, key, "left_anti")
+        def same(df):
+            whole = F.concat(F.lit("\x00"), F.to_json(F.struct(*[F.col(c) for c in results.columns]), {"ignoreNullFields": "false"}))
+            return F.when(F.coalesce(F.col(key), F.lit("")) == "", F.sha2(whole, 256)).otherwise(F.col(key))
+
+        old = spark.read.schema(results.schema).json(path)
+        have = old.select(same(old).alias("_same")).distinct()
+        new = results.withColumn("_same", same(results)).join(have, "_same", "left_anti").drop("_same")
     new.write.mode("append").options(**JSON_WRITE).json(path)
     return new

@@ -16,7 +16,7 @@ from distillery.operators.generate import Factory, generate
 
 def stream_generate(spark: SparkSession, source_path: str, schema: T.StructType, transform,
                     factory: Factory, sink_path: str, checkpoint_path: str, source_format: str = "parquet",
-                    sink_format: str = "parquet", timeout_s: int = 600, batch_size: int = 256,
+                    sink_format: str = "parquet", timeout_s: int | None = None, batch_size: int = 256,
                     max_files_per_trigger: int | None = None, options: dict | None = None,
                     trigger: dict | None = None) -> bool:
     """Run one ``availableNow`` pass: every input not yet processed is
@@ -26,8 +26,9 @@ def stream_generate(spark: SparkSession, source_path: str, schema: T.StructType,
     rows. ``source_path`` is a folder (``options`` may narrow it, e.g.
     ``pathGlobFilter``). ``trigger`` defaults to ``{"availableNow": True}``;
     pass e.g. ``{"processingTime": "1 minute"}`` for a long-running stream
-    (then ``timeout_s`` bounds how long this call waits). Returns True when
-    the query finished within ``timeout_s``.
+    (then ``timeout_s`` bounds how long this call waits). By default it waits
+    for the end; a query that has not ended after ``timeout_s`` is stopped and
+    ``TimeoutError`` raised: what is committed stays, and the next call goes on.
     """
     reader = spark.readStream.schema(schema).format(source_format).options(**(options or {}))
     if max_files_per_trigger:
@@ -37,12 +38,14 @@ def stream_generate(spark: SparkSession, source_path: str, schema: T.StructType,
     q = (answered.writeStream.format(sink_format)
          .option("path", sink_path).option("checkpointLocation", checkpoint_path)
          .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
-    done = q.awaitTermination(timeout_s)
+    done = q.awaitTermination(timeout_s) if timeout_s is not None else q.awaitTermination() or True
     if not done:
         q.stop()
     if q.exception() is not None:
         raise RuntimeError(f"streaming generation failed: {q.exception()}")
-    return bool(done)
+    if not done:
+        raise TimeoutError(f"not all input was answered within {timeout_s} s")
+    return True
 
 
 def read_results(spark: SparkSession, sink_path: str, fmt: str = "parquet") -> DataFrame:

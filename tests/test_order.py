@@ -5,11 +5,10 @@ from distillery.operators import order as D
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
-@pytest.mark.parametrize("limit", [-1, None])
-def test_row_index_dense_and_ordered(spark, parts, limit):
+def test_row_index_dense_and_ordered(spark, parts):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v"))
     df = df.repartition(5)
-    out = D.with_row_index(df, ["k"], num_partitions=parts, single_task_max_bytes=limit).select(
+    out = D.with_row_index(df, ["k"], num_partitions=parts).select(
         "k", "row_idx").collect()
     assert sorted((r.k, r.row_idx) for r in out) == [(i, i) for i in range(1000)]
 
@@ -82,10 +81,9 @@ def test_pairs_methods_agree(spark):
 
 
 @pytest.mark.parametrize("out", ["_pos", "_pid", "_off", "row_idx"])
-@pytest.mark.parametrize("limit", [-1, None])
-def test_row_index_any_output_name(spark, out, limit):
+def test_row_index_any_output_name(spark, out):
     df = spark.range(0, 50).select((F.col("id") * 3).alias("k"))
-    got = sorted(r[out] for r in D.with_row_index(df, ["k"], out, single_task_max_bytes=limit).collect())
+    got = sorted(r[out] for r in D.with_row_index(df, ["k"], out).collect())
     assert got == list(range(50))
 
 

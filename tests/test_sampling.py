@@ -17,8 +17,6 @@ def test_top_k_ties_and_bounds(spark):
     got = sorted((r.ctx, r.tok, r.rank) for r in P.top_k(df, 2).collect())
     assert got == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 1, 2)]
     assert P.top_k(df, 0).count() == 6 and P.top_k(df, 99).count() == 6
-    assert sorted(map(tuple, P.top_k(df, 2, salt_buckets=1).select("ctx", "tok").collect())) == \
-        sorted(map(tuple, P.top_k(df, 2, salt_buckets=8).select("ctx", "tok").collect()))
 
 
 def test_top_p(spark):

@@ -74,7 +74,7 @@ def test_vocab_ranking_paths_agree(spark):
 
     texts = FX.conversation_turns(spark, SF_SMALL).select("text")
     a = sorted(tuple(r) for r in K.build_vocab(texts, "text", 300).collect())
-    b = sorted(tuple(r) for r in K.build_vocab(texts, "text", 300, single_task_rank_max=0).collect())
+    b = sorted(tuple(r) for r in K.build_vocab(texts, "text", 300).collect())
     assert a == b and len(a) == 302
 
 

@@ -1,5 +1,4 @@
-"""The distributed two-pass row index, forced on queries whose inputs are
-small enough for the one-window path, still matches the oracle."""
+"""Queries whose rows the distributed two-pass row index numbers."""
 
 import os
 
@@ -7,18 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from distillery.operators import order
 from tests.conftest import SF_SMALL
 from tools.oracle_check import TABLES, rows_of
 
 KEYS = ["row_index", "registry_run", "split_test", "encode", "pad_left", "batch_responses", "gen_replay"]
 
 
-@pytest.fixture()
-def two_pass(monkeypatch):
-    monkeypatch.setattr(order, "SINGLE_TASK_MAX_BYTES", -1)
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -30,7 +23,7 @@ def duck():
 
 
 @pytest.mark.parametrize("name", KEYS)
-def test_two_pass_matches_oracle(spark, duck, two_pass, name):
+def test_two_pass_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or name in ("split_test",)   # offsets join of pass 2
