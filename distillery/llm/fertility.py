@@ -70,11 +70,7 @@ class FertilityRules:
 
 def _measure(arr: pa.Array, path: str) -> pa.Array:
     out: dict[str, list] = {k: [] for k in _FIELDS}
-    if path not in _caches:
-        model = vocab.pieces(path)
-        _caches[path] = (vocab.WordCache(lambda w: model.encode(w, num_threads=1), 150_000),
-                         np.array([model.is_byte(i) for i in range(model.vocab_size())]))
-    cache, is_byte = _caches[path]
+    cache, is_byte = vocab.held(("fertility", path), lambda: _word_cache(path))
     for _, part in ta.slices(arr):
         for k, v in _slice(*ta.raw(part), cache, is_byte).items():
             out[k].append(v)
@@ -83,7 +79,12 @@ def _measure(arr: pa.Array, path: str) -> pa.Array:
     return pa.StructArray.from_arrays(cols, list(_FIELDS))
 
 
-_caches: dict = {}
+def _word_cache(path: str) -> tuple[vocab.WordCache, np.ndarray]:
+    model = vocab.pieces(path)
+    return (vocab.WordCache(lambda w: model.encode(w, num_threads=1), 150_000),
+            np.array([model.is_byte(i) for i in range(model.vocab_size())]))
+
+
 _arrow = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
 

@@ -37,15 +37,11 @@ BUCKET_TOKENS = 1 << 20
 MIN_PIECE = 512
 _GROUP = 4096  # buckets whose prefix sum one window takes
 
-_caches: dict = {}
-
 
 def _encode_column(text: str, path: str):
     """``struct<n, ids>``: token count and compressed little-endian ids."""
     def f(arr: pa.Array) -> pa.Array:
-        if path not in _caches:
-            _caches[path] = vocab.WordCache(vocab.lowercase_bpe(path))
-        cache = _caches[path]
+        cache = vocab.held(("packing", path), lambda: vocab.WordCache(vocab.lowercase_bpe(path)))
         n, blobs = [], []
         for _, part in ta.slices(arr):
             for ids in document_ids(part, cache, path):

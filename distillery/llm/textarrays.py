@@ -7,6 +7,8 @@ as empty.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def slices(arr: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """``(start row, part)`` with at most ``max_bytes`` of text each; a row
-    that is longer on its own gets its own part."""
+    that is longer on its own gets its own part. After the last part the
+    memory freed meanwhile goes back to the system."""
     if len(arr) == 0:
         return
     off = offsets(arr)
@@ -51,6 +54,18 @@ def slices(arr: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, pa.Ar
         hi = min(max(hi, lo + 1), len(arr))
         yield lo, arr.slice(lo, hi - lo)
         lo = hi
+    release()
+
+
+
+def release() -> None:
+    """Hand freed memory back. Python workers outlive their tasks, so what
+    they hold on to is missing to the stages that follow."""
+    gc.collect()  # functions shipped by value are cyclic garbage after their task
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def offsets(arr: pa.Array) -> np.ndarray:

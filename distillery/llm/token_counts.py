@@ -124,15 +124,14 @@ def word_pieces(path: str) -> list[tuple[str, bool]]:
     return out
 
 
-_caches: dict = {}
+def _word_cache(path: str) -> vocab.WordCache:
+    auto = LengthAutomaton(word_pieces(path))
+    # the cache stores a word's length as its single "id"
+    return vocab.WordCache(lambda w: auto.lengths(w)[:, None].tolist())
 
 
 def _counts(arr: pa.Array, path: str) -> pa.Array:
-    if path not in _caches:
-        auto = LengthAutomaton(word_pieces(path))
-        # the cache stores a word's length as its single "id"
-        _caches[path] = vocab.WordCache(lambda w: auto.lengths(w)[:, None].tolist())
-    cache = _caches[path]
+    cache = vocab.held(("counts", path), lambda: _word_cache(path))
     out = [[], [], [], []]
     for _, part in ta.slices(arr):
         data, off = ta.raw(part)

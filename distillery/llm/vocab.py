@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 from distillery.llm import textarrays as ta
+from distillery.operators.generate import _worker_store
 
 
 def public_path(name: str) -> str:
@@ -98,28 +99,44 @@ def piece_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-_loaded: dict = {}
+def held(key: tuple, build: Callable):
+    """``build()``, kept by the Python worker for the tasks to come until
+    another key is asked for: workers live on from one stage to the next, so
+    each holds the vocabulary and word cache of one operator at a time."""
+    store = _worker_store()
+    if store.get("held", (None,))[0] != key:
+        store.pop("held", None)
+        store.pop("loaded", None)
+        ta.release()
+        store["held"] = key, build()
+    return store["held"][1]
+
+
+def _loaded() -> dict:
+    return _worker_store().setdefault("loaded", {})
 
 
 def tokenizer(path: str):
     """A `tokenizers` file, loaded once per Python worker."""
-    if path not in _loaded:
+    loaded = _loaded()
+    if path not in loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        loaded[path] = Tokenizer.from_file(path)
+    return loaded[path]
 
 
 def pieces(path: str):
     """A `sentencepiece` model, loaded once per Python worker."""
-    if path not in _loaded:
+    loaded = _loaded()
+    if path not in loaded:
         import sentencepiece
 
-        _loaded[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _loaded[path]
+        loaded[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return loaded[path]
 
 
 def _byte_signs() -> list[str]:
