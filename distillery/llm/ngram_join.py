@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from distillery.llm import textarrays as ta
+from distillery.llm import vocab
 from distillery.llm.components import connected_components
 from distillery.llm.shared import col, cut, small_side
 
@@ -61,6 +62,7 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signature(text: pa.Array) -> pa.Array:
+    vocab.let_go()
     n, k1, k2 = [], [], []
     for s in ta.shingle_sets(text, SHINGLE_WORDS):
         a, b = _keys(s)
@@ -72,6 +74,7 @@ def _signature(text: pa.Array) -> pa.Array:
 
 
 def _shingle_set(text: pa.Array) -> pa.Array:
+    vocab.let_go()
     sets = list(ta.shingle_sets(text, SHINGLE_WORDS))
     k1 = np.array([_keys(s)[0] for s in sets], dtype=np.uint64).view(np.int64)
     return pa.StructArray.from_arrays([pa.array(k1), _lists(sets, np.int64)], ["k1", "toks"])
@@ -122,7 +125,10 @@ def _packed(sets: Iterator[tuple[int, np.ndarray]], ranges: int, shift: int, nar
 
 
 def _unpack(t: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(keys, lens, hashes)`` of a range, one entry per key."""
+    """``(keys, lens, hashes)`` of a range, one entry per key. What the last
+    range left behind is handed back first."""
+    vocab.let_go()
+    ta.release()
     join = lambda c, k: np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in t[c]])
     keys, lens, toks = join("keys", np.uint64), join("lens", np.uint32).astype(np.int64), join("toks", kind)
     _, first = np.unique(keys, return_index=True)
@@ -146,6 +152,7 @@ def unshared_counts(df: DataFrame, text: str, classes: int, tokens: int) -> Data
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets():
+            vocab.let_go()
             for b in batches:
                 for s in ta.shingle_sets(b.column(0), SHINGLE_WORDS):
                     if len(s):

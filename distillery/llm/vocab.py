@@ -112,6 +112,13 @@ def held(key: tuple, build: Callable):
     return store["held"][1]
 
 
+def let_go() -> None:
+    """Drop what an earlier operator left in this Python worker."""
+    store = _worker_store()
+    if [k for k in ("held", "loaded") if store.pop(k, None)]:
+        ta.release()
+
+
 def _loaded() -> dict:
     return _worker_store().setdefault("loaded", {})
 
