@@ -39,6 +39,12 @@ def custom_id(idx) -> Column:
     return F.concat(F.lit(O.REQUEST_ID_PREFIX), c.cast("string"))
 
 
+def request_index(custom: str = "custom_id", status: str = "status") -> Column:
+    """The index inside a known ``custom_id``, as text; null for others."""
+    own = F.substring(F.col(custom), len(O.REQUEST_ID_PREFIX) + 1, 2**31 - 1)
+    return F.when(F.col(status) != "unknown_id", own)
+
+
 def build_requests(df: DataFrame, idx_col: str = "row_idx", instruction_col: str = "instruction",
                    model: str = O.BATCH_MODEL, temperature: float = O.BATCH_TEMPERATURE,
                    top_p: float = O.BATCH_TOP_P, system: str = O.BATCH_DEVELOPER_PROMPT) -> DataFrame:

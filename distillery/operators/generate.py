@@ -2,7 +2,7 @@
 
 The generator is a user callable built by a factory once per task and
 applied to fixed-size slices of prompts inside Arrow batches
-(``mapInPandas``): the model call is the only Python in the plan. A slice
+(``mapInArrow``): the model call is the only Python in the plan. A slice
 that raises is retried row by row so one bad row becomes an error row
 (status ``error``) and the job continues.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,8 +77,8 @@ def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
             fn = store.get(key)
             if fn is None:
                 fn = store[key] = factory()
-        for pdf in batches:
-            prompts = pdf[prompt_col].tolist()
+        for batch in batches:
+            prompts = batch.column(prompt_col).to_pylist()
             outs: list = [None] * len(prompts)
             stats: list = ["no_prompt"] * len(prompts)
             todo = [i for i, p in enumerate(prompts) if p is not None]
@@ -96,14 +97,14 @@ def generate(df: DataFrame, factory: Factory, prompt_col: str = "prompt",
                             outs[i], stats[i] = (None if r is None else str(r)), "ok"
                         except Exception as e:  # noqa: BLE001
                             outs[i], stats[i] = f"{error_prefix}{e}", "error"
-            out = pdf[names].copy()
-            out[output_col] = outs
-            out[status_col] = stats
-            yield out
+            # the other columns are handed through as they came (exact values, nulls included)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in names], pa.array(outs, pa.string()), pa.array(stats, pa.string())],
+                [*names, output_col, status_col])
 
     if partitions:
         df = df.repartition(partitions)
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def md5_generator() -> Generator:
@@ -159,11 +160,12 @@ MODES = ("inline", "batch", "replay")
 
 def answer(df: DataFrame, mode: str, *, factory: Factory | None = None,
            answers: DataFrame | None = None, responses: DataFrame | None = None,
-           **kw) -> DataFrame:
+           idx_col: str = "row_idx", **kw) -> DataFrame:
     """one entry point for the ways answers are obtained.
 
     ``inline``: run ``factory`` (F1/F2); ``batch``: parse ``responses``
-    lines against requests built from ``df`` (G1-G4); ``replay``: join
+    lines against requests built from ``df`` (G1-G4), each with the
+    ``idx_col`` of its request (null for an unknown id); ``replay``: join
     stored ``answers`` (F7). Missing inputs raise ValueError.
     """
     if mode == "inline":
@@ -175,7 +177,8 @@ def answer(df: DataFrame, mode: str, *, factory: Factory | None = None,
             raise ValueError("batch mode needs response lines")
         from distillery.operators import batchfile as B
 
-        return B.attach_instructions(B.parse_responses(responses), B.build_requests(df, **kw))
+        found = B.attach_instructions(B.parse_responses(responses), B.build_requests(df, idx_col, **kw))
+        return found.withColumn(idx_col, B.request_index("custom_id", "status").cast(df.schema[idx_col].dataType))
     if mode == "replay":
         if answers is None:
             raise ValueError("replay mode needs an answers table")

@@ -173,20 +173,30 @@ def _lse_arrow():
     return F.pandas_udf(lse, "double")
 
 
-def ce_loss(df: DataFrame, method: str = "arrow", **kw) -> DataFrame:
-    """Mean CE over valid positions (null when none are valid)."""
-    c = with_ce(with_next_label(df, **kw), method=method)
+def ce_loss(df: DataFrame, method: str = "arrow", target: str | None = None, **kw) -> DataFrame:
+    """Mean CE over valid positions (null when none are valid).
+    ``target`` names a stored column with the shifted label: then the rows
+    are scored where they lie; without it the shift moves them by sample."""
+    shifted = df if target else with_next_label(df, **kw)
+    c = with_ce(shifted, target=target or kw.get("out", "target"), method=method)
     return c.agg(F.avg("ce").alias("ce"), F.count("ce").cast("bigint").alias("n_valid"))
 
 
 def combined_loss(df: DataFrame, temperature: float = O.KD_TEMPERATURE, weight: float = O.KD_WEIGHT,
-                  reduction: str = "batchmean", method: str = "arrow") -> DataFrame:
-    """``(1 - w) * ce + w * kd`` in one pass (shuffle only for the shift)."""
+                  reduction: str = "batchmean", method: str = "arrow", target: str | None = None,
+                  mask: str | None = None) -> DataFrame:
+    """``(1 - w) * ce + w * kd`` in one pass. ``target`` as in
+    ``ce_loss`` (no shuffle but the final aggregate). ``mask`` names a
+    boolean column of the rows that count in the KL part, as in
+    ``kd_reduce``; the labels' own mask (-100) decides for the CE part."""
     opts = O.LossOptions(temperature, reduction, weight)
     if reduction == "none":
         raise ValueError("use with_kl and with_ce for reduction 'none'")
     t2 = opts.temperature ** 2
-    k = with_ce(with_next_label(with_kl(df, temperature, method=method)), method=method)
+    k = with_kl(df, temperature, method=method)
+    if mask:
+        k = k.withColumn("kl", F.when(F.col(mask), F.col("kl")))
+    k = with_ce(k if target else with_next_label(k), target=target or "target", method=method)
     agg = k.agg(F.avg("ce").alias("ce"), F.sum("kl").alias("_s"),
                 F.count_distinct(F.when(F.col("kl").isNotNull(), F.col("sample_id"))).alias("_b"),
                 F.sum(F.when(F.col("kl").isNotNull(), F.size("student").cast("bigint"))).alias("_e"))

@@ -76,12 +76,14 @@ SYSTEM_PROMPT_MAX_CHARS = 1024
 
 @dataclass(frozen=True)
 class RegistryEntry:
-    """One dataset of the registry: name, key column, subset, local path."""
+    """One dataset of the registry: name, key column, subset, local path and
+    its format (``json`` or ``parquet``; by default told from the suffix)."""
 
     name: str
     key: str | None = "instruction"
     subset: str | None = None
     external_local_path: str | None = None
+    external_format: str | None = None
 
 
 @dataclass(frozen=True)

@@ -393,7 +393,11 @@ ORACLE["prompts_once"] = f"SELECT row_idx, instruction FROM ({CORPUS}) c"
 ORACLE["gen_dispatch"] = f"""
   SELECT 'inline' AS mode, row_idx, output, status FROM ({ORACLE['gen_md5']}) a
   UNION ALL
-  SELECT 'replay' AS mode, row_idx, output, status FROM ({ORACLE['gen_replay']}) b"""
+  SELECT 'replay' AS mode, row_idx, output, status FROM ({ORACLE['gen_replay']}) b
+  UNION ALL
+  SELECT 'batch' AS mode, CASE WHEN status <> 'unknown_id'
+    THEN CAST(substr(custom_id, {len(O.REQUEST_ID_PREFIX) + 1}) AS BIGINT) END AS row_idx, output, status
+  FROM ({ORACLE['batch_responses']}) c"""
 ORACLE["batch_append"] = ORACLE["batch_responses"]
 ORACLE["encode_join"] = ORACLE["encode"]
 ORACLE["kd_reduce_jvm"] = ORACLE["kd_reduce"]

@@ -663,7 +663,8 @@ def q_prompts_once(spark, sf_dir):
 @query("gen_dispatch")
 def q_gen_dispatch(spark, sf_dir):
     """the same corpus answered inline (generator) and by replay
-    (stored answers) through one entry point."""
+    (stored answers), and the pairs' instructions by batch response lines,
+    through one entry point."""
     from distillery.operators.generate import answer, md5_generator
 
     c = _prompts(spark, sf_dir)
@@ -672,7 +673,10 @@ def q_gen_dispatch(spark, sf_dir):
         F.lit("inline").alias("mode"), "row_idx", "output", "status")
     replayed = answer(c.select("row_idx", "instruction"), "replay", answers=answers, order_col="answer_idx").select(
         F.lit("replay").alias("mode"), "row_idx", "output", "status")
-    return inline.unionByName(replayed)
+    p = _pairs(spark, sf_dir)
+    batch = answer(p, "batch", responses=FX.response_lines_from(p)).select(
+        F.lit("batch").alias("mode"), "row_idx", "output", "status")
+    return inline.unionByName(replayed).unionByName(batch)
 
 
 @query("batch_append")

@@ -94,10 +94,11 @@ def resolve_source(spark: SparkSession, entry: O.RegistryEntry, jsonl_dir: str,
             return d if "split" in d.columns else d.withColumn("split", F.lit("train"))
     p = entry.external_local_path
     if p and exists(spark, p):
-        if p.rstrip("/").endswith(".parquet"):
-            d = spark.read.parquet(p)
-        else:
-            d = (spark.read.schema(schema) if schema is not None else spark.read).json(p)
+        kind = entry.external_format or ("parquet" if p.rstrip("/").endswith(".parquet") else "json")
+        if kind not in ("parquet", "json"):
+            raise ValueError(f"unknown format {kind!r} of dataset {entry.name!r}")
+        r = spark.read.schema(schema) if schema is not None and kind == "json" else spark.read
+        d = r.format(kind).load(p)
         return d if "split" in d.columns else d.withColumn("split", F.lit("train"))
     raise FileNotFoundError(
         f"dataset {entry.name!r} not found; provide {jsonl_dir.rstrip('/')}/{stem}.jsonl, "
@@ -121,14 +122,15 @@ def pick_version(spark: SparkSession, kind: str, size: str) -> str:
 
 
 def registry_sources(spark: SparkSession, entries: list[O.RegistryEntry], jsonl_dir: str,
-                     snapshot_dir: str | None = None):
+                     snapshot_dir: str | None = None, schemas: dict | None = None):
     """One corpus ``Source`` per registry entry (file order inside each
-    split); entries without a key are skipped by the corpus (B7)."""
+    split); entries without a key are skipped by the corpus (B7). ``schemas``
+    by entry name spare the extra pass that JSON inference makes."""
     from distillery.operators.corpus import Source
 
     names = [e.name for e in entries]
     out = []
     for e in entries:
-        df = resolve_source(spark, e, jsonl_dir, snapshot_dir, registry=names)
+        df = resolve_source(spark, e, jsonl_dir, snapshot_dir, (schemas or {}).get(e.name), names)
         out.append(Source(e.name, df, key=e.key, split=F.col("split"), row_key=None))
     return out

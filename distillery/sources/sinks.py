@@ -97,7 +97,8 @@ def append_new_results(results: DataFrame, path: str, key: str = "custom_id") ->
     if exists(spark, path):
         def same(df):
             whole = F.concat(F.lit("\x00"), F.to_json(F.struct(*[F.col(c) for c in results.columns]), {"ignoreNullFields": "false"}))
-            return F.when(F.coalesce(F.col(key), F.lit("")) == "", F.sha2(whole, 256)).otherwise(F.col(key))
+            k = F.col(key).cast("string")
+            return F.when(F.coalesce(k, F.lit("")) == "", F.sha2(whole, 256)).otherwise(k)
 
         old = spark.read.schema(results.schema).json(path)
         have = old.select(same(old).alias("_same")).distinct()

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from distillery import options as O
 from distillery.functions.text import teacher_prompt, training_text
+from distillery.operators import batchfile as B
 from distillery.operators import corpus as C
 from distillery.operators import order as D
 from distillery.operators import scoring as S
 from distillery.operators import split as SP
 from distillery.operators import tokens as K
-from distillery.operators.generate import Factory, generate
+from distillery.operators.generate import Factory, answer, generate
 from distillery.sources import datasets as DS
 from distillery.sources import fs, sinks
 
@@ -44,22 +45,44 @@ def prepare_prompts(spark: SparkSession, registry: list[O.RegistryEntry], jsonl_
 
 def answer_prompts(spark: SparkSession, prompts_path: str, out_path: str, factory: Factory,
                    system: str = O.TEACHER_SYSTEM_PROMPT, batch_size: int = O.GEN_BATCH_SIZE,
-                   resume: bool = True, partitions: int | None = None) -> DataFrame:
+                   resume: bool = True, partitions: int | None = None, blocks: int = 1) -> DataFrame:
     """E1 + F1/F2 + D4 + A6: answer every prompt that has no answer yet
     (left-anti on ``row_idx`` against what is already written, so an
     interrupted run resumes and a finished one adds nothing). Prompts are
     spread round-robin over ``partitions`` tasks (default: the cluster's
-    default parallelism) so model calls are balanced. Returns the whole
-    answers table after the append."""
+    default parallelism) so model calls are balanced. The rows are answered
+    and committed in ``blocks`` parts, by ``row_idx`` modulo their number: a
+    run that fails keeps the parts it has finished. Returns the whole answers
+    table after the last append."""
+    if blocks < 1:
+        raise ValueError("blocks must be >= 1")
     prompts = spark.read.schema(PROMPT_SCHEMA).json(prompts_path)
-    todo = prompts
-    if resume and fs.exists(spark, out_path):
-        todo = D.resume_by_key(prompts, spark.read.schema(ANSWER_SCHEMA).json(out_path), "row_idx")
-    rows = todo.select("row_idx", "instruction", teacher_prompt("instruction", system).alias("prompt"))
     parts = partitions or spark.sparkContext.defaultParallelism
-    answered = generate(rows, factory, batch_size=batch_size, partitions=parts).select(
-        "row_idx", "instruction", "output", "status")
-    sinks.append_jsonl(answered, out_path)
+    for block in range(blocks):
+        todo = prompts.filter(F.pmod("row_idx", F.lit(blocks)) == block) if blocks > 1 else prompts
+        if resume and fs.exists(spark, out_path):
+            todo = D.resume_by_key(todo, spark.read.schema(ANSWER_SCHEMA).json(out_path), "row_idx")
+        rows = todo.select("row_idx", "instruction", teacher_prompt("instruction", system).alias("prompt"))
+        answered = generate(rows, factory, batch_size=batch_size, partitions=parts).select(
+            "row_idx", "instruction", "output", "status")
+        sinks.append_jsonl(answered, out_path)
+    return spark.read.schema(ANSWER_SCHEMA).json(out_path)
+
+
+def write_batch_requests(spark: SparkSession, prompts_path: str, out_path: str, **kw) -> None:
+    """G1 to files: one request line per prompt."""
+    prompts = spark.read.schema(PROMPT_SCHEMA).json(prompts_path)
+    B.build_requests(prompts, **kw).select("request").write.text(out_path)
+
+
+def read_batch_responses(spark: SparkSession, responses_path: str, prompts_path: str, out_path: str) -> DataFrame:
+    """G2-G5 from files: response lines become answers with the ``row_idx``
+    of their prompt, added unless that prompt is answered already; lines with
+    an unknown id are left out. Returns the whole answers table."""
+    prompts = spark.read.schema(PROMPT_SCHEMA).json(prompts_path)
+    found = answer(prompts, "batch", responses=spark.read.text(responses_path)).filter("row_idx IS NOT NULL")
+    best = found.groupBy("row_idx").agg(F.min(F.struct(F.col("status") != "ok", "instruction", "output", "status")).alias("a"))
+    sinks.append_new_results(best.select("row_idx", "a.instruction", "a.output", "a.status"), out_path, key="row_idx")
     return spark.read.schema(ANSWER_SCHEMA).json(out_path)
 
 

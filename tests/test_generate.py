@@ -1,5 +1,6 @@
 import pytest
 
+from distillery import options as O
 from distillery.operators import generate as G
 
 
@@ -77,3 +78,19 @@ def test_spread_balances_one_big_partition(spark):
     out = G.generate(df, G.md5_generator, partitions=8)
     sizes = out.rdd.glom().map(len).collect()
     assert len(sizes) == 8 and max(sizes) <= 2 * (800 // 8) and sum(sizes) == 800
+
+
+def test_wide_keys_with_nulls_stay_exact(spark):
+    rows = [(9007199254740993, "a"), (None, "b"), (-9007199254740993, None)]
+    df = spark.createDataFrame(rows, "k bigint, prompt string").coalesce(1)
+    out = {r.k: (r.prompt, r.status) for r in G.generate(df, G.md5_generator).collect()}
+    assert out == {9007199254740993: ("a", "ok"), None: ("b", "ok"), -9007199254740993: (None, "no_prompt")}
+
+
+def test_batch_mode_returns_the_index(spark):
+    df = spark.createDataFrame([(7, "seven"), (8, "eight")], "row_idx bigint, instruction string")
+    lines = [f'{{"custom_id": "{O.REQUEST_ID_PREFIX}8", "response": {{"body": {{"choices": [{{"message": {{"content": "x"}}}}]}}}}}}',
+             '{"custom_id": "other", "error": "late"}']
+    got = G.answer(df, "batch", responses=spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {(r.row_idx, r.instruction, r.status) for r in got.collect()} == {
+        (8, "eight", "ok"), (None, "[Batch custom_id=other]", "unknown_id")}

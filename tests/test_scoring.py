@@ -135,3 +135,16 @@ def test_loss_options_bounds():
         O.LossOptions(0.5, "avg")
     with pytest.raises(ValueError):
         O.LossOptions(0.5, "sum", 1.5)
+
+
+def test_stored_target_scores_without_moving_logits(spark):
+    rows = [(0, p, [float(v) for v in STU[p]], [float(v) for v in ASS[p]], lab, p != 1)
+            for p, lab in enumerate([1, 2, 3])]
+    df = spark.createDataFrame(rows, "sample_id BIGINT, pos BIGINT, student ARRAY<DOUBLE>, "
+                                     "assistant ARRAY<DOUBLE>, label INT, counts BOOLEAN")
+    stored = spark.createDataFrame(S.with_next_label(df).collect(), S.with_next_label(df).schema)
+    assert S.ce_loss(stored, target="target").first() == S.ce_loss(df).first()
+    one = S.combined_loss(stored, target="target", mask="counts")
+    assert "Window" not in one._jdf.queryExecution().executedPlan().toString()
+    assert math.isclose(one.first().kd, S.kd_reduce(df, mask="counts").first().kd, rel_tol=1e-12)
+    assert one.first().ce == S.combined_loss(df).first().ce

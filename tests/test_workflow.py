@@ -1,8 +1,10 @@
 """End to end over files: datasets -> prompts -> answers (resumed) ->
 splits -> collated batches -> scores."""
 
+import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from distillery import options as O
@@ -59,3 +61,37 @@ def test_end_to_end(spark, tmp_root):
 
     s = W.score_logits(FX.logits(spark, SF_SMALL)).first()
     assert s.ce > 0 and s.kd >= 0 and math.isclose(s.loss, 0.7 * s.ce + 0.3 * s.kd, rel_tol=1e-12)
+
+
+def test_batch_files_and_blocks(spark, tmp_root):
+    rows = [(i, f"instruction {i}") for i in range(6)]
+    prompts = f"{tmp_root}/batch-prompts"
+    spark.createDataFrame(rows, W.PROMPT_SCHEMA).write.json(prompts)
+    W.write_batch_requests(spark, prompts, f"{tmp_root}/requests")
+    sent = [json.loads(r.value) for r in spark.read.text(f"{tmp_root}/requests").collect()]
+    assert sorted(r["custom_id"] for r in sent) == [f"{O.REQUEST_ID_PREFIX}{i}" for i in range(6)]
+
+    def line(custom_id, content):
+        return json.dumps({"custom_id": custom_id, "response": {"body": {"choices": [{"message": {"content": content}}]}}})
+
+    got = [(line(f"{O.REQUEST_ID_PREFIX}{i}", f"answer {i}"),) for i in (0, 1, 1)] + [(line("other", "x"),), ("not json",)]
+    spark.createDataFrame(got, "value string").write.text(f"{tmp_root}/responses")
+    out = f"{tmp_root}/batch-answers"
+    for _ in range(2):                                                # reading the file again adds nothing
+        a = W.read_batch_responses(spark, f"{tmp_root}/responses", prompts, out)
+        assert sorted(map(tuple, a.collect())) == [(i, f"instruction {i}", f"answer {i}", "ok") for i in (0, 1)]
+    # a run that dies in its second block keeps the first one
+    def dies():
+        def fn(ps):
+            if any("instruction 3" in p for p in ps):
+                import sys
+                sys.exit(3)
+            return [f"made {len(p)}" for p in ps]
+        return fn
+
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        W.answer_prompts(spark, prompts, out, dies, blocks=2, partitions=1)
+    kept = {r.row_idx for r in spark.read.schema(W.ANSWER_SCHEMA).json(out).collect()}
+    assert kept == {0, 1, 2, 4}
+    done = W.answer_prompts(spark, prompts, out, md5_generator, blocks=2)
+    assert sorted(r.row_idx for r in done.collect()) == list(range(6))
