@@ -442,14 +442,16 @@ def _links(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicate_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, row_key, n_shingles, component_id)``, one row per row of
-    ``df``. ``component_id`` is the smallest ``doc_id`` that links reach.
+    """``(doc_id, row_key, n_shingles, component_id, root)``, one row per row
+    of ``df``. ``component_id`` is the smallest ``doc_id`` that links reach.
 
     A null or blank text has no shingles and links with nothing, so its
     component is its own id (null if that is null). Repeated rows and equal
     texts share a component. Null ids are kept and never chosen as a
     component id while its group has another. ``row_key`` is a hash of id and
-    text. An empty table gives no rows; other columns are not read.
+    text. ``root`` tells groups apart where ids do not (null ids, one id on
+    different texts); it is null without shingles. An empty table gives no
+    rows; other columns are not read.
     """
     rows = df.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     row_key = F.xxhash64("doc_id", "text")
@@ -471,10 +473,11 @@ def near_duplicate_components(df: DataFrame, text: str = "text", doc_id: str = "
     own = classes.select("k1", "k2", "least_id").join(groups, "k1", "left").withColumn(
         "root", F.coalesce("root", "k1"))
     least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = own.join(least, "root").select("k1", "k2", "component_id")
+    of_class = own.join(least, "root").select("k1", "k2", "component_id", "root")
     return (sig.join(of_class, ["k1", "k2"], "left")
             .select("doc_id", "row_key", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    "root"))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -483,8 +486,8 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_i
     id and text, one. Rows without shingles are all kept."""
     found = cut(near_duplicate_components(df, text, doc_id).filter("n_shingles > 0"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-    # a group without any id has the component null; its rows are told apart by nothing else
-    best = found.groupBy("component_id").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("row_key"))
+    # by root: unlinked texts may share a component id, or have none
+    best = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("row_key"))
     gone = cut(found.select("row_key").distinct().join(best, "row_key", "left_anti"))
     key = "_row_key"
     keyed = df.withColumn(key, F.xxhash64(col(doc_id), col(text)))

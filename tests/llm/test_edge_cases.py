@@ -107,6 +107,13 @@ def test_null_and_blank_texts(docs, labels):
     assert fert[2]["base_failed"] and not fert[2]["kept"] and fert[5]["n_words"] == 40_000
 
 
+def test_unlinked_texts_without_own_ids_are_kept(spark):
+    rows = [(None, "red green blue cyan black white"), (None, "one two three four five six"), (None, "one two three four five six"),
+            (9, "north south east west up down"), (9, "iron gold lead zinc tin copper")]
+    out = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(out, key=str) == sorted(set(rows), key=str)
+
+
 def test_no_labels_gives_neutral_models(docs, labels):
     none = labels.limit(0)
     assert {r["score"] for r in quality_trees.quality_scores(docs, none).collect()} == {0.5}
