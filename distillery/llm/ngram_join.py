@@ -144,17 +144,58 @@ def _ranges(tokens: int) -> int:
     return max(1, math.ceil(tokens / RANGE_TOKENS))
 
 
-def unshared_counts(df: DataFrame, text: str, classes: int, tokens: int) -> DataFrame:
+class RowFilter:
+    """Passes the rows whose key is among ``keys(row_key)``. Keys are told by
+    a bitmap of 64 bits a value, of 8 MB at most: it may let other keys pass,
+    never stops one of these."""
+
+    def __init__(self, keys: DataFrame, rows: int):
+        self.bits = bits = 1 << min(26, max(15, (64 * rows).bit_length()))
+        at = F.pmod("row_key", F.lit(bits)) + 1  # Spark's buckets of 32,768 bits count from 1
+        made = (keys.select(at.alias("p"))
+                .groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+                .collect())
+        self.whole = np.zeros(bits // 8, dtype=np.uint8)
+        for r in made:
+            part = np.frombuffer(r["m"], dtype=np.uint8)
+            self.whole[(r["b"] - 1) * len(part): r["b"] * len(part)] = part
+
+    def hits(self, keys: pa.Array) -> np.ndarray:
+        p = np.asarray(keys) & np.int64(self.bits - 1)
+        return (self.whole[p >> 3] >> (p & 7)) & 1 == 1
+
+    def first_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """``(row_key, text)`` of the rows that pass, each key once a task."""
+        seen: set[int] = set()
+        for b in batches:
+            keys = np.asarray(b.column(0))
+            at = [i for i in np.flatnonzero(self.hits(b.column(0))).tolist()
+                  if (k := int(keys[i])) not in seen and not seen.add(k)]
+            if at:
+                take = pa.array(at, pa.int64())
+                yield b.column(0).take(take), b.column(1).take(take)
+
+    def tokens(self, sig: DataFrame, tasks: int) -> int:
+        """Shingles of all rows of ``sig(row_key, n)`` that ``first_rows``
+        hands on: a repeated row at most once in each of ``tasks``."""
+        mine = sig.filter("n > 0").filter(arrow_udf(lambda k: pa.array(self.hits(k)), "boolean")("row_key"))
+        per = mine.groupBy("row_key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
+        return per.agg(F.sum(F.col("n") * F.least("c", F.lit(tasks)))).first()[0] or 0
+
+
+def unshared_counts(rows: DataFrame, chosen: RowFilter, classes: int, tokens: int) -> DataFrame:
     """``(k1, unshared)``: sampled shingles of a class that no other has.
-    Ranges hand their counts on packed, dealt by key into slots."""
+    ``rows(row_key, text)``, ``tokens``: the shingles of the rows that
+    ``chosen`` passes. Ranges hand their counts on packed, dealt by key into
+    slots."""
     ranges = _ranges(tokens // 2)
     slots = max(1, math.ceil(classes * ranges / SLOT_COUNTS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets():
             vocab.let_go()
-            for b in batches:
-                for s in ta.shingle_sets(b.column(0), SHINGLE_WORDS):
+            for _, text in chosen.first_rows(batches):
+                for s in ta.shingle_sets(text, SHINGLE_WORDS):
                     if len(s):
                         yield _keys(s)[0], s[: np.searchsorted(s, np.uint64(1 << 63))]
         return _packed(sets(), ranges, 1, True)
@@ -183,32 +224,18 @@ def unshared_counts(df: DataFrame, text: str, classes: int, tokens: int) -> Data
         n = np.bincount(inv, weights=join("counts", np.uint32), minlength=len(keys))
         return pa.table({"k1": keys.view(np.int64), "unshared": n.astype(np.int64)})
 
-    packed = df.select(col(text)).mapInArrow(deal, _PACK)
+    packed = rows.mapInArrow(deal, _PACK)
     return (packed.groupBy("r").applyInArrow(count, "slot int, keys binary, counts binary")
             .groupBy("slot").applyInArrow(add, "k1 bigint, unshared bigint"))
 
 
-def _sets_of(keys: DataFrame, rows: int):
-    """The shingle set of a text whose key is among ``keys(row_key)``, else
-    null. Keys are told by a bitmap of 64 bits a value, of 8 MB at most: it
-    may let other keys pass, never stops one of these."""
-    bits = 1 << min(26, max(15, (64 * rows).bit_length()))
-    at = F.pmod("row_key", F.lit(bits)) + 1  # Spark's buckets of 32,768 bits count from 1
-    made = (keys.select(at.alias("p"))
-            .groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-            .collect())
-    whole = np.zeros(bits // 8, dtype=np.uint8)
-    for r in made:
-        part = np.frombuffer(r["m"], dtype=np.uint8)
-        whole[(r["b"] - 1) * len(part): r["b"] * len(part)] = part
-
-    def sets(k: pa.Array, text: pa.Array) -> pa.Array:
-        p = np.asarray(k) & np.int64(bits - 1)
-        hit = (whole[p >> 3] >> (p & 7)) & 1 == 1
-        found = _shingle_set(text.filter(pa.array(hit)))
-        at = np.where(hit, np.cumsum(hit) - 1, -1)
-        return found.take(pa.array(at, mask=~hit))
-    return arrow_udf(sets, _SET)(F.col("row_key"), F.col("text"))
+def _sets_of(rows: DataFrame, chosen: RowFilter) -> DataFrame:
+    """``(k1, toks)``: the shingle sets of the texts of ``rows(row_key,
+    text)`` that ``chosen`` passes."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, text in chosen.first_rows(batches):
+            yield pa.RecordBatch.from_struct_array(_shingle_set(text))
+    return rows.mapInArrow(sets, "k1 bigint, toks array<bigint>").filter("size(toks) > 0")
 
 
 def ordered_sets(sets: DataFrame, sizes: DataFrame, tokens: int) -> DataFrame:
@@ -459,16 +486,18 @@ def near_duplicate_components(df: DataFrame, text: str = "text", doc_id: str = "
               .select("doc_id", "row_key", "s.*"))
     classes = cut(sig.filter("n > 0").groupBy("k1", "k2")
                   .agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n")))
-    count, total = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
-    alone = unshared_counts(rows, "text", count, total or 0)
+    count = classes.count()
+    # one row of a class is dealt, not its copies; ranges are sized by what is
+    # dealt: the chosen rows, and a few others that the bitmap lets pass
+    keyed = rows.select(row_key.alias("row_key"), "text")
+    chosen = RowFilter(classes.select("row_key"), count)
+    alone = unshared_counts(keyed, chosen, count, chosen.tokens(sig, sig.rdd.getNumPartitions()))
     left = cut(classes.join(alone, "k1", "left").filter("coalesce(unshared, 0) <= floor(n / 4)")
                .select("k1", "row_key", "n"))
-    few, tokens = left.agg(F.count(F.lit(1)), F.sum("n")).first()
-    # the texts of these classes, and a few others that the bitmap lets pass:
-    # they are not moved, only their sets are
-    sets = cut(rows.select(row_key.alias("row_key"), "text")
-               .select(_sets_of(left.select("row_key"), few).alias("s")).select("s.*").filter("size(toks) > 0"))
-    ordered = cut(ordered_sets(sets, classes.select("k1", "n"), tokens or 0).filter("size(toks) >= n - floor(n / 4)"))
+    # the texts of these classes are not moved, only their sets are
+    sets = cut(_sets_of(keyed, RowFilter(left.select("row_key"), left.count())))
+    tokens = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
+    ordered = cut(ordered_sets(sets, classes.select("k1", "n"), tokens).filter("size(toks) >= n - floor(n / 4)"))
     groups = connected_components(_links(ordered)).select(F.col("node").alias("k1"), F.col("component").alias("root"))
     own = classes.select("k1", "k2", "least_id").join(groups, "k1", "left").withColumn(
         "root", F.coalesce("root", "k1"))

@@ -99,6 +99,27 @@ def test_op2_blocks_of_large_groups(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_op2_ranges_hold_no_copies(spark, monkeypatch):
+    """Copies, with other ids or as whole rows, do not fill a range."""
+    monkeypatch.setattr(ngram_join, "RANGE_TOKENS", 400)
+    docs = near_group(3, 80, 2, 4)
+    rows = [(i, docs[0]) for i in range(200)] + [(1000 + i % 2, docs[1 + i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    dealt, real = [], type(df).mapInArrow
+
+    def spy(self, f, schema, *args, **kw):
+        out = real(self, f, schema, *args, **kw)
+        if schema == ngram_join._PACK:
+            dealt.append(out)
+        return out
+    monkeypatch.setattr(type(df), "mapInArrow", spy)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicate_components(df).collect()}
+    assert got == brute_components(dict(rows))
+    for out, width in zip(dealt, (4, 8), strict=True):
+        held = out.groupBy("r").agg((F.sum(F.length("toks")) / width).alias("n")).agg(F.max("n")).first()[0]
+        assert held <= 2 * ngram_join.RANGE_TOKENS
+
+
 def test_trie_equals_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
