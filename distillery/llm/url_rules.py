@@ -73,22 +73,55 @@ def link_targets(html: Column) -> Column:
     hrefs = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
     moves = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i);\s*url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    return F.filter(F.concat(hrefs, moves), lambda u: u != "")
+    return F.transform(F.filter(F.concat(hrefs, moves), lambda u: u != ""), _decoded)
 
 
-def resolve(target: Column, url: Column) -> Column:
-    """An absolute form of a link: with ``://`` as it is, ``//host/path`` and
-    ``/path`` by the page's scheme and host; other relative links are null."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return (F.when(target.contains("://"), target)
+def _decoded(attribute: Column) -> Column:
+    return F.regexp_replace(attribute, r"(?i)&(amp|#0*38|#x0*26);", "&")
+
+
+def base_target(html: Column) -> Column:
+    """The ``<base href>`` of a page as it is written; empty without one."""
+    return _decoded(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The absolute form of a link on a page of URL ``base``: with a scheme
+    and ``://`` as it is, ``//host/path`` by the scheme, ``/path`` by the
+    host, and any other by the directory of the path (``?query`` and
+    ``#part`` alone by the path). Schemes without ``://`` (``mailto:``) are
+    null."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = url_path(base)
+    folder = F.when(path.contains("/"), F.regexp_replace(path, r"(?s)[^/]*$", "")).otherwise("/")
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
             .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(site, target)))
+            .when(target.startswith("/"), F.concat(site, target))
+            .when(target.rlike(r"^[?#]"), F.concat(site, path, target))
+            .otherwise(F.concat(site, folder, target)))
+
+
+def without_dots(path: Column) -> Column:
+    """The path without its ``.`` and ``..`` segments."""
+    dot = lambda s: F.regexp_replace(s, "(?i)%2e", ".")
+    parts = F.split(path, "/")
+
+    def step(kept: Column, s: Column) -> Column:
+        return (F.when(dot(s) == ".", kept)
+                .when(dot(s) == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+                .otherwise(F.concat(kept, F.array(s))))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    # a dot segment at the end leaves its folder
+    tail = F.when(dot(F.element_at(parts, -1)).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
 
 
 def _node(host: Column, path: Column) -> Column:
-    """A URL's node: host and path (an empty path is ``/``), by hash."""
-    return F.when(host != "", F.xxhash64(host, F.when(path == "", F.lit("/")).otherwise(path)))
+    """A URL's node: host and path without dot segments (an empty path is
+    ``/``), by hash."""
+    return F.when(host != "", F.xxhash64(host, F.when(path == "", F.lit("/")).otherwise(without_dots(path))))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", page_id: str = "page_id",
@@ -109,9 +142,12 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
     if html is not None and html in pages.columns:
         t = F.col("target")
         links = (pages.filter(u.contains("://"))
-                 .select(_node(url_host(u), url_path(u)).alias("u"), u.alias("url"), F.explode(link_targets(col(html))).alias("t"))
-                 .withColumn("target", resolve(F.col("t"), F.col("url")))
-                 .select("u", url_host(t).alias("host"), url_path(t).alias("path"))
+                 .select(u.alias("url"), base_target(col(html)).alias("b"), F.explode(link_targets(col(html))).alias("t"))
+                 .withColumn("base", F.when(F.col("b") == "", F.col("url"))
+                             .otherwise(F.coalesce(resolve(F.col("b"), F.col("url")), F.col("url"))))
+                 .withColumn("target", resolve(F.col("t"), F.col("base")))
+                 .select(_node(url_host(F.col("url")), url_path(F.col("url"))).alias("u"),
+                         url_host(t).alias("host"), without_dots(url_path(t)).alias("path"))
                  .withColumn("v", _node(F.col("host"), F.col("path"))).filter("u IS NOT NULL AND v IS NOT NULL"))
         links = cut(links)
     answer = F.coalesce(F.col("own.verdict"), F.col("spread"), F.lit("allow"))

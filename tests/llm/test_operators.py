@@ -400,3 +400,22 @@ def test_op10_aliases(spark):
     assert got == {1: ("net/fr/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"),
                    6: ("net/fr/", "block"), 7: (None, "allow"), 8: ("www.example.com/en/", "allow"), 9: ("example.com/en/", "block"),
                    10: (None, "block")}
+
+
+def test_op10_relative_links(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    move = "<meta http-equiv='refresh' content='0; url={}'>".format
+    blocked = "http://b.net/fr/x"
+    rows = [(1, "http://a.org/d/p?q/r", link("page.html")), (2, "http://a.org/d/page.html", move(blocked)),
+            (3, "http://a.org/d/e/f", move("../page.html")), (4, "http://a.org/d/e/", link("./../page.html?x=1&amp;y=2")),
+            (5, "http://c.org/k", '<base href="http://a.org/d/">' + link("page.html")),
+            (6, "http://c.org/l", '<base href="//b.net/a/">' + link("../fr/x")), (7, "http://e.org", link("/a/%2E%2e/n")),
+            (8, "http://e.org/n", link("//b.net/a/../fr/x")), (9, "http://f.org/s&t", move("http://g.org/")),
+            (10, "http://g.org/", link(blocked)), (11, "http://h.org/", link("//f.org/s&amp;t")),
+            (12, "http://i.org/", link("mailto:me@b.net/fr/")), (13, "http://j.org/v", link("?id=2")),
+            (14, "http://k.org/w", link("/in?next=http://b.net/fr/x")), (15, "http://l.org/a/./b", link(blocked)),
+            (16, "http://l.org/z", link("a/b")), (17, "http://m.org/a/b/", link("..")), (18, "http://m.org/a/", move(blocked)),
+            (19, "http://n.net/fr/o", link("../../../far")), (20, "http://n.net/far", None)]
+    got = {r["page_id"]: r["verdict"] for r in
+           url_rules.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "allow" if i in (12, 13, 14) else "block" for i in range(1, 21)}
