@@ -4,7 +4,10 @@ Each whole text is measured with a public vocabulary: characters per token,
 the share of byte-fallback tokens, and the entropy of its tokens. Clean
 prose of one language or script, and of about one length, stays in a narrow
 band of each; a text is rejected when it falls outside the bands of its
-group (language or script, and octave of its token count). The bands come
+group: language or script, and octave of its characters without white space,
+which no token count moves. Octaves with few texts are taken together; a
+language with few is judged by its script, and a script with few by the whole
+corpus, so that every text has bands. The bands come
 from the quartiles of all documents of the group, so they follow the corpus
 and a quarter of bad texts does not move them: from ``q25 - reach * (q75 -
 q25)`` to ``q75 + reach * (q75 - q25)``, the spread being at least ``floor``
@@ -34,6 +37,7 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+SHORT_REACH = 2.0
 
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 _FIELDS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
@@ -56,9 +60,10 @@ _SCRIPT[0xF0:0xF5] = 6
 
 @dataclass(frozen=True)
 class FertilityRules:
-    """``vocabulary``: a sentencepiece model with byte fallback. Bands are
-    applied to texts of at least ``min_tokens`` tokens, in groups of at
-    least ``min_group`` such texts; smaller ones give no evidence."""
+    """``vocabulary``: a sentencepiece model with byte fallback. Bands come
+    from groups of at least ``min_group`` texts; only a corpus that has fewer
+    in all makes a smaller one, with wider bands. Texts of under
+    ``min_tokens`` tokens have bands that reach ``SHORT_REACH`` as far."""
 
     vocabulary: str
     reach: float = 4.0
@@ -171,43 +176,103 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
 
 
+def _runs(octaves: dict[int, int], least: int) -> dict[int, int]:
+    """The run of each octave, by its first one: octaves with fewer than
+    ``least`` texts join the next, the last ones the run before."""
+    starts, n, open_ = [], 0, None
+    for o in sorted(octaves):
+        open_ = o if open_ is None else open_
+        n += octaves[o]
+        if n >= least:
+            starts.append(open_)
+            n, open_ = 0, None
+    if open_ is not None and not starts:
+        starts.append(open_)
+    return {o: max(x for x in starts if x <= o) for o in octaves}
+
+
+def _groups(cells: dict[tuple[str, str, int], int], least: int) -> tuple[dict[tuple, tuple], set[tuple]]:
+    """The group of each cell (name, script, octave) of the corpus, and all
+    ``(cell, group)`` where the cell is evidence for the group. A group is
+    (level, name of the level, first octave)."""
+    of: dict[tuple, tuple] = {}
+    proof: set[tuple] = set()
+    for level in range(3):
+        by: dict[str, dict[int, int]] = {}
+        member = {c: (c[0], c[1], "")[level] for c in cells}
+        for c, n in cells.items():
+            octaves = by.setdefault(member[c], {})
+            octaves[c[2]] = octaves.get(c[2], 0) + n
+        dense = {k: _runs(o, least) for k, o in by.items() if level == 2 or sum(o.values()) >= least}
+        group = {c: (level, member[c], dense[member[c]][c[2]]) for c in cells if member[c] in dense}
+        of = {**group, **of}
+        proof |= {(c, g) for c, g in group.items()}
+        if len(of) == len(cells):
+            break
+    used = set(of.values())
+    return of, {(c, g) for c, g in proof if g in used}
+
+
 def bands(measured: DataFrame, rules: FertilityRules) -> dict[str, dict[str, tuple[float, float]]]:
-    """Bands by group from ``measured(grp, n_words, n_repeat_words, ...)``:
-    approximate quartiles over all texts that pass the base rules. One row
-    per group reaches the driver; groups are languages or scripts by octave."""
-    judged = measured.filter((F.col("n_tokens") >= rules.min_tokens) & ~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    """Bands by cell from ``measured(grp, n_words, n_repeat_words, ...)``:
+    approximate quartiles over all texts of the cell's group that pass the
+    base rules; short texts find theirs under the cell's name and ``SHORT``.
+    One row per cell reaches the driver; cells are languages and scripts by
+    octave."""
+    judged = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    cells = {_cell(r["grp"]): r["n"] for r in judged.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not cells:
+        return {}
+    of, proof = _groups(cells, rules.min_group)
+    number = {g: i for i, g in enumerate(sorted(set(of.values())))}
+    side = measured.sparkSession.createDataFrame([(_name(c), number[g]) for c, g in sorted(proof)], "grp string, no int")
     q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    rows = (judged.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, q, 10_000).alias(m) for m in MEASURES])
-            .filter(F.col("n") >= rules.min_group).collect())
-    out = {}
+    rows = (judged.join(F.broadcast(side), "grp").groupBy("no")
+            .agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, q, 10_000).alias(m) for m in MEASURES]).collect())
+    found: dict[int, list[dict]] = {}
     for r in rows:
-        out[r["grp"]] = {}
+        wide = max(1.0, (rules.min_group / r["n"]) ** 0.5)
+        found[r["no"]] = [{}, {}]
         for m in MEASURES:
             low, mid, high = r[m]
             spread = max(high - low, rules.floor if m == "byte_share" else rules.floor * abs(mid))
             up = rules.reach if m == "byte_share" else rules.far_reach
-            out[r["grp"]][m] = (low - rules.reach * spread, high + up * spread)
-    return out
+            for by, reach in zip(found[r["no"]], (wide, wide * SHORT_REACH), strict=True):
+                by[m] = (low - rules.reach * reach * spread, high + up * reach * spread)
+    return {_name(c) + end: by for c, g in of.items() for end, by in zip(("", SHORT), found[number[g]], strict=True)}
 
 
 def in_bands(grp: Column, m: Column, found: dict, rules: FertilityRules) -> Column:
-    """True if every measure lies in the band of its group; short texts and
-    groups without bands pass."""
+    """True if every measure lies in the band of its group; short texts have
+    wider ones. A group without bands passes: none of a corpus is."""
     if not found:
         return F.lit(True)
     ok = F.lit(True)
+    at = F.when(m["n_tokens"] < rules.min_tokens, F.concat(grp, F.lit(SHORT))).otherwise(grp)
     for name in MEASURES:
         entries = [x for g, by in found.items() for x in (F.lit(g), F.array(*map(F.lit, by[name])))]
-        band = F.element_at(F.create_map(*entries), grp)
+        band = F.element_at(F.create_map(*entries), at)
         ok = ok & F.coalesce(m[name].between(band[0], band[1]), F.lit(True))
-    return (m["n_tokens"] < rules.min_tokens) | ok
+    return ok
+
+
+SHORT = ":short"
 
 
 def _group(df: DataFrame, lang: str | None, m: Column) -> Column:
-    """The language, or the script where there is no language, and the octave
-    of the token count."""
+    """The cell of a text: the language, or the script where there is no
+    language; the script; and the octave of the characters."""
     name = m["script"] if lang is None or lang not in df.columns else F.coalesce(col(lang).cast("string"), m["script"])
-    return F.concat_ws(":", name, F.floor(F.log2(F.greatest(m["n_tokens"], F.lit(1)))).cast("string"))
+    return F.concat_ws(":", name, m["script"], F.floor(F.log2(F.greatest(m["word_chars"], F.lit(1)))).cast("string"))
+
+
+def _cell(grp: str) -> tuple[str, str, int]:
+    name, script, octave = grp.rsplit(":", 2)
+    return name, script, int(octave)
+
+
+def _name(cell: tuple[str, str, int]) -> str:
+    return ":".join(map(str, cell))
 
 
 def fertility_report(df: DataFrame, rules: FertilityRules, text: str = "text", doc_id: str = "doc_id",

@@ -214,6 +214,21 @@ def test_op4_bands_reject_noise(spark):
     assert [x[0] for x in probe.select(fertility.in_bands(F.col("grp"), m, found, rules)).collect()] == [False, True, True, True]
 
 
+def test_op4_noise_goes_at_every_size(spark):
+    """Noise finds a band whatever its length, language or tokens."""
+    rng = random.Random(5)
+    words = "the of and to in that was with for this have from".split()
+    some = lambda k: " ".join(rng.choice(words) + rng.choice("abcde") for _ in range(k))
+    noise = lambda k: " ".join("".join(chr(rng.randrange(0x1400, 0x1600)) for _ in range(6)) for _ in range(k))
+    clean = [(some(120), "en") for _ in range(80)] + [(some(12), "en") for _ in range(60)] + [(some(150), "fr") for _ in range(5)]
+    bad = [(noise(k), lang) for k in (12, 120, 3000) for lang in ("en", "fr", "xx", None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate([*clean, *bad])], "doc_id bigint, text string, lang string")
+    rules = fertility.FertilityRules(vocab.public_path(queries.FERTILITY_VOCABULARY))
+    got = {r["doc_id"]: r["kept"] for r in fertility.fertility_report(df, rules).collect()}
+    assert got == {i: i < len(clean) for i in range(len(clean) + len(bad))}
+    assert {r["doc_id"] for r in fertility.keep_fluent(df, rules).collect()} == set(range(len(clean)))
+
+
 def test_op5_rules_in_order(spark):
     rows = [(1, "Foo. Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\n"
                 "You may obtain a copy of the License at"),
