@@ -243,6 +243,75 @@ def test_op5_rules_in_order(spark):
     assert (got[5]["licenses"], got[6]["licenses"], got[6]["first_sentence"]) == ("", "", None)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Copyright (c) 2020, The Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """ * This program is free software%s you can redistribute it and/or modify
+ * it under the terms of the GNU %s as published by
+ * the Free Software Foundation%s either version %s of the License, or
+ * (at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+
+
+def test_op5_published_notices(spark):
+    cases = [(MIT, "MIT"), (BSD, "BSD"), (APACHE, "Apache-2.0"), (ISC, "ISC"), (MIT.replace("\n", "\r\n"), "MIT"),
+             (GPL % (":", "General Public License", ",", "3"), "GPL-3.0-or-later"),
+             (GPL % (";", "General Public License", ";", "2"), "GPL-2.0-or-later"),
+             (GPL % (";", "Lesser General Public License", ";", "2.1"), "LGPL-2.1-or-later"),
+             (GPL % (":", "Affero General Public License", ",", "3"), "AGPL-3.0-or-later"),
+             ("This file is released under the MIT license", "MIT"), ("Copyright (c) 2020 X, All rights reserved", "proprietary"),
+             ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+             ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT Apache-2.0"), ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"),
+             ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"),
+             ("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "BSD"),
+             ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+             ("It is not licensed under the MIT license.", ""), ("The MIT licence was named in all of the text.", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license_rules.scan_licenses(df).collect()}
+    want = {i: w for i, (_, w) in enumerate(cases)}
+    assert {i: " ".join(sorted(r["licenses"].split())) for i, r in got.items()} == {i: " ".join(sorted(w.split())) for i, w in want.items()}
+    assert got[0]["sentence_ids"] == "MIT_PERMISSION AS_IS" and got[0]["first_sentence"] == 3
+
+
 def test_op6_meets_targets(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.6, 0.4, 0.3], 400)
