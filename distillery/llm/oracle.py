@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from distillery.llm import filter_audit as audit
 from distillery.llm import license_rules as lic
+from distillery.llm import source_audit as src
 from distillery.llm import url_rules as url
 
 
@@ -82,4 +86,82 @@ SELECT page_id, host, path, own.rule AS rule,
 FROM judged LEFT JOIN spread ON spread.a = host || coalesce(nullif(path, ''), '/')"""
 
 
-ORACLE = {"op5_license_sentence_rules": _licenses(), "op10_redirect_equivalence": _urls()}
+def _filter_steps() -> str:
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(audit.FILTERS))
+    return f"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM words GROUP BY t),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+failed AS (
+  SELECT part, doc_id IN (SELECT doc_id FROM good) AS good, doc_id IN (SELECT doc_id FROM toxic) AS toxic,
+         concat(CASE WHEN len(w) < {audit.MIN_WORDS} THEN 'A' END,
+                CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN doc_id > first THEN 'E' END) AS fails
+  FROM words JOIN firsts USING (t)),
+orders(o) AS (VALUES {orders}),
+places AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+cells AS (
+  SELECT part, fails, count(*) AS n, count_if(coalesce(good, false)) AS good, count_if(coalesce(toxic, false)) AS toxic
+  FROM failed GROUP BY ALL),
+hits AS (
+  SELECT c.*, o, least({", ".join(f"coalesce(nullif(CASE WHEN contains(fails, '{f}') THEN position('{f}' IN o) ELSE 0 END, 0), 6)" for f in audit.FILTERS)}) AS place
+  FROM cells c, orders),
+steps AS (
+  SELECT h.part, h.o AS filter_order, p.step, substr(h.o, p.step, 1) AS f,
+         sum(CASE WHEN place > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN place = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN place < step AND contains(fails, substr(h.o, p.step, 1)) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = substr(h.o, p.step, 1) THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN place = step THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN place = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM hits h JOIN places p USING (o) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps"""
+
+
+def _divergence() -> str:
+    share = "1 + {s} * (CAST({c} AS HUGEINT) + 1) // ({n} + v)".replace("{s}", f"CAST({src.SCALE} AS HUGEINT)")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= {src.MIN_DOCS}),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS ns FROM counts GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share.format(c="coalesce(c.n, 0)", n="coalesce(ns, 0)")} AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang)
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, {share.format(c="n", n="nl")} AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) JOIN (SELECT lang, sum(ns) AS nl FROM totals GROUP BY lang) USING (lang)
+  JOIN sizes USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT)
+  FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+WHERE part = 'pair' OR rank <= {src.TERM_RANKS}"""
+
+
+ORACLE = {"op5_license_sentence_rules": _licenses(), "op10_redirect_equivalence": _urls(),
+          "op12_removal_potential": _filter_steps(), "op13_run_length_divergence": _divergence()}

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from distillery.llm import (
     chat_template,
     fertility,
+    filter_audit,
     fingerprints,
     license_rules,
     mixing,
     ngram_join,
     packing,
     quality_trees,
+    source_audit,
     token_counts,
     url_rules,
 )
@@ -81,8 +83,17 @@ def op10_redirect_equivalence(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_removal_potential(spark, sf_dir):
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_run_length_divergence(spark, sf_dir):
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_trees, op2_ngram_trie_join, op3_one_permutation_minhash, op4_tokeniser_fertility,
     op5_license_sentence_rules, op6_soft_membership_mixing, op7_linear_longest_match, op8_template_compiler,
-    op9_mixture_packing, op10_redirect_equivalence)}
+    op9_mixture_packing, op10_redirect_equivalence,
+    op12_removal_potential, op13_run_length_divergence)}
 
