@@ -9,6 +9,7 @@ from distillery.llm import (
     fertility,
     filter_audit,
     fingerprints,
+    katz,
     license_rules,
     mixing,
     ngram_join,
@@ -83,6 +84,10 @@ def op10_redirect_equivalence(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_katz_backoff(spark, sf_dir):
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_removal_potential(spark, sf_dir):
     return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -95,5 +100,5 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_trees, op2_ngram_trie_join, op3_one_permutation_minhash, op4_tokeniser_fertility,
     op5_license_sentence_rules, op6_soft_membership_mixing, op7_linear_longest_match, op8_template_compiler,
     op9_mixture_packing, op10_redirect_equivalence,
-    op12_removal_potential, op13_run_length_divergence)}
+    op11_katz_backoff, op12_removal_potential, op13_run_length_divergence)}
 
