@@ -61,8 +61,9 @@ def discounts(n: list[int]) -> np.ndarray:
     """Katz's discounts ``d[0..k]`` from ``n[r - 1]``, the number of n-grams
     with count r: Good-Turing counts ``(r + 1) n[r+1] / n[r]`` as shares of
     r, scaled so that counts above k stay whole. k is ``HIGHEST``, or the
-    largest below it for which all of them lie between 0 and 1; 0 if none."""
-    for k in range(HIGHEST, 0, -1):
+    largest below it, 2 at least, for which all of them lie between 0 and 1;
+    0 if none."""
+    for k in range(HIGHEST, 1, -1):
         if min(n[: k + 1]) <= 0:
             continue
         top = (k + 1) * n[k] / n[0]

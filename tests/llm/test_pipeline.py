@@ -52,6 +52,6 @@ def test_stages(spark):
 def test_registered_queries_and_entry():
     import __spark_entry__ as e
 
-    assert {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in queries.QUERIES}
+    assert {f"op{i}_" for i in range(1, 14)} == {n.split("_")[0] + "_" for n in queries.QUERIES}
     assert queries.QUERIES.keys() <= e.queries().keys() and e.queries()["pipeline"] is corpus_pipeline.run
     assert queries.ORACLE.keys() <= e.oracle_sql().keys()
