@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POS_MASK = (1 << 33) - 1
 
@@ -182,3 +187,128 @@ def with_next(df: DataFrame, group: list[str], order: list[str], cols: list[str]
     for i, c in enumerate(cols):
         j = j.withColumn(prefix + c, F.when(same, F.col(f"_sv{i}")))
     return j.drop("_g", *[f"_sg{i}" for i in range(len(group))], *[f"_sv{i}" for i in range(len(cols))])
+
+
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Mark ``df`` for broadcast only if ``rows * row_bytes`` is below the
+    session's own broadcast threshold; beyond it the join shuffles."""
+    spark = df.sparkSession
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(limit)))
+    return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def _same(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Equal values, null being equal to null."""
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+
+
+def carry_next(df: DataFrame, group: str, order: list[str], cols: list[str], prefix: str = "next_") -> DataFrame:
+    """``lead(c) over (partition by group order by order)`` for each ``c`` in
+    ``cols``, by boundary carry: rows are range-sorted by ``(group, *order)``,
+    each takes the values of the row behind it, and every partition hands its
+    first row to the one before. One shuffle, no window: a group may span any
+    number of partitions. The driver sees one row per partition.
+    """
+    from distillery.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *b.slice(0, 1).columns],
+                                                 ["_pid", *b.schema.names])
+                return
+
+    narrow = ranged.select(group, *[c for c in cols if c != group])
+    first = narrow.mapInArrow(heads, T.StructType([T.StructField("_pid", T.IntegerType()), *narrow.schema.fields])).toArrow()
+    head_of = {p: i for i, p in enumerate(first["_pid"].to_pylist())}
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(b: pa.RecordBatch, behind: pa.RecordBatch | None) -> pa.RecordBatch:
+            same = _same(b.column(group), behind.column(group)) if behind is not None else pa.array([False] * b.num_rows)
+            added = [pc.if_else(same, behind.column(c), pa.scalar(None, b.column(c).type)) if behind is not None
+                     else pa.nulls(b.num_rows, b.column(c).type) for c in cols]
+            return pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, *[prefix + c for c in cols]])
+
+        last = None  # the row that waits for the one behind it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if last is not None:
+                yield joined(last, b.slice(0, 1))
+            if b.num_rows > 1:
+                yield joined(b.slice(0, b.num_rows - 1), b.slice(1))
+            last = b.slice(b.num_rows - 1)
+        if last is not None:
+            pid = TaskContext.get().partitionId()
+            later = [p for p in head_of if p > pid]
+            edge = first.slice(head_of[min(later)], 1).combine_chunks().to_batches()[0] if later else None
+            if edge is not None:
+                edge = edge.select([*dict.fromkeys([group, *cols])]).cast(last.select([*dict.fromkeys([group, *cols])]).schema)
+            yield joined(last, edge)
+
+    schema = T.StructType([*ranged.schema.fields, *[T.StructField(prefix + c, ranged.schema[c].dataType) for c in cols]])
+    return ranged.mapInArrow(shift, schema)
+
+
+def with_next_in_place(df: DataFrame, group: str, order: str, col: str, out: str, stored: bool = False) -> DataFrame:
+    """``lead(col) over (partition by group order by order)`` as ``out``, for
+    wide rows that should stay where they are stored.
+
+    Only ``(group, order, col)`` and a row's place are moved, through
+    ``carry_next``. A row whose successor lies behind it in the same partition
+    takes the value from there; the others (the last row of a partition, and
+    rows stored out of order) are corrected by a join on the place, broadcast
+    if they are few. On a table stored in order that is one row per partition;
+    on any other the corrections may move the wide rows. ``df`` is read twice
+    and must lie alike both times: it is checkpointed unless it is ``stored``
+    (a plain scan of a table, or a checkpoint). Rows with equal keys follow one
+    another as they are stored.
+    """
+    if not stored:
+        from distillery.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
+    at, fix, fixed = (_free(df, n) for n in ("_at", "_fix", "_fixed"))
+    placed = df.withColumn(at, F.monotonically_increasing_id())
+    narrow = placed.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(col).alias("_c"), F.col(at).alias("_p"))
+    after = carry_next(narrow, "_g", ["_o", "_p"], ["_c", "_p"])
+    wrong = (after.filter("next__p IS NOT NULL AND next__p <> _p + 1")
+             .select(F.col("_p").alias(at), F.col("next__c").alias(fix), F.lit(True).alias(fixed))).checkpoint(eager=True)
+
+    def neighbour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(b: pa.RecordBatch, behind: pa.RecordBatch | None) -> pa.RecordBatch:
+            value = pa.nulls(b.num_rows, b.column(col).type)
+            if behind is not None:
+                a, z = b.column(order), behind.column(order)
+                up = pc.or_(pc.is_null(a), pc.fill_null(pc.less_equal(a, z), False))
+                value = pc.if_else(pc.and_(_same(b.column(group), behind.column(group)), up), behind.column(col), value)
+            return pa.RecordBatch.from_arrays([*b.columns, value], [*b.schema.names, out])
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if last is not None:
+                yield joined(last, b.slice(0, 1))
+            if b.num_rows > 1:
+                yield joined(b.slice(0, b.num_rows - 1), b.slice(1))
+            last = b.slice(b.num_rows - 1)
+        if last is not None:
+            yield joined(last, None)
+
+    rest = placed.drop(out) if out in df.columns else placed
+    near = rest.mapInArrow(neighbour, T.StructType([*rest.schema.fields, T.StructField(out, df.schema[col].dataType)]))
+    joined = near.join(broadcast_if_small(wrong, wrong.count(), 32), at, "left")
+    return joined.withColumn(out, F.when(F.col(fixed), F.col(fix)).otherwise(F.col(out))).drop(at, fix, fixed)
+
+
+def _free(df: DataFrame, want: str) -> str:
+    from distillery.operators.lookup import free_name
+
+    return free_name(df, want)

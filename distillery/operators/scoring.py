@@ -3,7 +3,7 @@
 Array form: one row per (sample_id, pos) with ``student`` and ``assistant``
 logit arrays and an integer ``label``. Per-row terms are higher-order
 functions (no shuffle); reductions are single partial aggregates. The
-next-token shift is a window per sample (a bounded sequence).
+next-token shift moves labels only: logits stay where they are stored.
 
 Long form (I10): one row per (sample_id, pos, token) -- one shuffle on
 (sample_id, pos) shared by the max window and the aggregate.
@@ -118,13 +118,19 @@ def kd_reductions(df: DataFrame, temperature: float = O.KD_TEMPERATURE, sample:
 
 
 def with_next_label(df: DataFrame, sample: str = "sample_id", pos: str = "pos",
-                    label: str = "label", out: str = "target", method: str = "window") -> DataFrame:
+                    label: str = "label", out: str = "target", method: str = "place", stored: bool = False) -> DataFrame:
     """I8: the label of the next position (causal shift); last is null.
 
+    ``place``: ``order.with_next_in_place``, labels move and logits do not
+    (``stored``: ``df`` is a table as stored and need not be checkpointed).
     ``window``: ``lead`` per sample (a sequence bounded by the context
-    length). ``join``: ``order.with_next`` (global index + equi-join), for
-    sequences of unbounded length.
+    length). ``join``: ``order.with_next`` (global index + equi-join). The
+    last two move whole rows.
     """
+    if method == "place":
+        from distillery.operators.order import with_next_in_place
+
+        return with_next_in_place(df, sample, pos, label, out, stored)
     if method == "window":
         return df.withColumn(out, F.lead(label).over(Window.partitionBy(sample).orderBy(pos)))
     if method == "join":
@@ -175,8 +181,8 @@ def _lse_arrow():
 
 def ce_loss(df: DataFrame, method: str = "arrow", target: str | None = None, **kw) -> DataFrame:
     """Mean CE over valid positions (null when none are valid).
-    ``target`` names a stored column with the shifted label: then the rows
-    are scored where they lie; without it the shift moves them by sample."""
+    ``target`` names a stored column with the shifted label; without it the
+    labels are shifted first (``with_next_label``)."""
     shifted = df if target else with_next_label(df, **kw)
     c = with_ce(shifted, target=target or kw.get("out", "target"), method=method)
     return c.agg(F.avg("ce").alias("ce"), F.count("ce").cast("bigint").alias("n_valid"))
@@ -184,19 +190,19 @@ def ce_loss(df: DataFrame, method: str = "arrow", target: str | None = None, **k
 
 def combined_loss(df: DataFrame, temperature: float = O.KD_TEMPERATURE, weight: float = O.KD_WEIGHT,
                   reduction: str = "batchmean", method: str = "arrow", target: str | None = None,
-                  mask: str | None = None) -> DataFrame:
-    """``(1 - w) * ce + w * kd`` in one pass. ``target`` as in
-    ``ce_loss`` (no shuffle but the final aggregate). ``mask`` names a
+                  mask: str | None = None, stored: bool = False) -> DataFrame:
+    """``(1 - w) * ce + w * kd`` in one pass over the logits. ``target``
+    as in ``ce_loss``, ``stored`` as in ``with_next_label``. ``mask`` names a
     boolean column of the rows that count in the KL part, as in
     ``kd_reduce``; the labels' own mask (-100) decides for the CE part."""
     opts = O.LossOptions(temperature, reduction, weight)
     if reduction == "none":
         raise ValueError("use with_kl and with_ce for reduction 'none'")
     t2 = opts.temperature ** 2
-    k = with_kl(df, temperature, method=method)
+    k = with_kl(df if target else with_next_label(df, stored=stored), temperature, method=method)
     if mask:
         k = k.withColumn("kl", F.when(F.col(mask), F.col("kl")))
-    k = with_ce(k if target else with_next_label(k), target=target or "target", method=method)
+    k = with_ce(k, target=target or "target", method=method)
     agg = k.agg(F.avg("ce").alias("ce"), F.sum("kl").alias("_s"),
                 F.count_distinct(F.when(F.col("kl").isNotNull(), F.col("sample_id"))).alias("_b"),
                 F.sum(F.when(F.col("kl").isNotNull(), F.size("student").cast("bigint"))).alias("_e"))

@@ -4,11 +4,14 @@ Words are Python ``str.split()`` words. The vocabulary reserves id 0 for
 the end/pad token ``<|im_end|>`` and id 1 for ``<unk>``; words follow from
 id 2 by descending count, ties by token.
 
-Encoding and decoding are map-only: the vocabulary has a parameter-bounded
-size (``size`` entries), is checked
-against ``max_broadcast_entries`` and then shipped once per executor; each
-Arrow batch is encoded with a dict lookup, so no token row is shuffled.
-Above the bound the JVM join path (explode -> join -> regroup) is used.
+A vocabulary comes in one of two forms, and encoding and decoding give the
+same rows with both:
+
+* ``Vocab``: collected, its number of entries checked against a bound when it
+  is loaded. It is shipped once per executor and each Arrow batch is encoded
+  with a dict lookup: map-only, no token row is shuffled.
+* a DataFrame of any size: blocks of rows look up their distinct words in a
+  shuffle join (``operators.lookup``).
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from distillery import options as O
 from distillery.functions.text import words
+from distillery.operators.lookup import map_items
 
 RESERVED = [O.PAD_TOKEN, O.UNK_TOKEN]
 PAD_ID, UNK_ID = 0, 1
@@ -92,104 +96,91 @@ class Vocab:
     def load(cls, vocab: DataFrame, limit: int = MAX_BROADCAST_ENTRIES) -> "Vocab":
         rows = vocab.select("token", "token_id").limit(limit + 1).collect()
         if len(rows) > limit:
-            raise OverflowError("vocabulary larger than the broadcast bound")
+            raise OverflowError("vocabulary larger than the broadcast bound; pass it as a DataFrame instead")
         return cls([(r[0], int(r[1])) for r in rows])
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.pairs, "token STRING, token_id INT")
 
 
-def _vocab_pairs(vocab, limit: int) -> list[tuple[str, int]]:
-    if isinstance(vocab, Vocab):
-        if len(vocab.pairs) > limit:
-            raise OverflowError("vocabulary larger than the broadcast bound")
-        return vocab.pairs
-    return Vocab.load(vocab, limit).pairs
+def _method(vocab, method: str | None) -> str:
+    """By default the form of the vocabulary decides."""
+    method = method or ("arrow" if isinstance(vocab, Vocab) else "join")
+    if method not in ("arrow", "join"):
+        raise ValueError(f"unknown method {method!r}")
+    return method
 
 
-def encode(df: DataFrame, vocab: DataFrame, col: str = "text", out: str = "input_ids",
-           max_length: int | None = O.SFT_MAX_LENGTH, key: str = "row_idx",
-           method: str = "auto", max_broadcast_entries: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
+def _loaded(vocab) -> "Vocab":
+    return vocab if isinstance(vocab, Vocab) else Vocab.load(vocab)
+
+
+def _framed(vocab, spark) -> DataFrame:
+    return vocab.frame(spark) if isinstance(vocab, Vocab) else vocab
+
+
+def encode(df: DataFrame, vocab, col: str = "text", out: str = "input_ids",
+           max_length: int | None = O.SFT_MAX_LENGTH, method: str | None = None) -> DataFrame:
     """H6 + H7: ``out ARRAY<INT>`` of token ids, truncated to ``max_length``.
 
     The whole text is split; only the id list is cut. Unknown words map
     to ``<unk>``; a text with no words gives an empty array; null gives null.
+    ``method`` forces one of the two forms (``arrow``, ``join``).
     """
-    if method in ("auto", "arrow"):
-        try:
-            pairs = _vocab_pairs(vocab, max_broadcast_entries)
-        except OverflowError:
-            if method == "arrow":
-                raise
-            method = "join"
-        else:
-            return _encode_arrow(df, pairs, col, out, max_length)
-    if method == "join":
-        if isinstance(vocab, Vocab):
-            vocab = vocab.frame(df.sparkSession)
-        return _encode_join(df, vocab, col, out, max_length, key)
-    raise ValueError(f"unknown method {method!r}")
+    if _method(vocab, method) == "arrow":
+        return _encode_arrow(df, _loaded(vocab).pairs, col, out, max_length)
+    ws = words(_c(col))
+    if max_length is not None:
+        ws = F.slice(ws, 1, max_length)
+    table = _framed(vocab, df.sparkSession).select(F.col("token").alias("item"), F.col("token_id").alias("value"))
+
+    def ids(texts, known):
+        return [None if t is None else _ids(t, known.get, max_length) for t in texts.to_pylist()]
+
+    return map_items(df, ws, table, ids, col, out, T.ArrayType(T.IntegerType()))
+
+
+def _ids(text: str, get, limit: int | None) -> list[int]:
+    # the text behind the last wanted word is not split
+    ws = text.split() if limit is None else text.split(None, limit)[:limit]
+    return [get(w, UNK_ID) for w in ws]
 
 
 def _encode_arrow(df, pairs, col, out, max_length):
     import pandas as pd
 
     bc = df.sparkSession.sparkContext.broadcast(dict(pairs))
-    limit = max_length
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:
-        table = bc.value
-        get = table.get
-
-        def one(t):
-            if t is None:
-                return None
-            # the text behind the last wanted word is not split
-            ws = t.split() if limit is None else t.split(None, limit)[:limit]
-            return [get(w, UNK_ID) for w in ws]
-
-        return s.map(one)
+        get = bc.value.get
+        return s.map(lambda t: None if t is None else _ids(t, get, max_length))
 
     return df.withColumn(out, _enc(_c(col)))
 
 
-def _encode_join(df, vocab, col, out, max_length, key):
-    ws = words(col)
-    if max_length is not None:
-        ws = F.slice(ws, 1, max_length)
-    exploded = df.select(key, F.posexplode_outer(ws).alias("_pos", "token"))
-    joined = exploded.join(vocab.select("token", F.col("token_id").alias("_id")), "token", "left")
-    ids = (joined.groupBy(key)
-           .agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
-               F.col("_pos"), F.coalesce(F.col("_id"), F.lit(UNK_ID)).alias("_id"))))).alias("_s"))
-           .select(key, F.transform("_s", lambda x: x["_id"]).alias(out)))
-    base = df.drop(out) if out in df.columns else df
-    return base.join(ids, key, "left").withColumn(
-        out, F.when(_c(col).isNull(), F.lit(None)).otherwise(F.col(out)))
-
-
-def decode(df: DataFrame, vocab: DataFrame, col: str = "input_ids", out: str = "decoded",
-           skip_special: bool = True, max_broadcast_entries: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
+def decode(df: DataFrame, vocab, col: str = "input_ids", out: str = "decoded",
+           skip_special: bool = True, method: str | None = None) -> DataFrame:
     """H10 (+ F4): ids -> space-joined words; special ids dropped when
-    ``skip_special``. Ids outside the vocabulary read as ``<unk>``."""
+    ``skip_special``. Ids outside the vocabulary read as ``<unk>``; null
+    gives null. ``method`` as in ``encode``."""
+    specials = {PAD_ID} if skip_special else set()
+
+    def text(ids, get):
+        return None if ids is None else " ".join(get(int(i), O.UNK_TOKEN) for i in ids if int(i) not in specials)
+
+    if _method(vocab, method) == "join":
+        table = _framed(vocab, df.sparkSession).select(F.col("token_id").alias("item"), F.col("token").alias("value"))
+        return map_items(df, _c(col), table, lambda rows, known: [text(r, known.get) for r in rows.to_pylist()],
+                         col, out, T.StringType())
     import pandas as pd
 
-    pairs = _vocab_pairs(vocab, max_broadcast_entries)
-    table = {i: t for t, i in pairs}
-    bc = df.sparkSession.sparkContext.broadcast(table)
-    specials = {PAD_ID} if skip_special else set()
+    bc = df.sparkSession.sparkContext.broadcast({i: t for t, i in _loaded(vocab).pairs})
 
     @F.pandas_udf(T.StringType())
     def _dec(s: pd.Series) -> pd.Series:
-        tab = bc.value
-
-        def one(ids):
-            if ids is None:
-                return None
-            return " ".join(tab.get(int(i), O.UNK_TOKEN) for i in ids if int(i) not in specials)
-
-        return s.map(one)
+        get = bc.value.get
+        return s.map(lambda ids: text(ids, get))
 
     return df.withColumn(out, _dec(_c(col)))
 
@@ -244,17 +235,29 @@ def ids_text(ids) -> Column:
     return F.array_join(F.transform(_c(ids), lambda x: x.cast("string")), ",")
 
 
-def token_profile(df: DataFrame, text: str = "text", max_length: int = O.KD_MAX_LENGTH) -> DataFrame:
-    """Count, min / max / mean token length after truncation, and the
-    share of rows that were truncated. One aggregate, partial per task."""
+def token_profile(df: DataFrame, text: str = "text", max_length: int = O.KD_MAX_LENGTH,
+                  percentiles: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+    """Count, min / max / mean token length after truncation, the share
+    of rows that were truncated, and exact percentiles ``p50``, ... (the
+    smallest length that at least so many percent of the rows do not exceed).
+
+    Lengths are whole numbers up to ``max_length``, so one partial aggregate
+    by length is a histogram of at most ``max_length + 1`` rows; everything is
+    read off it. Rows without a text are not counted in it."""
     full = F.size(words(text)).cast("bigint")
-    kept = F.least(full, F.lit(max_length).cast("bigint"))
-    return df.select(full.alias("_full"), kept.alias("_kept")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+    limit = F.lit(max_length).cast("bigint")
+    hist = (df.filter(F.col(text).isNotNull()).select(full.alias("_full")).groupBy(F.least("_full", limit).alias("_kept"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("_n"), F.count_if(F.col("_full") > limit).alias("_cut")))
+    up = Window.orderBy("_kept").rowsBetween(Window.unboundedPreceding, 0)  # over the histogram
+    n = F.sum("_n")
+    ranked = hist.withColumn("_upto", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    return ranked.agg(
+        F.coalesce(n, F.lit(0)).cast("bigint").alias("n_rows"),
         F.min("_kept").cast("bigint").alias("min_len"),
         F.max("_kept").cast("bigint").alias("max_len"),
-        F.round(F.avg("_kept"), 6).alias("mean_len"),
-        F.round(F.avg(F.when(F.col("_full") > max_length, 1.0).otherwise(0.0)), 6).alias("share_truncated"))
+        F.round(F.sum(F.col("_kept") * F.col("_n")) / n, 6).alias("mean_len"),
+        F.round(F.sum("_cut") / n, 6).alias("share_truncated"),
+        *[F.min(F.when(100 * F.col("_upto") >= q * F.col("_all"), F.col("_kept"))).cast("bigint").alias(f"p{q}") for q in percentiles])
 
 
 def encode_with(df: DataFrame, factory, col: str = "text", out: str = "input_ids",

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from distillery.operators.corpus import Source
-from distillery.session import read_table
+from distillery.session import read_table, scratch_path
 
 
 def corpus_sources(spark: SparkSession, sf_dir: str) -> list[Source]:
@@ -102,6 +102,15 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .otherwise(F.col("label")).cast("int").alias("label")))
 
 
+def stored_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f_logits as a table stored by sample and position, as a scoring run
+    writes it."""
+    path = scratch_path(spark, "logits")
+    (logits(spark, sf_dir).repartitionByRange("sample_id", "pos").sortWithinPartitions("sample_id", "pos")
+     .write.parquet(path))
+    return spark.read.parquet(path)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """f_candidates: long form (ctx, tok, lg) of every embedding value."""
     emb = read_table(spark, sf_dir, "embeddings")

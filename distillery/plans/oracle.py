@@ -279,11 +279,14 @@ ORACLE["drop_prompt_ids"] = f"""
   JOIN ({encoded(f"SELECT row_idx, prompt AS text FROM ({PROMPTS_TEXTS}) z", 'row_idx', None)}) p USING (row_idx)"""
 ORACLE["drop_special_ids"] = f"""
   SELECT row_idx, array_to_string(list_filter(pids, lambda x: x <> 0), ',') AS ids FROM ({PADDED}) p"""
+LENGTHS = f"SELECT {words('text')} AS f, least({words('text')}, {O.KD_MAX_LENGTH}) AS k FROM documents WHERE text IS NOT NULL"
+RANKED_LENGTHS = f"SELECT k, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM ({LENGTHS}) t"
 ORACLE["token_profile"] = f"""
   SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(min(k) AS BIGINT) AS min_len, CAST(max(k) AS BIGINT) AS max_len,
          round(avg(k), 6) AS mean_len, round(avg(CASE WHEN f > {O.KD_MAX_LENGTH} THEN 1.0 ELSE 0.0 END), 6)
-           AS share_truncated
-  FROM (SELECT {words('text')} AS f, least({words('text')}, {O.KD_MAX_LENGTH}) AS k FROM documents) t"""
+           AS share_truncated,
+         {", ".join(f"(SELECT CAST(min(k) AS BIGINT) FROM ({RANKED_LENGTHS}) q WHERE 100 * r >= {p} * n) AS p{p}" for p in (50, 90, 99))}
+  FROM ({LENGTHS}) t"""
 
 T = O.KD_TEMPERATURE
 LOGITS = """
@@ -400,4 +403,5 @@ ORACLE["gen_dispatch"] = f"""
   FROM ({ORACLE['batch_responses']}) c"""
 ORACLE["batch_append"] = ORACLE["batch_responses"]
 ORACLE["encode_join"] = ORACLE["encode"]
+ORACLE["decode_join"] = ORACLE["decode"]
 ORACLE["kd_reduce_jvm"] = ORACLE["kd_reduce"]

@@ -360,7 +360,7 @@ def q_truncate(spark, sf_dir):
     from distillery.operators.tokens import encode, ids_text
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    e = encode(docs, _token_inputs(spark, sf_dir)[2], "text", "input_ids", O.KD_MAX_LENGTH, key="doc_id")
+    e = encode(docs, _token_inputs(spark, sf_dir)[2], "text", "input_ids", O.KD_MAX_LENGTH)
     return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     TX.word_count("text").alias("n_words"), ids_text("input_ids").alias("ids"))
 
@@ -473,14 +473,14 @@ def q_kd_reduce(spark, sf_dir):
 def q_ce_loss(spark, sf_dir):
     from distillery.operators import scoring as S
 
-    return S.ce_loss(_logits(spark, sf_dir)).select(F.round("ce", 6).alias("ce"), "n_valid")
+    return S.ce_loss(FX.stored_logits(spark, sf_dir), stored=True).select(F.round("ce", 6).alias("ce"), "n_valid")
 
 
 @query("combined_loss")
 def q_combined_loss(spark, sf_dir):
     from distillery.operators import scoring as S
 
-    r = S.combined_loss(_logits(spark, sf_dir), O.KD_TEMPERATURE, O.KD_WEIGHT)
+    r = S.combined_loss(FX.stored_logits(spark, sf_dir), O.KD_TEMPERATURE, O.KD_WEIGHT, stored=True)
     return r.select(F.round("ce", 6).alias("ce"), F.round("kd", 6).alias("kd"), F.round("loss", 6).alias("loss"))
 
 
@@ -695,16 +695,27 @@ def q_batch_append(spark, sf_dir):
 
 @query("encode_join")
 def q_encode_join(spark, sf_dir):
-    """H6 through the JVM path (explode -> vocabulary join -> regroup), used
-    above the broadcast bound."""
+    """H6 with the vocabulary as a table: blocks of rows look up their
+    distinct words."""
     from distillery.operators.tokens import encode, ids_text
 
-    _, texts, vocab = _token_inputs(spark, sf_dir)
-    e = encode(texts, vocab, "text", "input_ids", O.SFT_MAX_LENGTH, key="row_idx", method="join")
+    texts = _sft_texts(spark, sf_dir)
+    e = encode(texts, _vocab(spark, sf_dir, texts), "text", "input_ids", O.SFT_MAX_LENGTH)
     return e.select("row_idx", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     ids_text("input_ids").alias("ids"))
 
 
+@query("decode_join")
+def q_decode_join(spark, sf_dir):
+    """H10 with the vocabulary as a table: blocks of rows look up their
+    distinct ids."""
+    from distillery.operators.tokens import decode
+
+    inputs = _token_inputs(spark, sf_dir)
+    vocab = inputs[2].frame(spark)
+    return decode(_padded(spark, sf_dir, inputs), vocab, "input_ids", "decoded").select("row_idx", "decoded")
+
+
 @query("kd_reduce_jvm")
 def q_kd_reduce_jvm(spark, sf_dir):
     """I5 + I6 through the higher-order-function path (no Python)."""

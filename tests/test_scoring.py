@@ -122,7 +122,56 @@ def test_next_label_methods_agree(spark):
     lg = FX.logits(spark, SF_SMALL).select("sample_id", "pos", "label")
     a = {(r.sample_id, r.pos): r.target for r in S.with_next_label(lg).collect()}
     b = {(r.sample_id, r.pos): r.target for r in S.with_next_label(lg, method="join").collect()}
-    assert a == b and len(a) == 500
+    c = {(r.sample_id, r.pos): r.target for r in S.with_next_label(lg, method="window").collect()}
+    assert a == b == c and len(a) == 500
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+@pytest.mark.parametrize("layout", ["sorted", "shuffled", "one", "hot"])
+def test_shift_in_place(spark, tmp_root, layout):
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, p, rng.choice([None, *range(9)]), [float(s or 0), float(p or 0)]) for s in (1, 2, None, 7) for p in (None, 0, 1, 5, 9, 10)]
+    if layout == "hot":  # one sample over many partitions
+        rows = [(1, p, p * 3, [1.0]) for p in range(400)]
+    want = {}
+    for s, p, _, _ in rows:
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or 0))
+        at = [r[1] for r in mine].index(p)
+        want[s, p] = mine[at + 1][2] if at + 1 < len(mine) else None
+    if layout == "shuffled":
+        rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "sample_id BIGINT, pos BIGINT, label INT, student ARRAY<DOUBLE>")
+    df = df.coalesce(1) if layout == "one" else df
+    path = f"{tmp_root}/{layout}"
+    if layout == "hot":
+        df.repartitionByRange(9, "pos").sortWithinPartitions("pos").write.parquet(path)
+    else:
+        df.write.parquet(path)
+    out = S.with_next_label(spark.read.parquet(path), stored=True)
+    got = {(r.sample_id, r.pos): r.target for r in out.collect()}
+    assert got == want and out.count() == len(rows)
+    assert not any("student" in line for line in _exchanges(out))
+    assert S.with_next_label(df.limit(0)).count() == 0
+    again = S.with_next_label(df.withColumn("target", F.lit("old")).repartition(5))
+    assert {(r.sample_id, r.pos): r.target for r in again.collect()} == want and again.columns.count("target") == 1
+
+
+def test_losses_leave_logits_where_they_are(spark):
+    from tests.conftest import SF_SMALL
+
+    from distillery.plans import fixtures as FX
+
+    stored = FX.stored_logits(spark, SF_SMALL)
+    for df in (S.ce_loss(stored, stored=True), S.combined_loss(stored, stored=True)):
+        df.collect()
+        assert not any("student" in line for line in _exchanges(df))
+    assert math.isclose(S.ce_loss(stored, stored=True).first().ce, S.ce_loss(FX.logits(spark, SF_SMALL)).first().ce, rel_tol=1e-12)
 
 
 def test_loss_options_bounds():

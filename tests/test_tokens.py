@@ -40,6 +40,53 @@ def test_arrow_equals_join_and_roundtrip(spark, frame):
         assert dec[i] == " ".join(t.split())
 
 
+ODD = [(1, "a b"), (1, "c"), (None, "a c"), (None, None), (2, ""), (2, "a b"), (3, "\u00a0x\u2003a\n")]
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 1])
+def test_forms_agree_on_repeated_and_null_keys(spark, monkeypatch, block_bytes):
+    from distillery.operators import lookup
+
+    monkeypatch.setattr(lookup.with_blocks, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(lookup.map_items, "__defaults__", (block_bytes,))
+    df = spark.createDataFrame(ODD, "row_idx BIGINT, text STRING").withColumn("_block", F.lit("x")).withColumn("item", F.lit(1))
+    v = K.build_vocab(df, "text", 100)
+    got = {}
+    for method in ("arrow", "join"):
+        e = K.encode(df, v, "text", max_length=None, method=method)
+        d = K.decode(e.withColumn("input_ids", F.when(F.col("row_idx") == 3, F.array(F.lit(0), F.lit(77))).otherwise(F.col("input_ids"))),
+                     v, method=method)
+        assert e.columns == [*df.columns, "input_ids"] and d.columns == [*e.columns, "decoded"]
+        assert d.schema["input_ids"].dataType == e.schema["input_ids"].dataType
+        got[method] = sorted(map(repr, d.collect()))
+    assert got["arrow"] == got["join"]
+    by_text = {r.text: r.input_ids for r in K.encode(df, v, "text", max_length=None).collect()}
+    assert [len(by_text[t]) for t in ("a b", "c", "a c", "", ODD[-1][1])] == [2, 1, 2, 0, 2] and by_text[None] is None
+    assert by_text["a b"][0] == by_text["a c"][0] and by_text["a b"][0] != by_text["c"][0]
+
+
+def test_vocabulary_above_the_bound(spark, frame):
+    v = K.build_vocab(frame, "text", 100)
+    with pytest.raises(OverflowError):
+        K.Vocab.load(v, limit=3)
+    whole = K.Vocab.load(v)
+    a = sorted(map(tuple, K.decode(K.encode(frame, v), v).select("row_idx", "decoded").collect()))
+    assert a == sorted(map(tuple, K.decode(K.encode(frame, whole), whole).select("row_idx", "decoded").collect()))
+
+
+def test_length_percentiles(spark):
+    import math
+
+    lens = [0, 0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 600]
+    df = spark.createDataFrame([(" ".join("w" * n),) for n in lens], "text STRING")
+    r = K.token_profile(df, max_length=50).first()
+    kept = sorted(min(n, 50) for n in lens)
+    assert (r.n_rows, r.min_len, r.max_len, r.share_truncated) == (12, 0, 50, round(1 / 12, 6))
+    assert [r.p50, r.p90, r.p99] == [kept[math.ceil(q * 12 / 100) - 1] for q in (50, 90, 99)]
+    empty = K.token_profile(df.limit(0)).first()
+    assert empty.n_rows == 0 and empty.p50 is None
+
+
 def test_unknown_word(spark, frame):
     v = K.build_vocab(frame, "text", 1)   # only "the"
     out = K.encode(frame, v, "text", max_length=None).filter("row_idx = 0").first().input_ids
