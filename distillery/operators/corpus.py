@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from distillery import options as O
 from distillery.functions.text import teacher_prompt, word_count
 from distillery.operators.filters import keep_short, project_key
-from distillery.operators.order import with_row_index, with_row_index_and_count
+from distillery.operators.order import broadcast_if_small, with_row_index, with_row_index_and_count
 
 CORPUS_KEYS = ("dataset_ord", "split", "src_file", "src_block", "row_key")
 
@@ -89,17 +89,52 @@ def index_corpus(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     return with_row_index(df, corpus_order(), "row_idx", num_partitions)
 
 
+def index_blocks(df: DataFrame) -> tuple[DataFrame, int] | None:
+    """D1 for file sources: rows lie in scan blocks, and each block's rows in
+    order, so an index needs the rows per block and their prefix sums alone.
+    No row is moved. ``df`` is read twice, by the same scans.
+
+    Returns None where blocks are no unit of the order (a split that is not
+    the file's). The driver sees one row per scan block, as it does when it
+    plans the scan.
+    """
+    at = "_at"
+    placed = df.withColumn(at, F.monotonically_increasing_id())
+    block = ("dataset_ord", "src_file", "src_block")
+    found = placed.groupBy(*block, "split").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last")).collect()
+    if len({(r["dataset_ord"], r["src_file"], r["src_block"]) for r in found}) < len(found):
+        return None
+    if any(r["last"] - r["first"] + 1 != r["n"] for r in found):
+        return None
+    found.sort(key=lambda r: (r["dataset_ord"], r["split"] is None, r["split"] or "", r["src_file"], r["src_block"]))
+    starts, total = [], 0
+    for r in found:
+        starts.append((r["dataset_ord"], r["src_file"], r["src_block"], total - r["first"]))
+        total += r["n"]
+    spark = df.sparkSession
+    offsets = spark.createDataFrame(starts, "dataset_ord INT, src_file STRING, src_block BIGINT, _shift BIGINT")
+    size = sum(len(r["src_file"]) + 64 for r in found) // max(len(found), 1)
+    indexed = (placed.join(broadcast_if_small(offsets, len(starts), size), list(block))
+               .withColumn("row_idx", (F.col("_shift") + F.col(at)).cast("bigint")).select(*df.columns, "row_idx"))
+    return indexed, total
+
+
 def build_corpus(sources: list[Source], limit: int = O.PROMPT_WORD_LIMIT,
                  num_partitions: int | None = None) -> DataFrame:
     """The prompt corpus: union -> filter -> stable index."""
-    return index_corpus(filter_corpus(union_sources(sources), limit), num_partitions)
+    return build_corpus_and_count(sources, limit, num_partitions)[0]
 
 
 def build_corpus_and_count(sources: list[Source], limit: int = O.PROMPT_WORD_LIMIT,
                            num_partitions: int | None = None) -> tuple[DataFrame, int]:
-    """``build_corpus`` plus its row count (no extra job)."""
-    return with_row_index_and_count(filter_corpus(union_sources(sources), limit), corpus_order(),
-                                    "row_idx", num_partitions)
+    """``build_corpus`` plus its row count (no extra job). File sources are
+    indexed by their scan blocks, others by a range partitioning."""
+    rows = filter_corpus(union_sources(sources), limit)
+    if all(s.row_key is None for s in sources if s.key):
+        indexed = index_blocks(rows)
+        if indexed is not None:
+            return indexed
+    return with_row_index_and_count(rows, corpus_order(), "row_idx", num_partitions)
 
 
 def with_teacher_prompt(df: DataFrame, system: str = O.TEACHER_SYSTEM_PROMPT) -> DataFrame:

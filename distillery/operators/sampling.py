@@ -6,7 +6,7 @@ top-p (then renormalise).
 
 A context holds at most one row per vocabulary entry. Spark cuts each
 context to ``k`` rows before the shuffle (a partial window limit), so top-k
-needs one exchange. Greedy choice is a partial aggregate (``max_by``).
+needs one exchange. Top-p cuts each context by a histogram before it ranks. Greedy choice is a partial aggregate (``max_by``).
 """
 
 from __future__ import annotations
@@ -44,18 +44,42 @@ def with_probs(df: DataFrame, temperature: float, ctx: str = "ctx", lg: str = "l
               .withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e"))
 
 
+BINS, BIN = 256, 0.25  # of scaled logits below a context's best, in steps of BIN
+
+
 def top_p(df: DataFrame, p: float, temperature: float = O.GEN_TEMPERATURE, ctx: str = "ctx",
           tok: str = "tok", lg: str = "lg", out: str = "p") -> DataFrame:
     """Nucleus filter then renormalise: keep a candidate while the mass
-    ranked above it is below ``p`` (the best one always stays)."""
+    ranked above it is below ``p`` (the best one always stays).
+
+    A histogram of each context's mass by distance from its best logit (at
+    most ``BINS`` rows a context, combined before the shuffle) tells how far
+    down the nucleus can reach. Only candidates down to there are ranked; the
+    rest of a context is neither shuffled by rank nor sorted.
+    """
     if not 0 < p <= 1:
         raise ValueError("top_p must be within (0, 1]")
-    x = with_probs(df, temperature, ctx, lg, "_p")
+    if not temperature > 0:
+        raise ValueError("temperature must be > 0")
+    s = F.col(lg) / F.lit(float(temperature))
+    best = df.groupBy(F.col(ctx).alias("_ctx")).agg(F.max(s).alias("_best"))
+    near = df.join(best, F.col(ctx).eqNullSafe(F.col("_ctx"))).drop("_ctx")
+    gap = F.col("_best") - s
+    x = near.withColumn("_e", F.exp(-gap)).withColumn("_bin", F.least(F.floor(gap / BIN), F.lit(BINS - 1)).cast("int"))
+    hist = x.groupBy(F.col(ctx).alias("_ctx"), "_bin").agg(F.sum("_e").alias("_mass"))
+    w = Window.partitionBy("_ctx")
+    above = w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    # a bin is out if the bins above it hold p already; a little slack, as the
+    # exact rule below adds up candidate by candidate
+    reach = (hist.withColumn("_all", F.sum("_mass").over(w)).withColumn("_above", F.coalesce(F.sum("_mass").over(above), F.lit(0.0)))
+             .filter(F.col("_above") / F.col("_all") < F.lit(float(p) + 1e-9))
+             .groupBy("_ctx").agg(F.max("_bin").alias("_last"), F.first("_all").alias("_all")))
+    x = x.join(reach, F.col(ctx).eqNullSafe(F.col("_ctx")) & (F.col("_bin") <= F.col("_last")))
+    x = x.withColumn("_p", F.col("_e") / F.col("_all"))
     run = Window.partitionBy(ctx).orderBy(*_order(lg, tok)).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_cum", F.sum("_p").over(run))
-    kept = x.filter(F.col("_cum") - F.col("_p") < F.lit(float(p)))
-    return (kept.withColumn(out, F.col("_p") / F.sum("_p").over(Window.partitionBy(ctx)))
-                .drop("_p", "_cum"))
+    kept = x.withColumn("_cum", F.sum("_p").over(run)).filter(F.col("_cum") - F.col("_p") < F.lit(float(p)))
+    return kept.withColumn(out, F.col("_p") / F.sum("_p").over(Window.partitionBy(ctx))).select(
+        *[c for c in df.columns if c != out], out)
 
 
 def filter_candidates(df: DataFrame, opts: O.SamplingOptions, **kw) -> DataFrame:

@@ -53,6 +53,11 @@ def pairs(spark: SparkSession, sf_dir: str, index: bool = True, method: str = "j
     return with_row_index(p, ["conv_id", "turn"])
 
 
+def in_table_order(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` as a table stored by ``key`` gives them: files in that order."""
+    return rows.repartitionByRange(key).sortWithinPartitions(key)
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """f_messages input: one row per turn."""
     return read_table(spark, sf_dir, "conversations")

@@ -125,6 +125,9 @@ ORACLE["shard_stats"] = f"""
 ORACLE["resume_offset"] = f"""
   SELECT row_idx, dataset, instruction FROM ({CORPUS}) c
   WHERE row_idx >= (SELECT count(*) FROM ({CORPUS}) d WHERE dataset_ord < 2)"""
+ORACLE["resume_ranges"] = f"""
+  SELECT row_idx, dataset, instruction FROM ({CORPUS}) c
+  WHERE dataset_ord <> 1 AND split IS DISTINCT FROM 'de'"""
 ORACLE["resume_anti"] = f"""
   SELECT row_idx, dataset, instruction FROM ({CORPUS}) c
   WHERE NOT EXISTS (SELECT 1 FROM ({PAIRS}) p WHERE p.instruction = c.instruction)"""
@@ -351,16 +354,22 @@ CANDS = """
 """
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY lg DESC, tok) AS rk FROM ({CANDS}) c"
 TOPK = f"SELECT * FROM ({RANKED}) r WHERE rk <= 20"
-NUCLEUS = f"""
-  SELECT * FROM (
+
+
+def nucleus(src: str) -> str:
+    """Candidates ``src`` cut to mass 0.6, with renormalised ``p``."""
+    return f"""
+  SELECT *, p0 / sum(p0) OVER (PARTITION BY ctx) AS p FROM (SELECT * FROM (
     SELECT *, sum(p0) OVER (PARTITION BY ctx ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
     FROM (SELECT *, e / sum(e) OVER (PARTITION BY ctx) AS p0 FROM (
-      SELECT *, exp(lg / {T} - max(lg / {T}) OVER (PARTITION BY ctx)) AS e FROM ({TOPK}) k) a) b) c
-  WHERE cum - p0 < 0.6
-"""
-KEPT = f"SELECT *, p0 / sum(p0) OVER (PARTITION BY ctx) AS p FROM ({NUCLEUS}) n"
+      SELECT *, exp(lg / {T} - max(lg / {T}) OVER (PARTITION BY ctx)) AS e FROM ({src}) k) a) b) c
+  WHERE cum - p0 < 0.6) n"""
+
+
+KEPT = nucleus(TOPK)
 ORACLE["sample_top_k"] = f"SELECT ctx, tok, CAST(rk AS BIGINT) AS rank FROM ({TOPK}) k"
 ORACLE["sample_top_p"] = f"SELECT ctx, tok, round(p, 6) AS p FROM ({KEPT}) k"
+ORACLE["sample_nucleus"] = f"SELECT ctx, tok, round(p, 6) AS p FROM ({nucleus(RANKED)}) k"
 ORACLE["sample_greedy"] = f"SELECT ctx, tok FROM ({RANKED}) r WHERE rk = 1"
 ORACLE["sample_seeded"] = f"""
   WITH c AS (
@@ -380,6 +389,10 @@ ORACLE["manifest"] = f"""
            coalesce(CAST(row_idx AS VARCHAR), chr(0)), coalesce(instruction, chr(0)),
            coalesce(output, chr(0)))), 1, 15)) AS BIGINT)), 0) % 4611686018427387904 AS BIGINT) AS digest
   FROM ({PAIRS}) p"""
+ORACLE["manifest_merge"] = ORACLE["manifest"]
+ORACLE["jsonl_null_split"] = """
+  SELECT CASE lang WHEN 'fr' THEN 'null' WHEN 'es' THEN '' WHEN 'de' THEN NULL ELSE lang END AS split, doc_id, text
+  FROM documents"""
 ORACLE["gen_stream"] = f"""
   SELECT conv_id, turn, text AS instruction, md5({teacher_prompt('text')}) AS output, 'ok' AS status
   FROM conversations WHERE role = 'user'"""

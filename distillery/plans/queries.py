@@ -160,15 +160,39 @@ def q_shard_stats(spark, sf_dir):
     return D.batch_stats(D.assign_batches(_sharded(spark, sf_dir), O.SFT_BATCH_SIZE))
 
 
+def _earlier_run(spark, rows):
+    """The output that an earlier, partial run committed."""
+    from distillery.session import scratch_path
+    from distillery.sources import progress
+
+    path = scratch_path(spark, "partial")
+    progress.append_part(rows.select("row_idx", "instruction"), path)
+    return path
+
+
 @query("resume_offset")
 def q_resume_offset(spark, sf_dir):
-    """A registry that grew: the earlier run covered the first two datasets;
-    count its rows (A10) and resume after them (D4, count mode)."""
+    """An earlier run answered the first two datasets and was interrupted:
+    count what it committed, from its log (A10), and resume after that many
+    rows (D4, count mode)."""
     from distillery.operators import order as D
+    from distillery.sources import progress
 
     c = _corpus(spark, sf_dir)
-    done = D.count_rows(c.filter(F.col("dataset_ord") < 2))
-    return D.resume_by_count(c, done).select("row_idx", "dataset", "instruction")
+    path = _earlier_run(spark, c.filter(F.col("dataset_ord") < 2))
+    return D.resume_by_count(c, progress.committed_rows(spark, path)).select("row_idx", "dataset", "instruction")
+
+
+@query("resume_ranges")
+def q_resume_ranges(spark, sf_dir):
+    """Earlier runs committed parts of the corpus out of order; the row ranges
+    in the log tell what is left (D4, range mode)."""
+    from distillery.sources import progress
+
+    c = _corpus(spark, sf_dir)
+    path = _earlier_run(spark, c.filter(F.col("dataset_ord") == 1))
+    progress.append_part(c.filter(F.col("split") == "de").select("row_idx", "instruction"), path)
+    return progress.resume_by_ranges(c, progress.committed_ranges(spark, path)).select("row_idx", "dataset", "instruction")
 
 
 @query("resume_anti")
@@ -184,8 +208,8 @@ def q_resume_anti(spark, sf_dir):
 # ------------------------------------------------------------- generation
 
 def _prompts(spark, sf_dir):
-    """Only the columns the answer needs: ``mapInPandas`` is opaque to
-    column pruning, so everything selected here crosses Arrow twice."""
+    """Only the columns the answer needs: ``mapInArrow`` is opaque to column
+    pruning, so everything selected here crosses Arrow twice."""
     return C.with_teacher_prompt(_corpus(spark, sf_dir)).select("row_idx", "instruction", "prompt")
 
 
@@ -207,7 +231,8 @@ def q_gen_error_rows(spark, sf_dir):
 @query("shard_merge")
 def q_shard_merge(spark, sf_dir):
     """Contiguous shards generated in their own tasks and written as one
-    folder per shard; the merge reads every shard back (C2)."""
+    folder per shard; merged into one committed folder in row order, after
+    which the shards are gone (C2)."""
     from distillery.operators import order as D
     from distillery.operators.generate import generate, md5_generator
     from distillery.session import scratch_path
@@ -217,7 +242,8 @@ def q_shard_merge(spark, sf_dir):
     outs = generate(D.partition_by_shard(s, WORLD), md5_generator)
     path = scratch_path(spark, "shards")
     sinks.write_shards(outs.select("row_idx", "shard_id", "instruction", "output"), path)
-    return D.merge_shards_from(spark, path).select("row_idx", "shard_id", "instruction", "output")
+    merged = sinks.merge_shards_to(spark, path, scratch_path(spark, "merged"))
+    return merged.select("row_idx", "shard_id", "instruction", "output")
 
 
 @query("gen_replay")
@@ -519,6 +545,14 @@ def q_sample_top_p(spark, sf_dir):
     return _kept(spark, sf_dir).select("ctx", "tok", F.round("p", 6).alias("p"))
 
 
+@query("sample_nucleus")
+def q_sample_nucleus(spark, sf_dir):
+    """I12 without top-k: whole contexts, cut by a histogram before ranking."""
+    from distillery.operators.sampling import top_p
+
+    return top_p(_cands(spark, sf_dir), TOP_P, O.KD_TEMPERATURE).select("ctx", "tok", F.round("p", 6).alias("p"))
+
+
 @query("sample_greedy")
 def q_sample_greedy(spark, sf_dir):
     from distillery.operators.sampling import greedy
@@ -550,10 +584,28 @@ def q_jsonl_roundtrip(spark, sf_dir):
     return DS.read_dataset(spark, root, "corpus", schema).select("split", "dataset", "row_key", "instruction")
 
 
+@query("jsonl_null_split")
+def q_jsonl_null_split(spark, sf_dir):
+    """A4: rows without a split, with an empty one and with one called `null`
+    are written to folders of their own and come back as they were."""
+    from distillery.session import scratch_path
+    from distillery.sources import datasets as DS
+    from distillery.sources import sinks
+
+    split = F.when(F.col("lang") == "fr", F.lit("null")).when(F.col("lang") == "es", F.lit("")).when(
+        F.col("lang") != "de", F.col("lang"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(split.alias("split"), "doc_id", "text")
+    root = scratch_path(spark, "nullsplit")
+    sinks.write_jsonl_splits(rows, f"{root}/docs")
+    return DS.read_dataset(spark, root, "docs").select("split", "doc_id", "text")
+
+
 @query("registry_run")
 def q_registry_run(spark, sf_dir):
-    """A9 + A3: the three sources saved as JSONL datasets, resolved from a
-    registry and run through the corpus (file order inside each split)."""
+    """A9 + A3 + B7: the three sources saved as JSONL datasets, with their
+    schemas in the catalogue, and a fourth entry without a key, resolved from
+    a registry and run through the corpus (file order inside each split,
+    indexed by scan blocks)."""
     from distillery.session import scratch_path
     from distillery.sources import datasets as DS
     from distillery.sources import sinks
@@ -561,14 +613,13 @@ def q_registry_run(spark, sf_dir):
     root = scratch_path(spark, "registry")
     for src in FX.corpus_sources(spark, sf_dir):
         rows = C.union_sources([src]).select("split", F.col("instruction").alias("text"), "row_key")
-        sinks.write_jsonl_splits(rows.orderBy("split", "row_key"), f"{root}/{src.name}")
-    entries = [O.RegistryEntry(n, "text") for n in ("documents", "benchmark", "conversations")]
-    schema = "text STRING, row_key BIGINT"
-    sources = []
-    for e in entries:
-        df = DS.resolve_source(spark, e, root, schema=schema, registry=[x.name for x in entries])
-        sources.append(C.Source(e.name, df, key="text", split=F.col("split")))
-    return C.build_corpus(sources).select("row_idx", "dataset", "split", "instruction")
+        sinks.write_jsonl_splits(FX.in_table_order(rows, "row_key"), f"{root}/{src.name}")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("split", F.lit("train"))
+    sinks.write_jsonl_splits(labels, f"{root}/labels")
+    entries = [O.RegistryEntry("documents", "text"), O.RegistryEntry("labels", None),
+               O.RegistryEntry("benchmark", "text"), O.RegistryEntry("conversations", "text")]
+    corpus = C.build_corpus(DS.registry_sources(spark, entries, root))
+    return corpus.select("row_idx", "dataset", "split", "instruction")
 
 
 @query("manifest")
@@ -581,6 +632,20 @@ def q_manifest(spark, sf_dir):
     return m.select("name", "source", "n_rows", "n_cols", tags_text("tags").alias("tags"), "digest")
 
 
+@query("manifest_merge")
+def q_manifest_merge(spark, sf_dir):
+    """The manifest of a dataset after an append, from the record before
+    and that of the appended rows."""
+    from distillery.sources.manifest import manifest, merge_manifests, tags_text
+
+    t = _pairs(spark, sf_dir).select("row_idx", "instruction", "output")
+    tags = {"version": "v1", "source": "teacher_outputs"}
+    half = F.col("row_idx") % 3 == 0
+    old = manifest(t.filter(half), "teacher", "teacher_outputs", tags=tags, digest="md5")
+    new = manifest(t.filter(~half), "part", "append", digest="md5")
+    return merge_manifests(old, new).select("name", "source", "n_rows", "n_cols", tags_text("tags").alias("tags"), "digest")
+
+
 @query("gen_stream")
 def q_gen_stream(spark, sf_dir):
     """user turns streamed from the table file, answered and committed
@@ -631,8 +696,9 @@ def q_kd_features(spark, sf_dir):
 
 @query("snapshot_roundtrip")
 def q_snapshot_roundtrip(spark, sf_dir):
-    """A5 + A3: a columnar snapshot of a source, resolved back through the
-    source order (no JSONL present -> snapshot)."""
+    """A5 + A3: a columnar snapshot of a source, resolved through the source
+    order (no JSONL present -> snapshot) and saved as JSONL; the second
+    resolve, without a snapshot, reads that."""
     from distillery.session import scratch_path
     from distillery.sources import datasets as DS
     from distillery.sources import sinks
@@ -640,7 +706,8 @@ def q_snapshot_roundtrip(spark, sf_dir):
     root = scratch_path(spark, "snap")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.col("text").alias("instruction"))
     sinks.write_snapshot(docs, f"{root}/snapshots/documents")
-    df = DS.resolve_source(spark, O.RegistryEntry("documents"), f"{root}/jsonl", f"{root}/snapshots")
+    DS.resolve_source(spark, O.RegistryEntry("documents"), f"{root}/jsonl", f"{root}/snapshots")
+    df = DS.resolve_source(spark, O.RegistryEntry("documents"), f"{root}/jsonl")
     return df.select("doc_id", "lang", "instruction", "split")
 
 

@@ -52,3 +52,32 @@ def replace_folder(spark: SparkSession, src: str, dst: str) -> None:
     if not fs.rename(s, d):
         raise OSError(f"could not move {src} to {dst}")
     fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dst + "/_SUCCESS")).close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and renamed into it."""
+    import uuid
+
+    fs, p = _fs_path(spark, path)
+    _, staged = _fs_path(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    out = fs.create(staged)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(staged, p):
+        raise OSError(f"could not move {staged} to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    fs, p = _fs_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

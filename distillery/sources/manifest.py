@@ -45,3 +45,20 @@ def tags_text(tags) -> Column:
     c = F.col(tags) if isinstance(tags, str) else tags
     return F.array_join(F.transform(F.array_sort(F.map_entries(c)),
                                     lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+def merge_manifests(old: DataFrame, part: DataFrame) -> DataFrame:
+    """The manifest of a dataset after an append, from its manifest before
+    (``old``) and that of the appended part, without reading the dataset
+    again: rows add up, and so do the digests. Name, source, context and tags
+    are the old record's. Both must be single rows with the same schema and
+    the same kind of digest; else it fails when it runs."""
+    kept = ("name", "source", "context", "tags", "n_cols", "schema_json")
+    both = old.withColumn("_k", F.lit(0)).unionByName(part.withColumn("_k", F.lit(1)))
+    m = both.agg(*[F.min_by(c, "_k").alias(c) for c in kept], F.sum("n_rows").alias("n_rows"),
+                 F.sum(F.col("digest").cast("decimal(20,0)")).alias("digest"),
+                 (F.count_distinct("schema_json") == 1).alias("_same"))
+    rows = F.when(F.col("_same"), F.col("n_rows")).otherwise(
+        F.raise_error(F.lit("manifests of different schemas")).cast("bigint"))
+    digest = F.pmod("digest", F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint")
+    return m.select("name", "source", "context", "tags", rows.alias("n_rows"), "n_cols", "schema_json", digest.alias("digest"))

@@ -1,4 +1,5 @@
-"""Writers: JSONL per split, columnar snapshots, shard folders."""
+"""Writers: JSONL per split, columnar snapshots, shard folders and their
+merge (A4-A7, C2, G5)."""
 
 from __future__ import annotations
 
@@ -16,6 +17,34 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard_id") -> str:
     return path
 
 
+def merge_shards_to(spark, shards: str, out: str, idx: str = "row_idx", remove: bool = True) -> DataFrame:
+    """All shard folders under ``shards`` as one committed folder, its
+    files in ``idx`` order; the shards are removed once it is there.
+
+    The rows are range-partitioned and sorted into a staging folder, which
+    one rename puts in place; a run that ends before that leaves the shards as
+    they are, one that ends after it has only the removal left to do. Shards
+    whose rows a finished ``out`` does not hold are never removed.
+    """
+    import uuid
+
+    from distillery.operators.order import merge_shards_from
+    from distillery.sources import fs
+
+    if fs.exists(spark, shards):
+        rows = merge_shards_from(spark, shards)
+        if not is_complete(spark, out):
+            parent, name = out.rstrip("/").rsplit("/", 1)
+            staging = f"{parent}/.{name}._staging-{uuid.uuid4().hex[:8]}"
+            rows.repartitionByRange(idx).sortWithinPartitions(idx).write.parquet(staging)
+            fs.replace_folder(spark, staging, out)
+        elif not rows.join(spark.read.parquet(out).select(idx), idx, "left_anti").isEmpty():
+            raise FileExistsError(f"{out} is complete but does not hold all rows of {shards}")
+        if remove:
+            fs.delete(spark, shards)
+    return spark.read.parquet(out)
+
+
 def write_jsonl_splits(df: DataFrame, path: str, split: str = "split", skip_existing: bool = True) -> list[str]:
     """A4: one JSONL folder per split, named ``{path}_{split}.jsonl`` (or
     ``{path}.jsonl`` when the only split is ``train``). Returns the folders
@@ -26,11 +55,15 @@ def write_jsonl_splits(df: DataFrame, path: str, split: str = "split", skip_exis
     renamed into place, each with its own ``_SUCCESS``. Splits whose
     folder is already complete are filtered out before the scan
     (skip-existing); null fields are kept and text is written as UTF-8.
+    Rows without a split, or with an empty one, have folders of their own
+    (``datasets.split_folder``) and are read back as they were. The schema
+    goes into the datasets' catalogue.
     """
     import uuid
     from urllib.parse import unquote
 
     from distillery.sources import fs
+    from distillery.sources.datasets import save_schema, split_folder
 
     spark = df.sparkSession
     parent, stem = path.rstrip("/").rsplit("/", 1)
@@ -42,8 +75,8 @@ def write_jsonl_splits(df: DataFrame, path: str, split: str = "split", skip_exis
             elif name.startswith(stem + "_") and name.endswith(".jsonl") \
                     and fs.is_complete(spark, f"{parent}/{name}"):
                 done.append(name[len(stem) + 1:-len(".jsonl")])
-    # rows without a split go to a folder of their own, `null`
-    df = df.withColumn(split, F.coalesce(F.col(split).cast("string"), F.lit("null")))
+    save_schema(spark, parent, stem, df.drop(split).schema)
+    df = df.withColumn(split, split_folder(F.col(split)))
     todo = df.filter(~F.col(split).isin(done)) if done else df
     staging = f"{parent}/.{stem}._staging-{uuid.uuid4().hex[:8]}"
     todo.write.mode("overwrite").partitionBy(split).options(**JSON_WRITE).json(staging)

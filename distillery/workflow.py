@@ -37,7 +37,7 @@ def prepare_prompts(spark: SparkSession, registry: list[O.RegistryEntry], jsonl_
     once (a complete output is kept as is)."""
     if fs.is_complete(spark, out_path):
         return out_path
-    sources = DS.registry_sources(spark, registry, jsonl_dir, snapshot_dir)
+    sources = DS.registry_sources(spark, registry, jsonl_dir, snapshot_dir)  # schemas from the catalogue
     corpus = C.build_corpus(sources, limit)
     sinks.write_once(corpus.select("row_idx", "instruction"), out_path)
     return out_path

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from distillery.operators import sampling as P
 
@@ -56,3 +57,33 @@ def test_choose_tokens_dispatch(spark):
     assert s == g                     # top-k 1 leaves only the best token
     t = {r.ctx: r.tok for r in P.choose_tokens(df, O.SamplingOptions(top_k=0, top_p=1.0, seed=3)).collect()}
     assert set(t) == {0, 1}
+
+
+@pytest.mark.parametrize("p,t,scale", [(0.6, 1.0, 1.0), (0.95, 0.5, 3.0), (1.0, 1.0, 60.0), (1e-9, 1.0, 1.0), (0.9, 5.0, 0.001)])
+def test_nucleus_of_whole_contexts(spark, p, t, scale):
+    """Against ranking everything: ties, far tails, null contexts."""
+    import random
+
+    from distillery.operators.sampling import top_p
+
+    rng = random.Random(8)
+    rows = [(c, k, round(rng.gauss(0, scale), 3 if scale > 0.1 else 5)) for c in (1, 2, None) for k in range(200)]
+    rows += [(4, k, 1.5) for k in range(50)] + [(5, 0, -700.0), (5, 1, 700.0)]
+    want = {}
+    for c in (1, 2, None, 4, 5):
+        mine = sorted(((lg / t, k) for x, k, lg in rows if x == c), key=lambda v: (-v[0], v[1]))
+        e = [math.exp(v - mine[0][0]) for v, _ in mine]
+        z, cum, kept = sum(e), 0.0, []
+        for (_, k), x in zip(mine, e):
+            if kept and cum >= p:
+                break
+            kept.append((k, x))
+            cum += x / z
+        whole = sum(x for _, x in kept)
+        want.update({(c, k): x / whole for k, x in kept if x / z > 1e-12 or len(kept) == 1})
+    df = spark.createDataFrame(rows, "ctx INT, tok INT, lg DOUBLE").withColumn("other", F.lit("x"))
+    out = top_p(df, p, t)
+    assert out.columns == ["ctx", "tok", "lg", "other", "p"]
+    got = {(r.ctx, r.tok): r.p for r in out.collect()}
+    assert {k for k, v in got.items() if v > 1e-12} == {k for k, v in want.items() if v > 1e-12}
+    assert all(math.isclose(got[k], v, rel_tol=1e-9) for k, v in want.items() if v > 1e-12)
