@@ -47,43 +47,63 @@ FROM cut LEFT JOIN seq USING (r) LEFT JOIN per USING (r)"""
 
 def _urls() -> str:
     rules = ", ".join(f"({_quoted(r.name)}, {_quoted(r.verdict)}, {_quoted(r.host)}, {_quoted(r.path)})" for r in url.RULES)
-    parts = lambda u: (
-        f"translate(regexp_extract(coalesce({u}, ''), '^.*?://([^/?#]*)', 1, 's'), '{url._UPPER}', '{url._LOWER}') AS host, "
-        f"regexp_extract(coalesce({u}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path")
+    host = lambda u: f"translate(regexp_extract(coalesce({u}, ''), '^.*?://([^/?#]*)', 1, 's'), '{url._UPPER}', '{url._LOWER}')"
+    path = lambda u: f"regexp_extract(coalesce({u}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+    query = lambda u: f"regexp_extract(coalesce({u}, ''), '^.*?://[^?#]*(\\?[^#]*)', 1, 's')"
+    dot = lambda x: f"regexp_replace({x}, '%2e', '.', 'gi')"
+
+    def plain(p: str) -> str:
+        """A path without its dot segments."""
+        parts = f"str_split({p}, '/')"
+        kept = (f"list_reduce(list_transform({parts}[2:], lambda s: [s]), lambda a, s: CASE {dot('s[1]')} WHEN '.' THEN a "
+                f"WHEN '..' THEN a[:greatest(len(a) - 1, 0)] ELSE list_concat(a, s) END, CAST([] AS VARCHAR[]))")
+        tail = f"CASE WHEN {dot(parts + '[-1]')} IN ('.', '..') AND len({kept}) > 0 THEN '/' ELSE '' END"
+        return (f"CASE WHEN regexp_matches({p}, '/(\\.|%2e){{1,2}}(/|$)', 'i') "
+                f"THEN '/' || array_to_string({kept}, '/') || {tail} ELSE {p} END")
+
+    def absolute(t: str, base: str) -> str:
+        site = f"regexp_extract({base}, '^(.*?://[^/?#]*)', 1, 's')"
+        folder = f"CASE WHEN contains({path(base)}, '/') THEN regexp_replace({path(base)}, '[^/]*$', '', 's') ELSE '/' END"
+        return f"""CASE
+    WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t}
+    WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with({t}, '//') THEN regexp_extract({base}, '^(.*?)://', 1, 's') || ':' || {t}
+    WHEN starts_with({t}, '/') THEN {site} || {t}
+    WHEN regexp_matches({t}, '^[?#]') THEN {site} || {path(base)} || {t}
+    ELSE {site} || {folder} || {t} END"""
+
+    node = lambda u: f"{host(u)} || coalesce(nullif({plain(path(u))}, ''), '/') || {query(u)}"
+    plain_amp = lambda x: f"regexp_replace({x}, '&(amp|#0*38|#x0*26);', '&', 'gi')"
     fits = "(t.host = r.host OR ends_with(t.host, '.' || r.host)) AND starts_with(t.path, r.path)"
     best = lambda t: (
         f"SELECT t.*, (SELECT struct_pack(rule := r.name, verdict := r.verdict) FROM rules r WHERE {fits} "
         f"ORDER BY length(r.name) DESC, length(r.host) DESC, r.verdict LIMIT 1) AS own FROM {t} t")
     return f"""
 WITH RECURSIVE rules(name, verdict, host, path) AS (VALUES {rules}),
-p AS (SELECT page_id, url, html, {parts('url')} FROM pages),
+p AS (SELECT page_id, url, html, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages),
 judged AS ({best('p')}),
 named AS (
-  SELECT url, host, path, unnest(
+  SELECT url, node, {plain_amp("regexp_extract(coalesce(html, ''), '<base\\b[^>]*?\\bhref\\s*=\\s*[\"'']?\\s*([^\"''\\s>]+)', 1, 'i')")} AS b, unnest(
     [regexp_extract(x, '\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'i')
      FOR x IN regexp_extract_all(coalesce(html, ''), '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'i')]
     || [regexp_extract(x, ';\\s*url\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'i')
-        FOR x IN regexp_extract_all(coalesce(html, ''), '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'i')]) AS target
+        FOR x IN regexp_extract_all(coalesce(html, ''), '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'i')]) AS t
   FROM p WHERE host <> ''),
-full_links AS (
-  SELECT host AS h, path AS q, CASE
-    WHEN contains(target, '://') THEN target
-    WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || target
-    WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || target END AS target
-  FROM named),
-linked AS (SELECT h, q, {parts('target')} FROM full_links WHERE target IS NOT NULL),
+based AS (SELECT node, {plain_amp('t')} AS t, CASE WHEN b = '' THEN url ELSE coalesce({absolute('b', 'url')}, url) END AS base FROM named WHERE t <> ''),
+full_links AS (SELECT node, {absolute('t', 'base')} AS target FROM based),
+linked AS (
+  SELECT node AS a, {node('target')} AS b, {host('target')} AS host, {plain(path('target'))} AS path
+  FROM full_links WHERE target IS NOT NULL AND {host('target')} <> ''),
 ends AS ({best('linked')}),
-edges AS (
-  SELECT h || coalesce(nullif(q, ''), '/') AS a, host || coalesce(nullif(path, ''), '/') AS b FROM ends WHERE host <> ''
-  UNION SELECT host || coalesce(nullif(path, ''), '/'), h || coalesce(nullif(q, ''), '/') FROM ends WHERE host <> ''),
+edges AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
 reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 verdicts AS (
-  SELECT host || coalesce(nullif(path, ''), '/') AS node, own.verdict AS v FROM judged WHERE host <> '' AND own IS NOT NULL
-  UNION SELECT host || coalesce(nullif(path, ''), '/'), own.verdict FROM ends WHERE host <> '' AND own IS NOT NULL),
+  SELECT node, own.verdict AS v FROM judged WHERE host <> '' AND own IS NOT NULL
+  UNION SELECT b, own.verdict FROM ends WHERE own IS NOT NULL),
 spread AS (SELECT a, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS v FROM reach JOIN verdicts ON b = node GROUP BY a)
 SELECT page_id, host, path, own.rule AS rule,
        coalesce(own.verdict, CASE WHEN host <> '' THEN spread.v END, 'allow') AS verdict
-FROM judged LEFT JOIN spread ON spread.a = host || coalesce(nullif(path, ''), '/')"""
+FROM judged LEFT JOIN spread ON spread.a = node"""
 
 
 def _filter_steps() -> str:

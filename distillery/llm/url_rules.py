@@ -3,8 +3,9 @@
 Native: SQL functions and joins only. A page is judged by the longest rule
 that fits its URL. Pages without a rule of their own take part in
 redirect equivalence: URLs joined by redirects (``<meta http-equiv=refresh>``),
-canonical links (``<link rel=canonical>``) or by naming the same host and
-path form one component (distributed connected components). Inside a
+canonical links (``<link rel=canonical>``) or by naming the same host, path
+and query form one component (distributed connected components); rules look
+at host and path alone. Inside a
 component an explicit allow takes precedence over a block: the component
 blocks its members without a rule only if one of its URLs is blocked by a
 rule and none is allowed by one. Otherwise they are allowed.
@@ -85,24 +86,47 @@ def base_target(html: Column) -> Column:
     return _decoded(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
 
 
-def resolve(target: Column, base: Column) -> Column:
-    """The absolute form of a link on a page of URL ``base``: with a scheme
-    and ``://`` as it is, ``//host/path`` by the scheme, ``/path`` by the
-    host, and any other by the directory of the path (``?query`` and
-    ``#part`` alone by the path). Schemes without ``://`` (``mailto:``) are
-    null."""
-    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    path = url_path(base)
+def url_query(url: Column) -> Column:
+    """The query, from its ``?`` on; empty without one."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+
+
+def resolve(target: Column, site: Column, path: Column) -> Column:
+    """The absolute form of a link on a page of ``site`` (scheme and host) and
+    ``path``: with a scheme and ``://`` as it is, ``//host/path`` by the
+    scheme, ``/path`` by the host, and any other by the directory of the path
+    (``?query`` and ``#part`` alone by the path). Schemes without ``://``
+    (``mailto:``) are null."""
     folder = F.when(path.contains("/"), F.regexp_replace(path, r"(?s)[^/]*$", "")).otherwise("/")
-    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+    named = F.regexp_extract(target, r"^[A-Za-z][A-Za-z0-9+.-]*:(//)?", 0)
+    return (F.when(named.endswith("//"), target)
+            .when(named != "", F.lit(None).cast("string"))
+            .when(target.startswith("//"), F.concat(F.substring_index(site, "//", 1), target))
             .when(target.startswith("/"), F.concat(site, target))
-            .when(target.rlike(r"^[?#]"), F.concat(site, path, target))
+            .when(F.substring(target, 1, 1).isin("?", "#"), F.concat(site, path, target))
             .otherwise(F.concat(site, folder, target)))
 
 
+def _site(url: Column) -> Column:
+    return F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+
+
+def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``(u, v, host, path)``: the nodes of each page's URL and of a URL that
+    it names, and the latter's host and path. Links are cut off the pages
+    first, then resolved in two steps: the base of the page, the link."""
+    u, h = col(url), col(html)
+    raw = cut(pages.filter(u.contains("://")).select(u.alias("url"), base_target(h).alias("b"), F.explode(link_targets(h)).alias("t")))
+    based = F.when(F.col("b") == "", F.col("url")).otherwise(
+        F.coalesce(resolve(F.col("b"), _site(F.col("url")), url_path(F.col("url"))), F.col("url")))
+    raw = cut(raw.select("url", "t", based.alias("base")))
+    full = cut(raw.select(_node(F.col("url")).alias("u"),
+                          resolve(F.col("t"), _site(F.col("base")), url_path(F.col("base"))).alias("target")).filter("target IS NOT NULL"))
+    t = F.col("target")
+    return cut(full.select("u", _node(t).alias("v"), url_host(t).alias("host"), without_dots(url_path(t)).alias("path"))
+               .filter("u IS NOT NULL AND v IS NOT NULL"))
+
+
 def without_dots(path: Column) -> Column:
     """The path without its ``.`` and ``..`` segments."""
     dot = lambda s: F.regexp_replace(s, "(?i)%2e", ".")
@@ -118,10 +142,11 @@ def without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
 
 
-def _node(host: Column, path: Column) -> Column:
-    """A URL's node: host and path without dot segments (an empty path is
-    ``/``), by hash."""
-    return F.when(host != "", F.xxhash64(host, F.when(path == "", F.lit("/")).otherwise(without_dots(path))))
+def _node(url: Column) -> Column:
+    """A URL's node: host, path without dot segments (an empty path is ``/``)
+    and query, by hash; null without a host."""
+    host, path = url_host(url), url_path(url)
+    return F.when(host != "", F.xxhash64(host, F.when(path == "", F.lit("/")).otherwise(without_dots(path)), url_query(url)))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", page_id: str = "page_id",
@@ -135,25 +160,13 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
     into the component all the same.
     """
     u = col(url)
-    rows = pages.select(col(page_id).alias("page_id"), url_host(u).alias("host"), url_path(u).alias("path"))
+    rows = pages.select(col(page_id).alias("page_id"), url_host(u).alias("host"), url_path(u).alias("path"), _node(u).alias("node"))
     rows = rows.withColumn("own", match_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("node", _node(F.col("host"), F.col("path")))
-    links = None
-    if html is not None and html in pages.columns:
-        t = F.col("target")
-        links = (pages.filter(u.contains("://"))
-                 .select(u.alias("url"), base_target(col(html)).alias("b"), F.explode(link_targets(col(html))).alias("t"))
-                 .withColumn("base", F.when(F.col("b") == "", F.col("url"))
-                             .otherwise(F.coalesce(resolve(F.col("b"), F.col("url")), F.col("url"))))
-                 .withColumn("target", resolve(F.col("t"), F.col("base")))
-                 .select(_node(url_host(F.col("url")), url_path(F.col("url"))).alias("u"),
-                         url_host(t).alias("host"), without_dots(url_path(t)).alias("path"))
-                 .withColumn("v", _node(F.col("host"), F.col("path"))).filter("u IS NOT NULL AND v IS NOT NULL"))
-        links = cut(links)
+    links = link_edges(pages, url, html) if html is not None and html in pages.columns else None
     answer = F.coalesce(F.col("own.verdict"), F.col("spread"), F.lit("allow"))
     if links is None or links.isEmpty():
-        # without links an alias is a page of the same host and path, and such
-        # pages have the same rule
+        # without links an alias is a page of the same URL, and such pages have
+        # the same rule
         rows = rows.withColumn("spread", F.lit(None).cast("string"))
         return rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), answer.alias("verdict"))
     comp = connected_components(links.select("u", "v"))
