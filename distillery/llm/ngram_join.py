@@ -44,7 +44,7 @@ from pyspark.sql.functions import arrow_udf
 from distillery.llm import textarrays as ta
 from distillery.llm import vocab
 from distillery.llm.components import connected_components
-from distillery.llm.shared import col, cut, small_side
+from distillery.llm.shared import KeyFilter, col, cut, free_name, small_side
 
 SHINGLE_WORDS = 5
 RANGE_TOKENS = 2_000_000   # shingles a task counts at once
@@ -144,21 +144,15 @@ def _ranges(tokens: int) -> int:
     return max(1, math.ceil(tokens / RANGE_TOKENS))
 
 
-class RowFilter:
-    """Passes the rows whose key is among ``keys(row_key)``. Keys are told by
-    a bitmap of 64 bits a value, of 8 MB at most: it may let other keys pass,
-    never stops one of these."""
+class RowFilter(KeyFilter):
+    """Chooses rows by their keys inside tasks, each key once a task."""
 
     def __init__(self, keys: DataFrame, rows: int):
-        self.bits = bits = 1 << min(26, max(15, (64 * rows).bit_length()))
-        at = F.pmod("row_key", F.lit(bits)) + 1  # Spark's buckets of 32,768 bits count from 1
-        made = (keys.select(at.alias("p"))
-                .groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-                .collect())
-        self.whole = np.zeros(bits // 8, dtype=np.uint8)
-        for r in made:
-            part = np.frombuffer(r["m"], dtype=np.uint8)
-            self.whole[(r["b"] - 1) * len(part): r["b"] * len(part)] = part
+        super().__init__(keys, rows)
+        self.whole = np.zeros(self.bits // 8, dtype=np.uint8)
+        for b, m in self.parts:
+            self.whole[b * len(m): (b + 1) * len(m)] = np.frombuffer(m, dtype=np.uint8)
+        self.parts = []
 
     def hits(self, keys: pa.Array) -> np.ndarray:
         p = np.asarray(keys) & np.int64(self.bits - 1)
@@ -512,17 +506,30 @@ def near_duplicate_components(df: DataFrame, text: str = "text", doc_id: str = "
 def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with one row of each near-duplicate group: the one with the
     smallest id (nulls last), then the smallest row key; of rows with equal
-    id and text, one. Rows without shingles are all kept."""
+    id and text, one. Rows without shingles are all kept.
+
+    Texts stay where they are: a bitmap of the keys that go (or are repeated)
+    keeps all other rows, and a bitmap of what the first one lets pass by
+    mistake drops all but a few of the rest. Only rows that both let pass are
+    looked up, and only those that repeat are compared with each other.
+    """
     found = cut(near_duplicate_components(df, text, doc_id).filter("n_shingles > 0"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     # by root: unlinked texts may share a component id, or have none
-    best = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("row_key"))
-    gone = cut(found.select("row_key").distinct().join(best, "row_key", "left_anti"))
-    key = "_row_key"
-    keyed = df.withColumn(key, F.xxhash64(col(doc_id), col(text)))
-    kept = keyed.join(small_side(gone.select(F.col("row_key").alias(key)), gone.count(), 16), key, "left_anti")
+    best = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("row_key"), F.lit(True).alias("stays"))
+    keys = cut(found.groupBy("row_key").agg((F.count(F.lit(1)) > 1).alias("again")).join(best, "row_key", "left")
+               .select("row_key", "again", F.coalesce("stays", F.lit(False)).alias("stays")))
+    noted = keys.filter("again OR NOT stays")
+    first = KeyFilter(noted, noted.count())
+    doubt = cut(first.mark(keys.filter("stays"), F.col("row_key"), "hit").filter("again OR hit"))
+    second = KeyFilter(doubt, doubt.count())
+    gone = cut(second.mark(keys.filter("NOT stays"), F.col("row_key"), "hit").filter("hit").select("row_key"))
+
+    key, a, b = (free_name(df, n) for n in ("_row_key", "_first", "_second"))
     blank = F.coalesce(F.length(F.regexp_replace(col(text), "[\\x20\\x09-\\x0D]+", "")), F.lit(0)) == 0
-    extra = found.groupBy("row_key").count().filter("count > 1")
-    if extra.isEmpty():
-        return kept.drop(key)
-    return kept.filter(blank).unionByName(kept.filter(~blank).dropDuplicates([key])).drop(key)
+    judged = df.withColumn(key, F.xxhash64(col(doc_id), col(text)))
+    judged = second.mark(first.mark(judged, col(key), a), col(key), b)
+    kept = judged.filter(~col(a) | blank)
+    asked = judged.filter(col(a) & col(b) & ~blank).join(
+        small_side(gone.withColumnRenamed("row_key", key), gone.count(), 16), key, "left_anti").dropDuplicates([key])
+    return kept.select(*map(col, df.columns)).unionByName(asked.select(*map(col, df.columns)))
