@@ -95,6 +95,8 @@ ORACLE["chat_render"] = """
   SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
          string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn) AS text
   FROM conversations GROUP BY conv_id"""
+ORACLE["chat_turn_lines"] = """
+  SELECT conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text AS line FROM conversations"""
 ORACLE["rules_quarantine"] = """
   SELECT doc_id, errs = '' AS is_valid, errs AS errors FROM (
     SELECT d.doc_id, concat_ws(';',
@@ -210,6 +212,10 @@ SPLIT = f"""
 """
 ORACLE["split_test"] = f"SELECT row_idx, text FROM ({SPLIT}) s WHERE rk <= k"
 ORACLE["split_train"] = f"SELECT row_idx, text FROM ({SPLIT}) s WHERE rk > k"
+ORACLE["split_plain_teacher"] = f"""
+  SELECT CASE WHEN rk <= k THEN 'test' ELSE 'train' END AS side, instruction, output FROM (
+    SELECT instruction, output, {split_rank('i', O.SFT_SPLIT_SEED)} AS rk, CAST(ceil(count(*) OVER () * {O.TEST_SIZE}) AS BIGINT) AS k
+    FROM (SELECT instruction, output, row_number() OVER (ORDER BY instruction, output) - 1 AS i FROM ({PAIRS}) p) n) s"""
 ORACLE["teacher_load"] = f"""
   SELECT row_idx, instruction, md5({teacher_prompt('instruction')}) AS output
   FROM ({CORPUS}) c WHERE NOT contains(instruction, 'ü')"""
@@ -330,6 +336,13 @@ ORACLE["kd_reduce"] = f"""
   SELECT round(sum(term) / count(DISTINCT sample_id) * {T * T}, 6) AS batchmean,
          round(sum(term) * {T * T}, 6) AS sum, round(sum(term) / count(*) * {T * T}, 6) AS mean
   FROM ({TERMS}) t"""
+ORACLE["kd_mismatch"] = f"""
+  SELECT sample_id, pos, CAST(len(s) AS BIGINT) AS n_student, CAST(len(a) - 1 AS BIGINT) AS n_assistant
+  FROM ({LOGITS}) l WHERE label = {O.IGNORE_INDEX}"""
+ORACLE["kd_mismatch_reduce"] = f"""
+  SELECT round(sum(term) / count(DISTINCT sample_id) * {T * T}, 6) AS batchmean, round(sum(term) * {T * T}, 6) AS sum,
+         round(sum(term) / count(*) * {T * T}, 6) AS mean
+  FROM ({TERMS}) t WHERE label <> {O.IGNORE_INDEX}"""
 CE = f"""
   SELECT l.sample_id, l.pos, l.target, -(l.s_raw[l.target + 1] - l.lse) AS ce FROM (
     SELECT sample_id, pos, lead(label) OVER (PARTITION BY sample_id ORDER BY pos) AS target,

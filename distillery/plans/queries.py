@@ -109,6 +109,14 @@ def q_chat_render(spark, sf_dir):
                        TX.render_messages("messages").alias("text"))
 
 
+@query("chat_turn_lines")
+def q_chat_turn_lines(spark, sf_dir):
+    """E7 turn by turn, without a conversation in one row."""
+    from distillery.operators.chat import render_turn_lines
+
+    return render_turn_lines(FX.conversation_turns(spark, sf_dir)).select("conv_id", "turn", "line")
+
+
 @query("rules_quarantine")
 def q_rules_quarantine(spark, sf_dir):
     from distillery.operators import rules as R
@@ -333,6 +341,21 @@ def q_teacher_load(spark, sf_dir):
     return load_teacher(spark, path).select("row_idx", "instruction", "output")
 
 
+@query("split_plain_teacher")
+def q_split_plain_teacher(spark, sf_dir):
+    """H0 + H1 on a teacher file of plain instruction / output rows: it is
+    numbered in the order of both texts, then split."""
+    from distillery.operators.split import exact_split, load_teacher
+    from distillery.session import scratch_path
+    from distillery.sources import sinks
+
+    path = scratch_path(spark, "plain")
+    sinks.append_jsonl(_pairs(spark, sf_dir).select("instruction", "output"), path)
+    train, test = exact_split(load_teacher(spark, path), "row_idx", O.TEST_SIZE, O.SFT_SPLIT_SEED)
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "instruction", "output")
+    return side(train, "train").unionByName(side(test, "test"))
+
+
 # ----------------------------------------------------------------- tokens
 
 VOCAB_SIZE = 4096
@@ -495,6 +518,32 @@ def q_kd_reduce(spark, sf_dir):
     return r.select(*[F.round(c, 6).alias(c) for c in ("batchmean", "sum", "mean")])
 
 
+def _mismatched(spark, sf_dir):
+    """Logits whose assistant lacks an entry on some rows."""
+    cut = F.slice("assistant", F.lit(1), F.size("assistant") - 1)
+    return _logits(spark, sf_dir).withColumn(
+        "assistant", F.when(F.col("label") == O.IGNORE_INDEX, cut).otherwise(F.col("assistant")))
+
+
+@query("kd_mismatch")
+def q_kd_mismatch(spark, sf_dir):
+    """Rows whose assistant has another vocabulary size than the student are
+    set aside (I4)."""
+    from distillery.operators import scoring as S
+
+    return S.vocab_mismatch(_mismatched(spark, sf_dir)).select(
+        "sample_id", "pos", F.size("student").cast("bigint").alias("n_student"), F.size("assistant").cast("bigint").alias("n_assistant"))
+
+
+@query("kd_mismatch_reduce")
+def q_kd_mismatch_reduce(spark, sf_dir):
+    """The KL reductions leave such rows out, of the denominators too."""
+    from distillery.operators import scoring as S
+
+    r = S.kd_reductions(_mismatched(spark, sf_dir), O.KD_TEMPERATURE)
+    return r.select(*[F.round(c, 6).alias(c) for c in ("batchmean", "sum", "mean")])
+
+
 @query("ce_loss")
 def q_ce_loss(spark, sf_dir):
     from distillery.operators import scoring as S
