@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from distillery.llm import textarrays as ta
-from distillery.llm.shared import col, cut
+from distillery.llm.shared import col, cut, likely
 
 FEATURES = ("log_bytes", "log_words", "bytes_per_word", "chars_per_byte", "upper", "digits", "stops", "commas",
             "shouts", "pipes", "symbols", "other_punct", "newlines", "lines_per_word", "distinct_words",
@@ -239,7 +239,7 @@ def fit_on_labels(feats: DataFrame, labels: DataFrame, rows_per_task: int = 20_0
     y = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y IN (0, 1)")
     y = y.filter(~held_out(F.col("doc_id")))
     tasks = max(1, math.ceil(y.count() / rows_per_task))
-    rows = cut(feats.join(y, "doc_id").select("x", "y").coalesce(tasks))
+    rows = cut(likely(feats, y, "doc_id").join(y, "doc_id").select("x", "y").repartition(tasks))
     return fit(rows, **options)
 
 
@@ -270,6 +270,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier predicts 1."""
-    feats = docs.select(col("doc_id").alias("doc_id"), features_column("text").alias("x"))
+    # of documents without a label only the score is needed
+    feats = likely(docs, labels, "doc_id").select(col("doc_id").alias("doc_id"), features_column("text").alias("x"))
     model = fit_on_labels(feats, labels, **options)
     return docs.filter(score_text(model, "text") >= 0.5)
