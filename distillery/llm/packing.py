@@ -12,8 +12,10 @@ may go negative and is carried on.
 Windows run on across buckets. A bucket's first position and the credits
 carried into it follow from prefix sums of token counts by (bucket, source),
 because a bucket serves all of its documents; so buckets are packed in
-parallel and no sequence but the last one is padded. A carried credit is
-paid evenly over the bucket's windows, not at once.
+parallel and no sequence but the last one is padded. What a source got too
+little (or too much) of in all earlier buckets is its deficit: it is paid back
+evenly over the bucket's windows, not at once. A window keeps to the targets,
+to within a piece, as long as every source of its bucket has tokens left.
 """
 
 from __future__ import annotations
@@ -126,27 +128,33 @@ def pack(df: DataFrame, tokenizer: str, weights: dict[str, float] | None = None,
 
     ``weights``: target token proportions by source; by default each
     source's share of all tokens, so that every part of the output mirrors
-    the corpus. A source without a weight gets none of the credit and is
-    served when the others of its bucket are used up. A null or empty text
+    the corpus, whatever its bucket was dealt. A source without a weight gets
+    none of the credit and is served when the others of its bucket are used
+    up. A null or empty text
     is its end id alone; null ids and sources are kept (a null source is a
     queue of its own); repeated rows are packed once each; an empty table
     gives no pieces.
     """
     rows = cut(df.select(col(doc_id).cast("bigint").alias("doc_id"), col(source).cast("string").alias("source"),
                          _encode_column(text, tokenizer).alias("t")).select("doc_id", "source", "t.*"))
-    by_source = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    total = sum(by_source.values())
+    total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_tokens))
-    wanted = by_source if weights is None else {s: weights.get(s, 0.0) for s in by_source}
-    scale = sum(wanted.values()) or 1
-    shares = {s: w / scale for s, w in wanted.items()}
 
     key = F.xxhash64("doc_id", "n", "source")
     rows = rows.withColumn("h", key).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
-    sums = cut(rows.groupBy("bucket", "source").agg(F.sum("n").alias("n")))
+    sums = cut(rows.groupBy("bucket", "source").agg(F.sum("n").alias("n")).withColumn("g", F.expr(f"bucket div {_GROUP}")))
+    # one row per source: its share of the output that is wanted
+    by_source = sums.groupBy(F.col("source").alias("src")).agg(F.sum("n").alias("n"))
+    if weights is None:
+        wanted = by_source.select("src", (F.col("n") / F.lit(max(total, 1))).alias("share"))
+    else:
+        given = df.sparkSession.createDataFrame(list(weights.items()), "name string, weight double")
+        present = by_source.join(given, F.col("src").eqNullSafe(F.col("name")), "left").select("src", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        scale = present.agg(F.sum("weight")).first()[0] or 1.0
+        wanted = present.select("src", (F.col("weight") / F.lit(scale)).alias("share"))
     # tokens of all earlier buckets: inside groups of buckets by a window, the
     # few group totals on the driver
-    by_bucket = sums.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("g", F.expr(f"bucket div {_GROUP}"))
+    by_bucket = sums.groupBy("bucket", "g").agg(F.sum("n").alias("n"))
     groups = sorted(tuple(r) for r in by_bucket.groupBy("g").agg(F.sum("n")).collect())
     before, acc = [], 0
     for g, n in groups:
@@ -157,21 +165,28 @@ def pack(df: DataFrame, tokenizer: str, weights: dict[str, float] | None = None,
     prior = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begin = (by_bucket.join(F.broadcast(first), "g")
              .select("bucket", (F.col("first") + F.coalesce(F.sum("n").over(prior), F.lit(0))).alias("begin")))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (sums.withColumn("served", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-            .join(begin, "bucket").select(F.col("bucket").alias("at_bucket"), "begin", F.col("source").alias("src"), "served"))
+    # the same by source: groups before, then buckets before inside the group
+    within = Window.partitionBy("source", "g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (sums.groupBy("source", "g").agg(F.sum("n").alias("n"))
+               .select(F.col("source").alias("s"), F.col("g").alias("h"), F.coalesce(F.sum("n").over(across), F.lit(0)).alias("early")))
+    plan = (sums.withColumn("late", F.coalesce(F.sum("n").over(within), F.lit(0)))
+            .join(earlier, F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("h")))
+            .join(wanted, F.col("source").eqNullSafe(F.col("src"))).drop("src")
+            .join(begin, "bucket").select(F.col("bucket").alias("at_bucket"), "begin", F.col("source").alias("src"),
+                                          (F.col("early") + F.col("late")).alias("served"), "share"))
 
     def fill(docs: pa.Table, at: pa.Table) -> pa.Table:
-        return _fill(docs, at, None if weights is None else shares, min_piece, with_ids)
+        return _fill(docs, at, min_piece, with_ids)
 
     kind = _PIECES if with_ids else _PIECES.removesuffix(", ids array<int>")
     return (rows.groupBy("bucket").cogroup(cut(plan).groupBy("at_bucket")).applyInArrow(fill, kind))
 
 
-def _fill(docs: pa.Table, at: pa.Table, shares: dict | None, min_piece: int, with_ids: bool) -> pa.Table:
+def _fill(docs: pa.Table, at: pa.Table, min_piece: int, with_ids: bool) -> pa.Table:
     if not docs.num_rows:
         return pa.table({n: pa.array([], t) for n, t in _out(with_ids)})
-    served = dict(zip(at["src"].to_pylist(), at["served"].to_pylist(), strict=True))
+    plan = {s: (share, served) for s, share, served in zip(at["src"].to_pylist(), at["share"].to_pylist(), at["served"].to_pylist(), strict=True)}
     begin = at["begin"][0].as_py()
     docs = docs.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
     names = docs["source"].to_pylist()
@@ -183,14 +198,11 @@ def _fill(docs: pa.Table, at: pa.Table, shares: dict | None, min_piece: int, wit
     for r, (s, n) in enumerate(zip(names, sizes, strict=True)):
         queues[number[s]].append(n)
         rows_of[number[s]].append(r)
-    # the share of each window: the target and an even part of the credit that
-    # is carried in. Without explicit weights the credit carried out is known
-    # too, and both together make it the source's share of this bucket.
-    whole = np.array([sum(q) for q in queues], dtype=np.float64)
-    if shares is None:
-        share = whole / whole.sum()
-    else:
-        share = np.array([shares[s] + (shares[s] * begin - served[s]) / whole.sum() for s in sources])
+    # the share of each window: the target, and an even part of the deficit
+    # that is carried in; a source that is ahead by more than the bucket waits
+    whole = sum(sizes)
+    share = np.array([max(0.0, plan[s][0] + (plan[s][0] * begin - plan[s][1]) / whole) for s in sources])
+    share = share / share.sum() if share.sum() > 0 else np.array([sum(q) / whole for q in queues])
     credit = np.zeros(len(sources))
     pieces = serve(queues, credit, share, begin, min_piece=min_piece)
     by_row: dict[int, list[int]] = {}
