@@ -257,12 +257,27 @@ def in_bands(grp: Column, m: Column, found: dict, rules: FertilityRules) -> Colu
 
 
 SHORT = ":short"
+LANGUAGES = 1000  # a language with a smaller share of the texts is judged by its script
 
 
-def _group(df: DataFrame, lang: str | None, m: Column) -> Column:
-    """The cell of a text: the language, or the script where there is no
-    language; the script; and the octave of the characters."""
-    name = m["script"] if lang is None or lang not in df.columns else F.coalesce(col(lang).cast("string"), m["script"])
+def _language(df: DataFrame, lang: str | None, m: Column) -> Column:
+    """The language of a text, or its script where there is none."""
+    return m["script"] if lang is None or lang not in df.columns else F.coalesce(col(lang).cast("string"), m["script"])
+
+
+def known_languages(rows: DataFrame) -> list[str]:
+    """The languages of ``rows(language)`` with at least one text of
+    ``LANGUAGES``: there can be no more than that many. Others are judged by
+    their script."""
+    counts = rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    return [r["language"] for r in counts.filter(F.col("n") * LANGUAGES >= whole).collect()]
+
+
+def _group(language: Column, m: Column, known: list[str]) -> Column:
+    """The cell of a text: the language, if it is a known one, else the
+    script; the script; and the octave of the characters."""
+    name = F.when(language.isin(known), language).otherwise(m["script"])
     return F.concat_ws(":", name, m["script"], F.floor(F.log2(F.greatest(m["word_chars"], F.lit(1)))).cast("string"))
 
 
@@ -287,7 +302,9 @@ def fertility_report(df: DataFrame, rules: FertilityRules, text: str = "text", d
     """
     rows = df.withColumn(name := free_name(df, "_fertility"), measures(text, rules))
     m = F.col(name)
-    rows = cut(rows.select(col(doc_id).alias("doc_id"), F.col(f"{name}.*"), _group(df, lang, m).alias("grp")))
+    rows = cut(rows.select(col(doc_id).alias("doc_id"), F.col(f"{name}.*"), _language(df, lang, m).alias("language")))
+    cell = F.struct("script", "word_chars")
+    rows = rows.withColumn("grp", _group(F.col("language"), cell, known_languages(rows)))
     found = bands(rows, rules)
     whole = F.struct("n_tokens", *MEASURES)
     return (rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
@@ -300,7 +317,10 @@ def keep_fluent(df: DataFrame, rules: FertilityRules, text: str = "text", lang:
     name = free_name(df, "_fertility")
     measured = df.withColumn(name, measures(text, rules))
     m = F.col(name)
-    found = bands(cut(measured.select(_group(measured, lang, m).alias("grp"), f"{name}.n_words", f"{name}.n_repeat_words",
-                                      f"{name}.n_tokens", *[f"{name}.{x}" for x in MEASURES])), rules)
-    good = ~base_failed(m["n_words"], m["n_repeat_words"]) & in_bands(_group(measured, lang, m), m, found, rules)
+    rows = cut(measured.select(_language(measured, lang, m).alias("language"), *[f"{name}.{x}" for x in (
+        "script", "word_chars", "n_words", "n_repeat_words", "n_tokens", *MEASURES)]))
+    known = known_languages(rows)
+    found = bands(rows.withColumn("grp", _group(F.col("language"), F.struct("script", "word_chars"), known)), rules)
+    good = (~base_failed(m["n_words"], m["n_repeat_words"])
+            & in_bands(_group(_language(measured, lang, m), m, known), m, found, rules))
     return measured.filter(good).drop(name)
