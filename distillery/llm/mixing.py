@@ -6,11 +6,15 @@ that the expected tokens of each domain meet their targets:
 
     minimise  || sum_d rate_d * tokens_d * posterior_d  -  target ||^2,  rate_d >= 0,
 
-by projected gradient steps from rate 1. Each step is one Spark aggregate
-over all documents (the domain totals under the present rates). Residuals
-are whitened by the Gram matrix of the posteriors, so a step moves a rate by
-``posterior_d . lambda`` and a few steps suffice; a document's rate follows
-from its posteriors and the short list of lambdas alone.
+with a small ridge that draws rates to 1 (``RIDGE``), so that the rates are
+unique and a domain with next to no tokens cannot drive them beyond all
+measure. The gradient by a rate is ``tokens_d`` times its posteriors' product
+with the residual, so at the optimum ``rate_d = max(0, 1 + posterior_d .
+lambda)`` for one short vector lambda, and projected gradient steps need only
+move lambda. Steps are whitened by the Gram matrix of the posteriors of
+documents with a rate above zero, and halved as long as they do not help. Each
+is one Spark aggregate over all documents: the domain totals, the Gram matrix
+and the objective under the present rates.
 
 The classifier is a naive Bayes model over hashed pieces of text (words and
 runs of punctuation), by presence, with its counts shrunk towards the
@@ -19,7 +23,6 @@ background; its temperature is chosen on the held-out labelled rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +34,11 @@ from pyspark.sql.functions import arrow_udf
 
 from distillery.llm import textarrays as ta
 from distillery.llm import vocab
-from distillery.llm.shared import col, cut, free_name
+from distillery.llm.shared import col, cut, free_name, matching
 
 FEATURES = 1 << 16
 SHRINK = 0.1  # pseudo-documents of background, as a share of the labelled documents
+RIDGE = 1e-6   # of the mean square of the posteriors, weighted by tokens
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 
@@ -90,7 +94,7 @@ def fit(feats: DataFrame, labelled: DataFrame) -> SoftModel | None:
     of the labelled rows (by id) is held out for the temperature. None
     without labelled rows."""
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)), F.lit(0))
-    rows = cut(feats.join(labelled.filter("domain IS NOT NULL"), "doc_id").select("f", "domain", fold.alias("fold")))
+    rows = cut(matching(feats, labelled.filter("domain IS NOT NULL"), "doc_id").select("f", "domain", fold.alias("fold")))
     sizes = {r["domain"]: (r["n"], r["h"]) for r in
              rows.groupBy("domain").agg(F.count_if(F.expr("fold <> 1")).alias("n"), F.count_if(F.expr("fold = 1")).alias("h")).collect()}
     domains = sorted(d for d, (n, _) in sizes.items() if n)
@@ -135,43 +139,56 @@ def fit(feats: DataFrame, labelled: DataFrame) -> SoftModel | None:
     return model
 
 
-def fit_rates(rows: DataFrame, target: np.ndarray, steps: int = 20, tolerance: float = 1e-3) -> list[list[float]]:
-    """The lambdas of projected gradient steps on ``rows(tokens, p0, p1, ..)``
-    towards the domain totals ``target``."""
+def fit_rates(rows: DataFrame, target: np.ndarray, steps: int = 100, tolerance: float = 1e-9) -> list[float]:
+    """``lambda`` for ``rows(tokens, p0, p1, ..)`` and the domain totals
+    ``target``; all zeros without tokens. It ends when the projected gradient
+    is ``tolerance`` of the tokens wanted; targets out of reach are met as
+    well as least squares can."""
     k = len(target)
     t = F.col("tokens").cast("double")
     p = [F.col(f"p{i}") for i in range(k)]
-    first = rows.agg(*[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    gram = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = first[f"g{i}_{j}"] or 0.0
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measure(lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        r = rate_column(lam, p)
+        free = F.when(r > 0, t).otherwise(0.0)
+        got = rows.select(t.alias("tokens"), r.alias("r"), free.alias("free"), *p).agg(
+            *[F.sum(F.col("tokens") * F.col("r") * x) for x in p],
+            *[F.sum(F.col("free") * p[i] * p[j]) for i, j in pairs],
+            F.sum(F.col("tokens") * F.col("r") * F.col("r"))).first()
+        got = [x or 0.0 for x in got]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k:-1], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(got[:k]), gram, got[-1] / 2
+
+    lam = np.zeros(k)
+    now, gram, half = measure(lam)
     if not gram.any():
-        return []
-    # a ridge keeps domains with next to no tokens from driving the step
-    inverse = np.linalg.inv(gram + np.eye(k) * max(1e-4 * np.trace(gram) / k, 1e-9))
-    lambdas: list[list[float]] = []
+        return lam.tolist()
+    ridge = RIDGE * np.trace(gram) / k
     scale = max(target.sum(), 1.0)
-    before = math.inf
+    value = lambda lam, half: half + ridge / 2 * lam @ lam - target @ lam
     for _ in range(steps):
-        r = rate_column(lambdas, p)
-        now = rows.agg(*[F.sum(t * r * p[i]) for i in range(k)]).first()
-        residual = target - np.array([x or 0.0 for x in now])
-        size = float(np.abs(residual).max()) / scale
-        if size < tolerance or size > 0.95 * before:  # met, or out of reach
+        slope = target - now - ridge * lam
+        if np.abs(slope).max() <= tolerance * scale:
             break
-        before = size
-        lambdas.append((inverse @ residual).tolist())
-    return lambdas
+        step = np.linalg.solve(gram + np.eye(k) * ridge, slope)
+        for _ in range(40):
+            found = measure(lam + step)
+            if value(lam + step, found[2]) <= value(lam, half) - 1e-4 * step @ slope:
+                break
+            step = step / 2
+        else:
+            break  # no step of any size helps: rounding
+        lam = lam + step
+        now, gram, half = found
+    return lam.tolist()
 
 
-def rate_column(lambdas: list[list[float]], p: list[Column]) -> Column:
-    """The rate after all steps: each adds ``posterior . lambda`` and is cut
-    off at zero."""
-    r = F.lit(1.0)
-    for lam in lambdas:
-        r = F.greatest(F.lit(0.0), sum((p[i] * F.lit(x) for i, x in enumerate(lam)), r))
-    return r
+def rate_column(lam: list[float] | np.ndarray, p: list[Column]) -> Column:
+    """``max(0, 1 + posterior . lambda)``."""
+    return F.greatest(F.lit(0.0), sum((x * F.lit(float(v)) for x, v in zip(p, lam, strict=True)), F.lit(1.0)))
 
 
 def _posterior_column(model: SoftModel, f: Column) -> Column:
@@ -191,13 +208,23 @@ def _structs(model: SoftModel, feats: list[np.ndarray]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(p.shape[1])], [f"p{i}" for i in range(p.shape[1])])
 
 
-def targets(model: SoftModel, weights: dict[str, float], total: float) -> np.ndarray:
+def targets(model: SoftModel, weights: dict[str, float], total: float, present: np.ndarray | None = None) -> np.ndarray:
     """Token targets of the model's domains; a domain without a weight gets
-    none, and weights of domains that no label names are shared out."""
+    none, and weights of domains that no label names are shared out. With
+    ``present``, the domains' expected tokens now, weights are multiples of
+    their present shares."""
     w = np.array([max(weights.get(d, 0.0), 0.0) for d in model.domains])
+    if present is not None:
+        w = w * present
     return total * w / w.sum() if w.sum() > 0 else np.full(len(w), total / len(w))
 
 
+def _targets(rows: DataFrame, model: SoftModel, weights: dict[str, float], total_share: float, multiples: bool) -> np.ndarray:
+    found = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p{i}")) for i in range(len(model.domains))]).first()
+    found = [float(x or 0) for x in found]
+    return targets(model, weights, found[0] * total_share, np.array(found[1:]) if multiples else None)
+
+
 def copies_column(rate: Column, *key: Column) -> Column:
     """The rate rounded to a whole number of copies, up or down by a hash of
     the row, so that the expectation is the rate."""
@@ -213,11 +240,12 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def mixing_report(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_share: float = 1.0,
-                  text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+                  multiples: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, tokens, posteriors, rate, copies)`` of every row of ``docs``.
 
-    ``weights`` are target token proportions by domain, ``total_share`` the
-    wanted tokens as a share of the input's. A null or empty text has no
+    ``weights`` are target token proportions by domain (or, as ``multiples``,
+    by how much a domain's present proportion is to change), ``total_share``
+    the wanted tokens as a share of the input's. A null or empty text has no
     tokens and the prior as its posteriors; repeated rows have equal rates;
     an empty table gives no rows. Without labelled documents every rate is 1
     and the posteriors are empty. Other columns are not read.
@@ -229,9 +257,8 @@ def mixing_report(docs: DataFrame, labelled: DataFrame, weights: dict[str, float
                            .alias("posteriors"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     rows = cut(rows.select("doc_id", "tokens", F.xxhash64("f").alias("h"), _posterior_column(model, F.col("f")).alias("p"))
                .select("doc_id", "tokens", "h", "p.*"))
-    total = (rows.agg(F.sum("tokens")).first()[0] or 0) * total_share
     p = [F.col(f"p{i}") for i in range(len(model.domains))]
-    rate = rate_column(fit_rates(rows, targets(model, weights, total)), p)
+    rate = rate_column(fit_rates(rows, _targets(rows, model, weights, total_share, multiples)), p)
     rows = rows.withColumn("rate", rate)
     post = F.map_from_arrays(F.array(*map(F.lit, model.domains)), F.array(*p))
     return rows.select("doc_id", "tokens", post.alias("posteriors"), "rate",
@@ -239,18 +266,17 @@ def mixing_report(docs: DataFrame, labelled: DataFrame, weights: dict[str, float
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_share: float = 1.0,
-        text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        multiples: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs``, all columns, each row as often as its rate says."""
     rows = cut(docs.select(col(doc_id).alias("doc_id"), _piece_column(text).alias("x")).select("doc_id", "x.*"))
     model = fit(rows, labelled)
     if model is None:
         return docs
     post = cut(rows.select("tokens", _posterior_column(model, F.col("f")).alias("p")).select("tokens", "p.*"))
-    total = (post.agg(F.sum("tokens")).first()[0] or 0) * total_share
-    lambdas = fit_rates(post, targets(model, weights, total))
+    lam = fit_rates(post, _targets(post, model, weights, total_share, multiples))
     q, c = free_name(docs, "_posterior"), free_name(docs, "_copy")
     out = docs.withColumn(q, _posterior_of_text(model, text))
-    rate = rate_column(lambdas, [F.col(q)[f"p{i}"] for i in range(len(model.domains))])
+    rate = rate_column(lam, [F.col(q)[f"p{i}"] for i in range(len(model.domains))])
     n = copies_column(rate, col(doc_id), F.xxhash64(col(text)))
     return (out.withColumn(c, F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
             .select(*[col(k) for k in docs.columns]))

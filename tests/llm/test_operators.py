@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -20,6 +21,7 @@ from distillery.llm import (
     mixing,
     ngram_join,
     packing,
+    quality_trees,
     queries,
     token_counts,
     url_rules,
@@ -324,6 +326,44 @@ def test_op6_meets_targets(spark):
     assert np.allclose(got[:3], target, rtol=0.02) and got[3] >= 0
 
 
+@pytest.mark.parametrize("share", [(0.9, 0.06, 0.04, 0.0), (0.1, 0.1, 0.1, 0.7), (1.0, 0.0, 0.0, 0.0)])
+def test_op6_is_least_squares(spark, share):
+    """Nearly hard posteriors, a domain with next to no tokens, targets that
+    clip rates: against projected gradient descent on the rates themselves."""
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([0.02, 0.02, 0.02, 0.002], 300)
+    p = (p + 1e-6) / (p + 1e-6).sum(axis=1, keepdims=True)
+    t = rng.integers(10, 500, 300).astype(float)
+    rows = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p, strict=True)],
+                                 "tokens bigint, " + ", ".join(f"p{i} double" for i in range(4)))
+    target = np.array(share) * t.sum()
+    lam = mixing.fit_rates(rows, target)
+    got = np.maximum(0, 1 + p @ np.array(lam))
+    assert np.allclose([r[0] for r in rows.select(mixing.rate_column(lam, [F.col(f"p{i}") for i in range(4)])).collect()], got)
+    ridge = mixing.RIDGE * ((t[:, None] * p).T @ p).trace() / 4
+    cost = lambda r: ((t * r) @ p - target) @ ((t * r) @ p - target) + ridge * (t * (r - 1) ** 2).sum()
+    # the optimum's conditions, by rate: no slope where it is positive, none downwards at zero
+    slope = 2 * t * (p @ ((t * got) @ p - target) + ridge * (got - 1))
+    assert (np.abs(slope[got > 1e-9]) <= 1e-5 * t.sum() * t[got > 1e-9]).all() and (slope[got <= 1e-9] >= -1e-5 * t.sum()).all()
+    r, y, k = np.ones(300), np.ones(300), 1.0
+    rate = 1 / (2 * (np.linalg.norm(t[:, None] * p, 2) ** 2 + ridge * t.max()))
+    for _ in range(20_000):  # accelerated projected gradient
+        new = np.maximum(0, y - rate * 2 * t * (p @ ((t * y) @ p - target) + ridge * (y - 1)))
+        k, before = (1 + math.sqrt(1 + 4 * k * k)) / 2, k
+        y, r = new + (before - 1) / k * (new - r), new
+    assert cost(got) <= cost(r) * (1 + 1e-6) + 1e-6 * t.sum() ** 2 * mixing.RIDGE
+    if share[3] == 0:
+        assert np.abs((t * got) @ p - target)[:3].max() <= 1e-3 * t.sum()
+
+
+def test_op6_meets_targets_within_a_thousandth(spark):
+    rows = queries.op6_soft_membership_mixing(spark, "/root/testdata/sf0.01")
+    whole = rows.agg(F.sum("tokens")).first()[0]
+    for d, w in queries.MIX_WEIGHTS.items():
+        got = rows.agg(F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{d}"))).first()[0]
+        assert got == pytest.approx(w * whole, rel=1e-3)
+
+
 def test_op6_finds_toxic_documents(spark):
     rows = (queries.op6_soft_membership_mixing(spark, "/root/testdata/sf0.01")
             .join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect())
@@ -331,6 +371,36 @@ def test_op6_finds_toxic_documents(spark):
     assert mean(lambda r: r["toxic"] and r["quality"]) < 0.3 < 1 < mean(lambda r: r["quality"] and not r["toxic"])
 
 
+def test_op1_splits_are_the_best(spark):
+    """One tree of depth 2 against an exhaustive search over the same cuts."""
+    rng = np.random.default_rng(2)
+    width = len(quality_trees.FEATURES)
+    x = rng.integers(0, 12, (200, width)).astype(float)
+    y = ((x[:, 1] > 5) & (x[:, 3] <= 8) | (rng.random(200) < 0.1)).astype(int)
+    x[:20], y[:20] = x[0], y[0]  # repeated rows and ties
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y int").repartition(5)
+    model = quality_trees.fit(rows, trees=1, depth=2, bins=64)
+    g, h = y.mean() - y, np.full(200, y.mean() * (1 - y.mean()))
+
+    def gain(mask, f, cut):
+        parts = [mask & (x[:, f] <= cut), mask & (x[:, f] > cut)]
+        if min(h[m].sum() for m in parts) < 1:
+            return -1.0
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in parts) - g[mask].sum() ** 2 / (h[mask].sum() + 1)
+
+    def walk(node, mask, depth):
+        best = max(gain(mask, f, c) for f in range(width) for c in range(12)) if depth < 2 else -1
+        if model.feature[node] < 0:
+            assert depth == 2 or best <= 1e-6
+            assert model.value[node] == pytest.approx(-0.4 * g[mask].sum() / (h[mask].sum() + 1))
+            return
+        f, c = int(model.feature[node]), model.threshold[node]
+        assert gain(mask, f, c) == pytest.approx(best)
+        walk(model.left[node], mask & (x[:, f] <= c), depth + 1)
+        walk(model.right[node], mask & (x[:, f] > c), depth + 1)
+    walk(model.roots[0], np.ones(200, dtype=bool), 0)
+
+
 def greedy(word, initial, inner):
     at = n = 0
     while at < len(word):
@@ -443,6 +513,48 @@ def test_op9_windows_keep_the_proportions(spark):
     assert {r["source"] for r in early} == {"src0", "src1"}
 
 
+@pytest.mark.parametrize("weights", [None, {"src0": 3.0, "src1": 1.0, "src2": 1.0, "src3": 0.5, None: 0.5}])
+def test_op9_deficits_are_carried(spark, weights):
+    """Every window keeps to its targets, deficits of all earlier buckets
+    included, until a source of its bucket runs out."""
+    size, docs = 30_000, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("source") != "src4", F.concat(F.lit("src"), F.pmod(F.xxhash64("source"), F.lit(4)).cast("string"))))
+    rows = packing.pack(docs, vocab.public_path(queries.PACKING_TOKENIZER), weights=weights, bucket_tokens=size, with_ids=False)
+    total = rows.agg(F.sum("length")).first()[0]
+    buckets = math.ceil(total / size)
+    bucket = F.pmod(F.xxhash64("doc_id", F.col("doc_tokens"), "source"), F.lit(buckets)).cast("int")
+    pieces = sorted(rows.select(bucket.alias("b"), "source", "length", (F.col("sequence_id") * packing.SEQUENCE + F.col("offset")).alias("at")).collect(),
+                    key=lambda r: r["at"])
+    assert [r["b"] for r in pieces] == sorted(r["b"] for r in pieces) and buckets > 5  # bucket after bucket
+    whole, by = Counter(), {}
+    for r in pieces:
+        whole[r["source"]] += r["length"]
+        by.setdefault(r["b"], []).append(r)
+    scale = sum(whole.values()) if weights is None else sum(w for s, w in weights.items() if s in whole)
+    target = {s: (whole[s] if weights is None else weights.get(s, 0.0)) / scale for s in whole}
+    served, begin, checked = Counter(), 0, 0
+    for own in by.values():
+        n, here = sum(r["length"] for r in own), Counter()
+        left = Counter()
+        for r in own:
+            left[r["source"]] += r["length"]
+        share = {s: max(0, target[s] + (target[s] * begin - served[s]) / n) for s in left}
+        share = {s: x / sum(share.values()) for s, x in share.items()} if any(share.values()) else {s: x / n for s, x in left.items()}
+        for r in own:
+            here[r["source"]] += r["length"]
+            left[r["source"]] -= r["length"]
+            if min(left.values()) == 0:
+                break
+            if (r["at"] + r["length"]) % packing.SEQUENCE == 0:
+                checked += 1
+                for s in here:
+                    assert abs(here[s] - share[s] * sum(here.values())) <= packing.SEQUENCE + packing.MIN_PIECE
+        for r in own:
+            served[r["source"]] += r["length"]
+        begin += n
+    assert checked > 2 * buckets
+
+
 def deviation(rows):
     """The largest distance in tokens from a source's share of all tokens, at
     the end of any sequence."""
@@ -472,18 +584,36 @@ def test_op9_special_strings_go_in_whole(spark):
     assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
 
 
+def same_as_oracle(spark, rows):
+    """The registered SQL over made-up pages gives the same rows."""
+    import duckdb
+
+    found = url_rules.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.execute(queries.ORACLE["op10_redirect_equivalence"]).fetchall()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
 def test_op10_aliases(spark):
     link = '<link rel="canonical" href="{}">'.format
     move = "<META http-equiv='Refresh' content='0; url={}'>".format
     rows = [(1, "http://blocked.net/fr/a", link("https://alias.org/x")), (2, "https://alias.org/x?q=1", None),
             (3, "http://far.org/y", move("//alias.org/x")), (4, "http://ok.org/z", link("/zz")), (5, "http://ok.org/zz", ""),
             (6, "http://mixed.net/fr/b", link("http://good.com/c")), (7, "http://tied.org/d", link("http://good.com/c")),
-            (8, "http://www.example.com/en/p", None), (9, "http://x.example.com/en/p", None), (10, "http://unseen.org/", link("http://b.net/es/q"))]
+            (8, "http://www.example.com/en/p", None), (9, "http://x.example.com/en/p", None), (10, "http://unseen.org/", link("http://b.net/es/q")),
+            (11, "HTTPS://ALIAS.org/x#part", None), (12, "http://go.org/?id=1", link("http://b.net/es/q")),
+            (13, "http://go.org/?id=2", link("http://good.org/")), (14, "http://go.org/?id=3", None), (15, "http://good.org/", None),
+            (16, "http://go.org?id=1", None), (None, None, link("http://b.net/es/q")), (17, "no scheme", None), (18, "http://r.org/", ";")]
+    same_as_oracle(spark, rows)
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in
            url_rules.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert got == {1: ("net/fr/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"),
+    got = {i: v for i, v in got.items() if i is not None}
+    assert got == {1: ("net/fr/", "block"), 2: (None, "allow"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"),
                    6: ("net/fr/", "block"), 7: (None, "allow"), 8: ("www.example.com/en/", "allow"), 9: ("example.com/en/", "block"),
-                   10: (None, "block")}
+                   10: (None, "block"), 11: (None, "block"), 12: (None, "block"), 13: (None, "allow"), 14: (None, "allow"),
+                   15: (None, "allow"), 16: (None, "block"), 17: (None, "allow"), 18: (None, "allow")}
 
 
 def test_op10_relative_links(spark):
@@ -499,7 +629,9 @@ def test_op10_relative_links(spark):
             (12, "http://i.org/", link("mailto:me@b.net/fr/")), (13, "http://j.org/v", link("?id=2")),
             (14, "http://k.org/w", link("/in?next=http://b.net/fr/x")), (15, "http://l.org/a/./b", link(blocked)),
             (16, "http://l.org/z", link("a/b")), (17, "http://m.org/a/b/", link("..")), (18, "http://m.org/a/", move(blocked)),
-            (19, "http://n.net/fr/o", link("../../../far")), (20, "http://n.net/far", None)]
+            (19, "http://n.net/fr/o", link("../../../far")), (20, "http://n.net/far", None),
+            (21, "http://a.org/d/page.html?x=1&y=2", move(blocked))]
+    same_as_oracle(spark, rows)
     got = {r["page_id"]: r["verdict"] for r in
            url_rules.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert got == {i: "allow" if i in (12, 13, 14) else "block" for i in range(1, 21)}
+    assert got == {i: "allow" if i in (12, 13, 14) else "block" for i in range(1, 22)}
