@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from distillery.llm import fertility, mixing, ngram_join, packing, quality_trees
-from distillery.llm.queries import FERTILITY_VOCABULARY, MIX_WEIGHTS, PACKING_TOKENIZER
+from distillery.llm.queries import FERTILITY_VOCABULARY, PACKING_TOKENIZER
 from distillery.llm.shared import table
 from distillery.llm.vocab import public_path
 from distillery.session import scratch_path
+from distillery.sources.fs import delete
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +31,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.drop_near_duplicates(docs)
 
 
+# By how much the domains' shares of tokens are to change. (Few documents of low quality are left at this stage, so
+# that their share is none that could be asked for outright.)
+MIX_MULTIPLES = {"q1_t0": 1.0, "q1_t1": 0.3, "q0_t0": 0.5, "q0_t1": 0.15}
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents by rates that meet the domains' target tokens.
     A quarter more tokens than came in are asked for, so that the wanted
     domain is repeated rather than thinned."""
-    return mixing.mix(docs, mixing.domain_labels(table(spark, sf_dir, "labels")), MIX_WEIGHTS, total_share=1.25)
+    return mixing.mix(docs, mixing.domain_labels(table(spark, sf_dir, "labels")), MIX_MULTIPLES, total_share=1.25,
+                      multiples=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +59,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared
-    scratch folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    scratch folder, read again, and removed when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
