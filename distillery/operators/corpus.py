@@ -109,13 +109,16 @@ def index_blocks(df: DataFrame) -> tuple[DataFrame, int] | None:
     found.sort(key=lambda r: (r["dataset_ord"], r["split"] is None, r["split"] or "", r["src_file"], r["src_block"]))
     starts, total = [], 0
     for r in found:
-        starts.append((r["dataset_ord"], r["src_file"], r["src_block"], total - r["first"]))
+        starts.append((r["dataset_ord"], r["src_file"], r["src_block"], r["first"], r["last"], total - r["first"]))
         total += r["n"]
     spark = df.sparkSession
-    offsets = spark.createDataFrame(starts, "dataset_ord INT, src_file STRING, src_block BIGINT, _shift BIGINT")
-    size = sum(len(r["src_file"]) + 64 for r in found) // max(len(found), 1)
-    indexed = (placed.join(broadcast_if_small(offsets, len(starts), size), list(block))
-               .withColumn("row_idx", (F.col("_shift") + F.col(at)).cast("bigint")).select(*df.columns, "row_idx"))
+    offsets = spark.createDataFrame(starts, "dataset_ord INT, src_file STRING, src_block BIGINT, _first BIGINT, _last BIGINT, _shift BIGINT")
+    size = sum(len(r["src_file"]) + 80 for r in found) // max(len(found), 1)
+    # a scan that was planned anew (other files, other block sizes) must not pass
+    there = F.coalesce(F.col(at).between(F.col("_first"), F.col("_last")), F.lit(False))
+    idx = F.when(there, F.col("_shift") + F.col(at)).otherwise(F.raise_error(F.lit("the scan changed after it was indexed")).cast("bigint"))
+    indexed = (placed.join(broadcast_if_small(offsets, len(starts), size), list(block), "left")
+               .withColumn("row_idx", idx).select(*df.columns, "row_idx"))
     return indexed, total
 
 

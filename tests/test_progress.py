@@ -158,6 +158,15 @@ def test_file_index_moves_no_row(spark, tmp_root):
     assert "rangepartitioning" not in idx._jdf.queryExecution().executedPlan().toString()
     got = idx.orderBy("row_idx").collect()
     assert n == 200 and [r.row_idx for r in got] == list(range(200)) and [r.split for r in got] == ["a"] * 100 + ["b"] * 100
+    # a scan planned anew is noticed
+    again, _ = build_corpus_and_count(sources)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        with pytest.raises(Exception, match="scan changed"):
+            again.select("row_idx", "instruction").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     # a split that is a column of the rows, not the file's: sorted as before
     sinks.write_jsonl_splits(df.withColumn("kind", F.col("split")).withColumn("split", F.lit("train")), f"{tmp_root}/mixed")
     mixed = [Source("mixed", DS.read_dataset(spark, tmp_root, "mixed"), key="text", split=F.col("kind"))]
