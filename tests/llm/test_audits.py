@@ -258,6 +258,30 @@ def test_divergence_odd_rows(spark):
     assert source_audit.source_divergence(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [8 << 20, 1000])
+def test_term_counts_of_a_part_are_combined(part_bytes, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(source_audit, "PART_BYTES", part_bytes)
+    rows = [(k % 2 and "en" or "", f"s{k % 70}", t) for k, t in enumerate(
+        ["B\u00c9 b\u00c9 be", "x", "", "a1a-A", "z\u00e9 \U0001f600Q", "0 9", "@[`{\x7f", "aB"] * 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["lang", "source", "text"]).slice(3)
+    found = list(source_audit._count_terms(iter([batch.slice(0, 0), batch])))
+    n, docs = Counter(), Counter()
+    for lang, source, t in rows[3:]:
+        terms = TERM.findall(t.translate(UPPER))
+        n.update((lang, source, x) for x in terms)
+        docs.update((lang, source, x) for x in set(terms))
+    got = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    sums = {k: [0, 0] for k in n}
+    for *k, c, d in got:
+        sums[tuple(k)][0] += c
+        sums[tuple(k)][1] += d
+    assert sums == {k: [n[k], docs[k]] for k in n}
+    if part_bytes > 1000:  # one batch for all its groups, a row for each cell
+        assert len(found) == 1 and len(got) == len(n)
+
+
 def test_runs_restore_columns():
     rng = np.random.default_rng(5)
     for terms in (1, 2, 50):
