@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from distillery import options as O
 from distillery.functions.text import words
-from distillery.operators.lookup import map_items
+from distillery.operators.lookup import PYTHON_BYTES, map_items
 
 RESERVED = [O.PAD_TOKEN, O.UNK_TOKEN]
 PAD_ID, UNK_ID = 0, 1
@@ -147,14 +147,18 @@ def _ids(text: str, get, limit: int | None) -> list[int]:
 
 
 def _encode_arrow(df, pairs, col, out, max_length):
-    import pandas as pd
+    import pyarrow as pa
 
     bc = df.sparkSession.sparkContext.broadcast(dict(pairs))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _enc(s: pd.Series) -> pd.Series:
-        get = bc.value.get
-        return s.map(lambda t: None if t is None else _ids(t, get, max_length))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _enc(texts: pa.Array) -> pa.Array:
+        get, kind = bc.value.get, pa.list_(pa.int32())
+        # not all texts and ids of a batch are Python objects at a time
+        step = max(1, PYTHON_BYTES * len(texts) // max(texts.nbytes, 1))
+        return pa.concat_arrays([pa.array([], kind)] + [
+            pa.array([None if t is None else _ids(t, get, max_length) for t in texts.slice(lo, step).to_pylist()], kind)
+            for lo in range(0, len(texts), step)])
 
     return df.withColumn(out, _enc(_c(col)))
 

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from distillery.operators import tokens as K
 
@@ -65,6 +66,38 @@ def test_forms_agree_on_repeated_and_null_keys(spark, monkeypatch, block_bytes):
     assert by_text["a b"][0] == by_text["a c"][0] and by_text["a b"][0] != by_text["c"][0]
 
 
+def test_lookup_holds_little_in_python(spark, monkeypatch):
+    """Blocks are numbered by sizes alone, and a block's values are Python
+    objects about a megabyte at a time."""
+    from distillery.operators import lookup
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", None)
+    df = (spark.range(0, 4000, 1, 1).withColumn("ids", F.sequence(F.lit(1), F.lit(300)))
+          .withColumn("s", F.create_map(F.lit("k"), F.struct(F.lit(None).cast("string").alias("t"), F.array(F.lit("ab"))))))
+
+    def count(values, known):
+        if values.nbytes > 2 << 20:
+            raise ValueError(f"{values.nbytes} bytes at a time")
+        return [len(v) * len(known) for v in values.to_pylist()]
+
+    table = spark.range(1, 301).select(F.col("id").cast("int").alias("item"), F.lit(1).alias("value"))
+    found = lookup.map_items(df, F.col("ids"), table, count, "ids", "n", T.LongType())
+    assert [tuple(r) for r in found.groupBy("n").count().collect()] == [(90000, 4000)]
+    blocks = lookup.with_blocks(df.withColumn("a.b", F.lit("x")), "b", 1 << 20).groupBy("b").count().collect()
+    row = 1 + df.toArrow().nbytes // 4000
+    assert len(blocks) >= 4 and max(r["count"] for r in blocks) <= 1 + (1 << 20) // row * 1.1
+    assert lookup.with_blocks(df.limit(0), "b").count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 1 << 20])
+def test_encode_by_parts_of_a_batch(spark, monkeypatch, part):
+    monkeypatch.setattr(K, "PYTHON_BYTES", part)
+    df = spark.createDataFrame(ODD, "row_idx BIGINT, text STRING").coalesce(1)
+    v = K.Vocab([("<|im_end|>", 0), ("<unk>", 1), ("a", 2), ("b", 3)])
+    got = [r.input_ids for r in K.encode(df, v, "text", max_length=2).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [[2, 3], [1], [2, 1], None, [], [2, 3], [1, 2]]))
+
+
 def test_vocabulary_above_the_bound(spark, frame):
     v = K.build_vocab(frame, "text", 100)
     with pytest.raises(OverflowError):
